@@ -16,12 +16,25 @@ def long(c: str) -> Column:
     return F.col(c).cast("bigint").alias(c)
 
 
+_PREPARED: dict[tuple, tuple[DataFrame, dict]] = {}
+
+
+def prepared(spark: SparkSession, mode: str = mapping.MODE_SUBFRAME) -> tuple[DataFrame, dict]:
+    """The mapping's plan rows and their profile, prepared once per session."""
+    key = (spark.sparkContext.applicationId, mode)
+    if key not in _PREPARED:
+        rows = mapping.sample_plans(*bridge.literal_mapping(spark), mode=mode).persist()
+        _PREPARED[key] = (rows, dec.plan_profile(rows))
+    return _PREPARED[key]
+
+
 def plans(spark: SparkSession, mode: str = mapping.MODE_SUBFRAME) -> DataFrame:
-    return mapping.sample_plans(*bridge.literal_mapping(spark), mode=mode)
+    return prepared(spark, mode)[0]
 
 
-def samples(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return dec.decode(dec.decodable(bridge.subframes(spark, sf_dir)), plans(spark), **kw)
+def samples(spark: SparkSession, sf_dir: str, mode: str = mapping.MODE_SUBFRAME, **kw) -> DataFrame:
+    rows, profile = prepared(spark, mode)
+    return dec.decode(dec.decodable(bridge.subframes(spark, sf_dir)), rows, profile=profile, **kw)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +85,7 @@ _only("values_for_parameter", "param_id = 'P01'")
 )
 def decode_frames(spark, sf_dir):
     """Whole-frame mode (DEC-01): subframe numbers outside 1..4 are reported too."""
-    subs = dec.decodable(bridge.subframes(spark, sf_dir))
-    return sample_columns(dec.decode(subs, plans(spark, mapping.MODE_FRAME)))
+    return sample_columns(samples(spark, sf_dir, mode=mapping.MODE_FRAME))
 
 
 @query(
@@ -162,13 +174,11 @@ def _series_stats(name: str, seconds: int):
         name,
         f"""WITH {PTS}, {_window_sql(seconds)}
         SELECT rec AS recording_id, pid AS param_id, count(*) AS n, arg_max(value, (seq, occ)) AS current,
-               min(value) AS minimum, max(value) AS maximum, CAST(sum(floor(value)) AS BIGINT) AS whole_sum
+               min(value) AS minimum, max(value) AS maximum
         FROM win GROUP BY ALL""",
     )
     def run(spark, sf_dir):
-        window = series.trailing_window(points(spark, sf_dir), float(seconds))
-        whole = window.groupBy(*series.SERIES).agg(F.sum(F.floor("value")).alias("whole_sum"))
-        return series.series_stats(points(spark, sf_dir), float(seconds)).drop("average").join(whole, list(series.SERIES))
+        return series.series_stats(points(spark, sf_dir), float(seconds)).drop("average")
 
     return run
 
