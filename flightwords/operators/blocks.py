@@ -49,12 +49,15 @@ def row_numbers(
 
 
 def carry_last(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, out: str
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, out: str,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Latest non-NULL ``value`` at or before each row of a key."""
+    """Latest non-NULL ``value`` at or before each row of a key (before it if not inclusive)."""
     keys = list(keys)
     d = df.withColumn("_block", block).withColumn("_v", value)
-    w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1
+    )
     local = d.withColumn("_local", F.last("_v", ignorenulls=True).over(w))
     ends = d.filter("_v IS NOT NULL").groupBy(*keys, "_block").agg(
         F.max_by("_v", F.struct(*order)).alias("_end")
@@ -100,3 +103,32 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Column, reach: Column,
     near_end = order + reach >= (own + 1) * F.lit(size)
     spread = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
     return df.withColumn("_block", F.explode(spread)).withColumn("_own", F.col("_block") == own)
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, out: str
+) -> DataFrame:
+    """Largest ``value`` of the earlier rows of a key; NULL on its first row."""
+    keys = list(keys)
+    d = df.withColumn("_block", block)
+    tops = d.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
+    before = tops.select(*keys, "_block", F.max("_top").over(_earlier(keys)).alias("_before"))
+    w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumn("_local", F.max(value).over(w))
+    return local.join(before, [*keys, "_block"]).withColumn(out, F.greatest("_local", "_before")).drop(
+        "_block", "_local", "_before"
+    )
+
+
+def interval_clusters(
+    df: DataFrame, keys: Sequence[str], start: str, end: Column, out: str, block: int = BLOCK
+) -> DataFrame:
+    """Groups overlapping intervals: ``out`` is the start of the first one.
+
+    An interval that begins at or after every earlier end opens a new group, so
+    a decision made from left to right never reaches across groups.
+    """
+    order = [F.col(start)]
+    d = running_max(df, keys, block_of(F.col(start), block), order, end, "_reach")
+    opens = F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.col(start))
+    return carry_last(d, keys, block_of(F.col(start), block), order, opens, out).drop("_reach")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +39,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="flightwords-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _scratch()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
+@functools.cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Used for compact intermediate tables that several later steps scan: it is
+    computed once, survives the loss of any executor, and its file sizes let
+    Catalyst choose join strategies from facts.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = os.path.join(checkpoint_dir(spark), f"flightwords-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
