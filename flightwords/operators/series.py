@@ -199,7 +199,8 @@ def with_words(slots: DataFrame, subframes: DataFrame) -> DataFrame:
 def word_rate(arrivals: DataFrame, block_seconds: float = 3600.0) -> DataFrame:
     """Words per second over the trailing 2 s at each arrival (STR-08)."""
     spread = blocks.neighbours(arrivals, ["recording_id"], F.col("t"), F.lit(RATE_WINDOW), block_seconds)
-    w = Window.partitionBy("recording_id", "_block").orderBy("t").rangeBetween(-RATE_WINDOW, 0.0)
+    micros = F.round(F.col("t") * 1_000_000).cast("bigint")
+    w = Window.partitionBy("recording_id", "_block").orderBy(micros).rangeBetween(int(-RATE_WINDOW * 1_000_000), 0)
     span = F.greatest(F.col("t") - F.min("t").over(w), F.lit(RATE_MIN_SPAN))
     return (
         spread.withColumn("word_rate", F.sum("n_words").over(w) / span).filter("_own")

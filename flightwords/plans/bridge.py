@@ -109,7 +109,10 @@ def price_cents() -> F.Column:
 
 def subframe_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One recorded subframe per order, without its words."""
-    o = table(spark, sf_dir, "orders")
+    return headers_of(table(spark, sf_dir, "orders"))
+
+
+def headers_of(o: DataFrame) -> DataFrame:
     p = F.col("o_orderstatus") == "P"
     state = (
         F.when(p & (F.col("o_orderpriority") == "5-LOW"), MISSING)
@@ -135,7 +138,11 @@ def word_values(c: F.Column, subframe: F.Column) -> list[F.Column]:
 
 def subframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The headers with their 64 words as one array."""
-    h = subframe_headers(spark, sf_dir)
+    return subframes_of(table(spark, sf_dir, "orders"))
+
+
+def subframes_of(orders: DataFrame) -> DataFrame:
+    h = headers_of(orders)
     return h.withColumn("words", F.array(*word_values(F.col("c"), F.col("subframe")))).drop("c")
 
 
