@@ -15,6 +15,7 @@ from ..functions import cells
 from ..functions.numbers import parse_frequency, parse_number, split_number_pair
 from ..functions.types import normalize_source_type, one_line
 from ..schemas import ANALOG_SIGNED, ANALOG_UNSIGNED, BCD, DISCRETE, FRAME_SECONDS, RAW_FIELDS, UNKNOWN
+from ..session import materialize
 from . import blocks
 
 ERROR, WARNING, INFO = "error", "warning", "info"
@@ -152,9 +153,8 @@ def _type(df: DataFrame) -> DataFrame:
     df = df.withColumn("_src", source).withColumn("_kind", normalize_source_type(source))
     joined = F.replace("_src", F.lit(" "), F.lit(""))
     key = F.upper(joined)
-    best = F.array_max(F.array(*[F.struct(cells.similarity(key, F.lit(w)).alias("s"), F.lit(-i).alias("i"), F.lit(w).alias("w"))
-                                 for i, w in enumerate(TYPE_WORDS)]))
-    close = F.when((F.length(key) >= 3) & (best["s"] >= CLOSE_TYPE), normalize_source_type(best["w"]))
+    best = cells.closest(key, [(w, w) for w in TYPE_WORDS])
+    close = F.when((F.length(key) >= 3) & (best["score"] >= CLOSE_TYPE), normalize_source_type(best["field"]))
     together = F.nullif(normalize_source_type(joined), F.lit(UNKNOWN))
     unknown = (F.col("_kind") == UNKNOWN) & F.col("_src").isNotNull()
     df = df.withColumn("_fix", F.when(unknown, F.coalesce(together, close))).withColumn("_kind", F.coalesce("_fix", "_kind"))
@@ -428,7 +428,7 @@ def rows_from_cells(raw: DataFrame, overrides: dict[str, str] | None = None) ->
     c = raw.withColumn("text", cells.clean_cell(F.col("text"))).withColumn("key", cells.normalize_header(F.col("text")))
     width = c.groupBy(*tab).agg(F.max("col_no").alias("width"), F.min(F.when(F.col("text") != "", F.col("row_no"))).alias("first"))
     own = {_key_text(k): v for k, v in (overrides or {}).items()}
-    head = c.join(width, tab).filter(F.col("row_no") == F.col("first")).withColumn("m", cells.header_field(F.col("key"), own))
+    head = materialize(c.join(width, tab).filter(F.col("row_no") == F.col("first")).withColumn("m", cells.header_field(F.col("key"), own)))
     # First exact match per field wins over fuzzy ones.
     best = head.filter("m.field IS NOT NULL").groupBy(*tab, F.col("m.field").alias("field")).agg(
         F.min(F.struct(F.when(F.col("m.rank") == 2, 1).otherwise(0).alias("fuzzy"), "col_no")).alias("b"))
@@ -439,7 +439,7 @@ def rows_from_cells(raw: DataFrame, overrides: dict[str, str] | None = None) ->
     fields = F.map_values("map")
     is_head = (F.size(fields) >= 3) & F.array_contains(fields, "word_location") & (
         F.array_contains(fields, "parameter_name") | F.array_contains(fields, "mnemonic_and_name"))
-    t = width.join(heads, tab, "left").join(keys, tab, "left").withColumn("own", F.coalesce(is_head, F.lit(False)))
+    t = materialize(width.join(heads, tab, "left").join(keys, tab, "left").withColumn("own", F.coalesce(is_head, F.lit(False))))
     previous = F.when(F.col("own"), F.struct("map", "keys", "width"))
     t = blocks.carry_last(t, ["document_id"], blocks.block_of(F.col("table_no")), [F.col("table_no")], previous, "h")
     usable = F.col("own") | (F.col("h").isNotNull() & (F.col("h.width") == F.col("width")))
@@ -456,7 +456,7 @@ def rows_from_cells(raw: DataFrame, overrides: dict[str, str] | None = None) ->
         F.array_sort(F.collect_list(F.struct("col_no", "key"))).alias("keys"), F.first("head_keys").alias("head_keys"),
         F.max("text").alias("_any"),
     ).filter((F.col("_any") != "") & (F.col("keys") != F.col("head_keys"))).drop("keys", "head_keys", "_any")
-    return merge_continuations(rows), skipped
+    return merge_continuations(materialize(rows)), skipped
 
 
 def _key_text(text: str) -> str:
