@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as dec
 from ..operators import inspect, mapping, series
+from ..session import materialize
 from . import bridge
 from .registry import query
 from .sqltext import MAP, PTS, SMP, SUB, word_of
@@ -37,8 +38,10 @@ def samples(spark: SparkSession, sf_dir: str, mode: str = mapping.MODE_SUBFRAME,
     return dec.decode(dec.decodable(bridge.subframes(spark, sf_dir)), rows, profile=profile, **kw)
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.series(samples(spark, sf_dir))
+def points(spark: SparkSession, sf_dir: str, scans: int = 1) -> DataFrame:
+    """Stored points; written once where several steps scan them."""
+    p = series.series(samples(spark, sf_dir))
+    return materialize(p) if scans > 1 else p
 
 
 SAMPLE_SQL = (
@@ -178,7 +181,7 @@ def _series_stats(name: str, seconds: int):
         FROM win GROUP BY ALL""",
     )
     def run(spark, sf_dir):
-        return series.series_stats(points(spark, sf_dir), float(seconds)).drop("average")
+        return series.series_stats(points(spark, sf_dir, scans=3), float(seconds)).drop("average")
 
     return run
 
@@ -203,7 +206,7 @@ def series_stats_all(spark, sf_dir):
 )
 def ring_last_n(spark, sf_dir):
     """The 100 latest points of every series (WIN-01)."""
-    return series.ring(points(spark, sf_dir), 100).select("recording_id", "param_id", "seq", long("occ"), "value")
+    return series.ring(points(spark, sf_dir, scans=3), 100).select("recording_id", "param_id", "seq", long("occ"), "value")
 
 
 @query(
@@ -213,7 +216,7 @@ def ring_last_n(spark, sf_dir):
 )
 def ring_duration(spark, sf_dir):
     """Points not older than 300 s before the newest (WIN-02)."""
-    return series.duration_bound(points(spark, sf_dir), 300.0).select(
+    return series.duration_bound(points(spark, sf_dir, scans=3), 300.0).select(
         "recording_id", "param_id", "seq", long("occ"), "value"
     )
 
@@ -223,7 +226,7 @@ def ring_duration(spark, sf_dir):
     f"""WITH {PTS}, {_window_sql(60)} SELECT rec AS recording_id, pid AS param_id, seq, occ::BIGINT AS occ, t, value FROM win""",
 )
 def trailing_window(spark, sf_dir):
-    return series.trailing_window(points(spark, sf_dir), 60.0).select(
+    return series.trailing_window(points(spark, sf_dir, scans=3), 60.0).select(
         "recording_id", "param_id", "seq", long("occ"), "t", "value"
     )
 
@@ -263,7 +266,7 @@ def carry_forward(spark, sf_dir):
     FROM e JOIN e c ON c.rec = e.rec AND c.pid = 'P01' AND e.unit IS NOT DISTINCT FROM c.unit""",
 )
 def overlay_same_unit(spark, sf_dir):
-    return series.overlay(points(spark, sf_dir), "P01")
+    return series.overlay(points(spark, sf_dir, scans=3), "P01")
 
 
 @query(
