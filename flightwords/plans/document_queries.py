@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, numbers, words
 from ..operators import normalize, pages, series
+from ..session import materialize
 from . import bridge
 
 from .registry import query
@@ -206,7 +207,8 @@ def layout_decision(spark, sf_dir):
 )
 def row_issues(spark, sf_dir):
     """Normalization issues per rule (NRM-01…09)."""
-    n = normalize.normalize(document_rows(spark, sf_dir)).select(F.explode("issues").alias("i"))
+    # Written once: exploding the issues would otherwise fold every rule into one expression.
+    n = materialize(normalize.normalize(document_rows(spark, sf_dir))).select(F.explode("issues").alias("i"))
     return n.groupBy(F.col("i.rule").alias("rule")).agg(F.count("*").alias("n"))
 
 
