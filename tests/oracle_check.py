@@ -70,9 +70,11 @@ def main():
     sf_dir = "/root/testdata/sf0.01"
     if args[:1] == ["--dir"]:
         sf_dir, args = args[1], args[2:]
-    from flightwords.plans import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from flightwords.session import local_session
 
+    QUERIES, ORACLES = queries(), oracle_sql()
+
     spark = local_session()
     con = duck(sf_dir)
     bad = 0
