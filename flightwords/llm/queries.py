@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightwords.llm import chat, exact_dedup, mixing
+from flightwords.llm import chat, exact_dedup, mixing, simhash
 from flightwords.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = simhash.groups(table(spark, sf_dir, "documents"))
+    return marks.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
