@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, simhash, toxicity
+from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, simhash, toxicity, warc
 from flightwords.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_nearest")
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op2_warc", r"""
+with p as (select page_id, coalesce(html, '') payload from pages),
+d as (select page_id, strlen(payload) payload_bytes, sha1(payload) h, max(page_id) over (partition by payload) kept from p),
+b as (
+  select *, array_to_string(list_transform(range(40), lambda i: lpad(bin(('0x' || h[i + 1])::int), 4, '0')), '') bits from d)
+select page_id, payload_bytes::bigint payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 +
+    list_sum(list_transform(range(5), lambda j: bits[5 * i + j + 1]::int * (16 >> j)))::int]), '') payload_digest,
+  case when page_id = kept then 'response' else 'revisit' end record_type,
+  case when page_id <> kept then kept end refers_to from b
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.history(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
