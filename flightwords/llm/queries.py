@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, simhash, toxicity, warc
+from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, simhash, substrings, toxicity, warc
 from flightwords.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,26 @@ select page_id, payload_bytes::bigint payload_bytes,
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.history(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_substrings", r"""
+with d as (select doc_id, coalesce(text, '') t, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n_bytes from documents),
+w as (
+  select doc_id, i, substr(h, (2 * i + 1)::int, 100) s
+  from (select doc_id, h, unnest(range(n_bytes - 49)) i from d where n_bytes >= 50)),
+m as (select s, min(doc_id) first from w group by s),
+c as (select distinct w.doc_id, i from w join m using (s) where m.first < w.doc_id),
+g as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end is_new from c),
+r as (select *, sum(is_new) over (partition by doc_id order by i) run from g),
+spans as (select doc_id, run, min(i) a, max(i) + 50 b from r group by doc_id, run),
+gaps as (
+  select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) before from spans),
+kept as (
+  select g.doc_id, string_agg(substr(h, (2 * before + 1)::int, (2 * (a - before))::int), '' order by a) head, max(b) tail, sum(b - a)::bigint removed, count(*) n
+  from gaps g join d using (doc_id) group by g.doc_id)
+select d.doc_id, n_bytes::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(n, 0)::bigint n_spans,
+       sha256(unhex(coalesce(head || substr(h, (2 * tail + 1)::int), h))) kept_sha256
+from d left join kept using (doc_id)
+""")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove(table(spark, sf_dir, "documents"), texts=False)
