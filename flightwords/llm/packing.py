@@ -36,7 +36,7 @@ WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks that a worker remembers (about 250 bytes each), and bytes of ids handed on at a time.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 FLUSH = 4 << 20
 #: White space to Python's split() but not to the tokenizer.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -65,10 +65,27 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(dict.fromkeys(chunks))
-        for k in range(0, len(new), 4096):
-            self.known.update(zip(new[k : k + 4096], self._ids(new[k : k + 4096])))
+        if new:
+            self._learn(new)
         return b"".join(map(self.known.__getitem__, chunks))
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that differ only in ASCII case and trailing punctuation share the work:
+        the tokenizer lower-cases, and splits between a letter or digit and such signs."""
+        known = self.known
+        parts = [(c, *_stem(c)) for c in chunks]
+        new = [s for s in dict.fromkeys(s for _, stem, tail in parts for s in (stem, tail)) if s not in known]
+        for k in range(0, len(new), 4096):
+            known.update(zip(new[k : k + 4096], self._ids(new[k : k + 4096])))
+        for c, stem, tail in parts:
+            known[c] = known[stem] + known[tail] if tail else known[stem]
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    low = chunk.lower() if chunk.isascii() else chunk
+    stem = low.rstrip(".,;:!?")
+    return (stem, low[len(stem) :]) if stem and stem[-1].isalnum() else (low, "")
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
