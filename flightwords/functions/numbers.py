@@ -7,10 +7,22 @@ from pyspark.sql import functions as F
 
 
 def plain_decimal(v: Column) -> Column:
-    """Decimal spelling without exponent or trailing zeros; NULL → '' (SCL-08)."""
-    text = v.cast("decimal(38,18)").cast("string")
-    text = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
-    return F.when(v.isNull(), "").when(v == 0, "0").otherwise(text)
+    """Decimal spelling without exponent or trailing zeros; NULL → '' (SCL-08).
+
+    The shortest digits that give the number back are kept; only its point is
+    moved, so no size is too large or too small.
+    """
+    text = v.cast("double").cast("string")
+    digits = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), "^-", "")
+    power = F.coalesce(F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+    left, right = F.split_part(digits, F.lit("."), F.lit(1)), F.split_part(digits, F.lit("."), F.lit(2))
+    every, point = F.concat(left, right), F.length(left) + power
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(1 - point, F.lit(0))), every, F.repeat(F.lit("0"), point - F.length(every)))
+    at = F.greatest(point, F.lit(1))
+    whole = F.regexp_replace(F.substr(padded, F.lit(1), at), "^0+(?=[0-9])", "")
+    rest = F.regexp_replace(F.substr(padded, at + 1), "0+$", "")
+    out = F.concat(F.when(v < 0, "-").otherwise(""), whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    return F.when(v.isNull(), "").when(v == 0, "0").when(F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")), text).otherwise(out)
 
 
 def resolution_decimals(resolution: Column, cap: int = 4) -> Column:
@@ -34,23 +46,27 @@ def parse_number(text: Column, decimal_comma: bool = False) -> Column:
     else:
         refused = t.rlike(r"^-?[0-9]+,[0-9]+$")
         t = F.replace(t, F.lit(","), F.lit(""))
-    fraction = r"^(-?[0-9]+)\s*/\s*([0-9]+)$"
-    power = r"^(-?[0-9]+(?:\.[0-9]+)?)\s*\^\s*\(?(-?[0-9]+)\)?$"
-    plain = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-    num = F.regexp_extract(t, fraction, 1).try_cast("double")
-    den = F.regexp_extract(t, fraction, 2).try_cast("double")
-    base = F.regexp_extract(t, power, 1).try_cast("double")
-    exponent = F.regexp_extract(t, power, 2).try_cast("double")
+    # two operands around one sign of operation, each read by itself
+    side = lambda sign, i: F.trim(F.split_part(t, F.lit(sign), F.lit(i)))
+    num, den = whole_number(side("/", 1)), whole_number(F.when(~side("/", 2).startswith("-"), side("/", 2)))
+    raised = F.regexp_replace(side("^", 2), r"^\(|\)$", "")
+    base, exponent = F.when(side("^", 1).rlike(f"^{SIGNED}$"), side("^", 1).try_cast("double")), whole_number(raised)
     return (
         F.when(refused, F.lit(None).cast("double"))
-        .when(t.rlike(fraction), F.when(den != 0, num / den))
-        .when(t.rlike(power), F.pow(base, exponent))
-        .when(t.rlike(plain), t.try_cast("double"))
+        .when(t.contains("/"), F.when((den != 0) & (F.size(F.split(t, "/")) == 2), num / den))
+        .when(t.contains("^"), F.when(F.size(F.split(t, r"\^")) == 2, F.pow(base, exponent)))
+        .when(t.rlike(r"^[-+]?(?=\.?\d)\d*\.?\d*([eE][-+]?\d+)?$"), t.try_cast("double"))
     )
 
 
-NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
-NUMBER_PAIR = rf"^\s*({NUMBER})\s*(?:[,;]\s*|\s+)({NUMBER})\s*$"
+def whole_number(t: Column) -> Column:
+    return F.when(t.rlike(r"^-?\d+$"), t.try_cast("double"))
+
+
+#: A number with a digit on both sides of its point, if it has one; and with a power of ten.
+SIGNED = r"-?\d+(?:\.\d+)?"
+NUMBER = SIGNED + r"(?:[eE][+-]?\d+)?"
+NUMBER_PAIR = rf"^\s*({NUMBER})(?:\s*[,;]\s*|\s+)({NUMBER})\s*$"
 
 
 def split_number_pair(text: Column) -> Column:

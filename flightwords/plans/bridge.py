@@ -29,35 +29,35 @@ def _p(pid, name, ptype, occs, unit=None, lo=None, hi=None, res=1.0, off=0.0, fo
 # One mapping document that covers every type and every status.
 # occs: list of occurrences; a segment is (subframes, word, lsb, msb, weight).
 MAPPING = [
-    _p("P01", "PITCH", "analog_signed", [[(ALL, 4, 3, 12, None)], [(ALL, 36, 3, 12, None)]], "deg", -90.0, 90.0, 0.176,
-       description="Pitch attitude"),
-    _p("P02", "HEADING", "analog_unsigned", [[((1, 3), 6, 1, 12, None)]], "deg", 0.0, 300.0, 0.0879,
-       description="Magnetic heading"),
-    _p("P03", "ALTITUDE", "analog_signed", [[(ALL, 26, 1, 9, None), (ALL, 25, 1, 12, None)]], "ft", -2000.0, 60000.0,
-       0.25, description="Pressure altitude"),
-    _p("P04", "FLAP", "analog_unsigned", [[((2, 4), 10, 1, 12, None)]], "deg", -2.0, 20.0, 0.0062, -1.6,
-       description="Flap position"),
-    _p("P05", "AILERON", "analog_unsigned", [[(ALL, 12, 12, 1, None)]], "deg", -31.5, 31.5, -0.0153, 31.2,
-       description="Aileron position"),
-    _p("P06", "GEAR", "discrete", [[(ALL, 13, 1, 1, None)]], "none", true="DOWN", false="UP",
-       description="Gear lever"),
-    _p("P07", "MODE", "discrete", [[(ALL, 13, 2, 3, None)]], states=((0, "OFF"), (1, "ARM"), (2, "")), true="ACTIVE",
-       description="Autopilot mode"),
-    _p("P08", "COURSE", "bcd", [[((2,), 14, 1, 12, None)]], "deg", 0.0, 359.0, description="Selected course"),
-    _p("P09", "YEAR", "bcd", [[((4,), 19, 9, 12, 10.0), ((4,), 19, 5, 8, 1.0)]], description="Year"),
-    _p("P10", "TEST WORD", "raw", [[((1, 2), 20, 1, 12, None)]], description="Raw test word"),
-    _p("P11", "SPARE", "unknown", [[((1,), 15, 1, 12, None)]]),
+    _p("P01", "OIL TEMP", "analog_signed", [[(ALL, 7, 2, 11, None)], [(ALL, 41, 2, 11, None)]], "C", -60.0, 120.0, 0.3,
+       description="Oil temperature"),
+    _p("P02", "GAS TEMP", "analog_unsigned", [[((1, 3), 9, 1, 12, None)]], "C", 0.0, 900.0, 0.25,
+       description="Exhaust gas temperature"),
+    _p("P03", "GROSS MASS", "analog_signed", [[(ALL, 34, 1, 9, None), (ALL, 33, 1, 12, None)]], "kg", -1000.0, 300000.0,
+       0.5, description="Mass in two words"),
+    _p("P04", "VALVE", "analog_unsigned", [[((2, 4), 11, 1, 12, None)]], "pct", -2.5, 90.0, 0.03, -2.5,
+       description="Valve opening"),
+    _p("P05", "INLET TEMP", "analog_unsigned", [[(ALL, 17, 12, 1, None)]], "C", -35.0, 35.0, -0.02, 40.0,
+       description="Inlet temperature, falling scale"),
+    _p("P06", "DOOR", "discrete", [[(ALL, 15, 1, 1, None)]], "none", true="OPEN", false="SHUT",
+       description="Cargo door"),
+    _p("P07", "SOURCE", "discrete", [[(ALL, 15, 2, 3, None)]], states=((0, "NONE"), (1, "LEFT"), (2, "")), true="BOTH",
+       description="Selected source"),
+    _p("P08", "CHANNEL", "bcd", [[((2,), 16, 1, 12, None)]], "C", 0.0, 650.0, description="Three digits"),
+    _p("P09", "LEG NO", "bcd", [[((4,), 22, 9, 12, 10.0), ((4,), 22, 5, 8, 1.0)]], description="Leg of the day"),
+    _p("P10", "PATTERN", "raw", [[((1, 2), 24, 1, 12, None)]], description="Test pattern"),
+    _p("P11", "RESERVED", "unknown", [[((1,), 18, 1, 12, None)]]),
     _p("P12", "UNMAPPED", "analog_signed", []),
-    _p("P13", "SPLIT", "analog_unsigned", [[((1,), 21, 1, 12, None), ((2,), 22, 1, 12, None)]], "deg"),
-    _p("P14", "BADBIT", "analog_unsigned", [[((1, 3), 23, 1, 12, None), ((1, 3), 24, 0, 5, None)]]),
-    _p("P15", "BADWORD", "analog_unsigned", [[((2,), 70, 1, 12, None)]]),
-    _p("P16", "TABLE", "analog_signed", [[((3,), 27, 1, 12, None)]], formula="table"),
-    _p("P17", "FUEL", "bcd", [[((1, 3), 28, 9, 12, 10.0), ((1, 3), 28, 5, 8, 1.0), ((1, 3), 28, 1, 4, 0.1)]], "t", 0.0,
-       60.0, 1.0, 0.0, description="Fuel quantity"),
-    _p("P18", "LATITUDE", "analog_signed", [[(ALL, 30, 3, 12, None), (ALL, 29, 3, 12, None)]], "deg", None, None,
-       0.000171661377, description="Present position latitude"),
+    _p("P13", "SPLIT", "analog_unsigned", [[((1,), 26, 1, 12, None), ((2,), 27, 1, 12, None)]], "C"),
+    _p("P14", "BADBIT", "analog_unsigned", [[((1, 3), 29, 1, 12, None), ((1, 3), 30, 0, 5, None)]]),
+    _p("P15", "BADWORD", "analog_unsigned", [[((2,), 71, 1, 12, None)]]),
+    _p("P16", "TABLE", "analog_signed", [[((3,), 32, 1, 12, None)]], formula="table"),
+    _p("P17", "OXYGEN", "bcd", [[((1, 3), 36, 9, 12, 10.0), ((1, 3), 36, 5, 8, 1.0), ((1, 3), 36, 1, 4, 0.1)]], "l", 0.0,
+       45.0, 1.0, 0.0, description="Oxygen quantity"),
+    _p("P18", "DRIFT", "analog_signed", [[(ALL, 46, 3, 12, None), (ALL, 45, 3, 12, None)]], "C", None, None,
+       0.00125, description="Sensor drift"),
     _p("P19", "EMPTY", "analog_signed", [[]]),
-    _p("P20", "OUTSIDE", "raw", [[((1, 7), 31, 1, 12, None)]]),
+    _p("P20", "OUTSIDE", "raw", [[((1, 7), 49, 1, 12, None)]]),
 ]
 
 

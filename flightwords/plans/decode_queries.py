@@ -83,7 +83,7 @@ _only("values_for_parameter", "param_id = 'P01'")
     "decode_frames",
     f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp
     UNION ALL
-    SELECT s.rec, s.seq, s.fi, 7, 'P20', 1, (s.t_end - 1.0) + 30 / 64.0, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_MAPPING'
+    SELECT s.rec, s.seq, s.fi, 7, 'P20', 1, (s.t_end - 1.0) + 48 / 64.0, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_MAPPING'
     FROM sub s WHERE s.sf = 1 AND s.state = 'RECEIVED'""",
 )
 def decode_frames(spark, sf_dir):
@@ -348,10 +348,10 @@ def word_inspector(spark, sf_dir):
 
 @query(
     "touching_word",
-    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE sf = 2 AND (pid, occ) IN (SELECT (pid, occ) FROM segx WHERE word = 13)""",
+    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE sf = 2 AND (pid, occ) IN (SELECT (pid, occ) FROM segx WHERE word = 15)""",
 )
 def touching_word(spark, sf_dir):
-    return sample_columns(series.touching_word(samples(spark, sf_dir, trace=True), 2, 13))
+    return sample_columns(series.touching_word(samples(spark, sf_dir, trace=True), 2, 15))
 
 
 @query(

@@ -18,14 +18,14 @@ scn AS (
          CASE event_type WHEN 'view' THEN 'P01' WHEN 'click' THEN 'P02' WHEN 'purchase' THEN 'P17' WHEN 'signup' THEN 'P06'
               ELSE CASE WHEN value < 5 THEN 'P99' ELSE 'P03' END END AS pid,
          CASE event_type WHEN 'signup' THEN NULL WHEN 'error' THEN value * 100 ELSE value END AS value,
-         CASE WHEN event_type = 'signup' THEN CASE WHEN value > 20 THEN ' down' ELSE 'Up' END END AS label
+         CASE WHEN event_type = 'signup' THEN CASE WHEN value > 20 THEN ' open' ELSE 'Shut' END END AS label
   FROM events),
 dict AS (SELECT rec, fi, pid, min(ord) AS ord, arg_max(struct_pack(v := value, l := label), ord) AS s FROM scn GROUP BY ALL),
 raw AS (
   SELECT rec, fi, pid, ord, s.v AS value, s.l AS label,
-         CASE pid WHEN 'P01' THEN round_even(s.v / 0.176::DOUBLE, 0) WHEN 'P02' THEN round_even(s.v / 0.0879::DOUBLE, 0)
-              WHEN 'P03' THEN round_even(s.v / 0.25::DOUBLE, 0) WHEN 'P17' THEN round_even(s.v / 0.1::DOUBLE, 0)
-              WHEN 'P06' THEN CASE WHEN s.l = ' down' THEN 1 ELSE 0 END END::BIGINT AS r
+         CASE pid WHEN 'P01' THEN round_even(s.v / 0.3::DOUBLE, 0) WHEN 'P02' THEN round_even(s.v / 0.25::DOUBLE, 0)
+              WHEN 'P03' THEN round_even(s.v / 0.5::DOUBLE, 0) WHEN 'P17' THEN round_even(s.v / 0.1::DOUBLE, 0)
+              WHEN 'P06' THEN CASE WHEN s.l = ' open' THEN 1 ELSE 0 END END::BIGINT AS r
   FROM dict),
 pat AS (
   SELECT *, CASE pid WHEN 'P01' THEN CASE WHEN r <= 511 THEN r END WHEN 'P02' THEN CASE WHEN r <= 4095 THEN r END
@@ -46,7 +46,7 @@ def scenario(spark, sf_dir):
         F.expr("event_id div 1024").cast("string").alias("recording_id"), F.expr("event_id div 2").alias("frame_index"),
         F.col("event_id").alias("ord"), pid.alias("param_id"),
         F.when(kind == "error", F.col("value") * 100).when(kind != "signup", F.col("value")).alias("value"),
-        F.when(kind == "signup", F.when(F.col("value") > 20, " down").otherwise("Up")).alias("label"),
+        F.when(kind == "signup", F.when(F.col("value") > 20, " open").otherwise("Shut")).alias("label"),
     )
     return encode.dictionary(entries)
 
@@ -72,9 +72,9 @@ def encode_patterns(spark, sf_dir):
 @query(
     "encode_words",
     f"""WITH {SCN}, cell(pid, sfs, word, lo_, width, shift) AS (VALUES
-      ('P01', [1, 2, 3, 4], 4, 3, 10, 0), ('P01', [1, 2, 3, 4], 36, 3, 10, 0), ('P02', [1, 3], 6, 1, 12, 0),
-      ('P03', [1, 2, 3, 4], 26, 1, 9, 12), ('P03', [1, 2, 3, 4], 25, 1, 12, 0), ('P06', [1, 2, 3, 4], 13, 1, 1, 0),
-      ('P17', [1, 3], 28, 1, 12, 0)),
+      ('P01', [1, 2, 3, 4], 7, 2, 10, 0), ('P01', [1, 2, 3, 4], 41, 2, 10, 0), ('P02', [1, 3], 9, 1, 12, 0),
+      ('P03', [1, 2, 3, 4], 34, 1, 9, 12), ('P03', [1, 2, 3, 4], 33, 1, 12, 0), ('P06', [1, 2, 3, 4], 15, 1, 1, 0),
+      ('P17', [1, 3], 36, 1, 12, 0)),
     fr AS (SELECT DISTINCT rec, fi FROM scn),
     wr AS (SELECT p.rec, p.fi, u.sf, c.word, ((p.pattern >> c.shift) & ((1 << c.width) - 1)) << (c.lo_ - 1) AS bits
            FROM pat p JOIN cell c ON c.pid = p.pid, unnest(c.sfs) u(sf) WHERE p.pattern IS NOT NULL)
@@ -100,12 +100,12 @@ def encode_words(spark, sf_dir):
     "closed_loop",
     f"""WITH {SCN}, k AS (
       SELECT p.rec AS recording_id, p.fi AS frame_index, p.pid AS param_id, p.value, p.label, coalesce(pattern, 0) AS raw_pattern,
-        CASE pid WHEN 'P01' THEN (coalesce(pattern, 0)::DOUBLE * 0.176::DOUBLE + 0.0::DOUBLE)
-                 WHEN 'P02' THEN coalesce(pattern, 0)::DOUBLE * 0.0879::DOUBLE WHEN 'P03' THEN coalesce(pattern, 0)::DOUBLE * 0.25::DOUBLE
+        CASE pid WHEN 'P01' THEN (coalesce(pattern, 0)::DOUBLE * 0.3::DOUBLE + 0.0::DOUBLE)
+                 WHEN 'P02' THEN coalesce(pattern, 0)::DOUBLE * 0.25::DOUBLE WHEN 'P03' THEN coalesce(pattern, 0)::DOUBLE * 0.5::DOUBLE
                  WHEN 'P17' THEN CASE WHEN pattern IS NULL THEN 0.0::DOUBLE
                    ELSE round(0.0::DOUBLE + (r // 100) * 10.0::DOUBLE + (r // 10 % 10) * 1.0::DOUBLE + (r % 10) * 0.1::DOUBLE, 10) END END AS eng_value,
-        CASE WHEN pid = 'P06' THEN CASE WHEN pattern = 1 THEN 'DOWN' ELSE 'UP' END END AS eng_label,
-        CASE pid WHEN 'P01' THEN 0.176::DOUBLE WHEN 'P02' THEN 0.0879::DOUBLE WHEN 'P03' THEN 0.25::DOUBLE WHEN 'P17' THEN 1.0::DOUBLE END / 2 + 1e-9 AS tol
+        CASE WHEN pid = 'P06' THEN CASE WHEN pattern = 1 THEN 'OPEN' ELSE 'SHUT' END END AS eng_label,
+        CASE pid WHEN 'P01' THEN 0.3::DOUBLE WHEN 'P02' THEN 0.25::DOUBLE WHEN 'P03' THEN 0.5::DOUBLE WHEN 'P17' THEN 1.0::DOUBLE END / 2 + 1e-9 AS tol
       FROM pat p WHERE pid <> 'P99')
     SELECT recording_id, frame_index, param_id, raw_pattern, eng_value, eng_label,
            CASE WHEN label IS NULL THEN abs(eng_value - value) <= tol ELSE true END AS passed

@@ -39,7 +39,7 @@ def test_subframes_types_states_headers(spark):
     assert fields == ["parameter_name", "parameter_type", "word_location", "mnemonic_and_name", "frequency", None]
 
 
-BASE = dict(parameter_name="PITCH ATT #1", parameter_type="Signed Analog", frequency="1", word_location="4", subframe="all", msb="12", lsb="3", resolution="0.176")
+BASE = dict(parameter_name="OIL TEMP #2", parameter_type="Signed Analog", frequency="1", word_location="4", subframe="all", msb="12", lsb="3", resolution="0.176")
 
 
 def rows(spark, *over, doc="d"):
@@ -92,7 +92,7 @@ def test_review_flow(spark):
     got = {r.param_id: r for r in items.collect()}
     assert {k: r.state for k, r in got.items()} == {"pdf-0001": "APPROVED", "pdf-0002": "APPROVED", "pdf-0003": "REVIEW_REQUIRED",
                                                     "pdf-0004": "APPROVED", "pdf-0005": "REVIEW_REQUIRED"}
-    assert (got["pdf-0001"].mnemonic, got["pdf-0004"].mnemonic) == ("PITCH ATT #1 #1", "PITCH ATT #1: second")
+    assert (got["pdf-0001"].mnemonic, got["pdf-0004"].mnemonic) == ("OIL TEMP #2 #1", "OIL TEMP #2: second")
     assert review.publishable(items).first().problem == "rows still need review"
     decisions = spark.createDataFrame([("d", "pdf-0003", 1, "approve"), ("d", "pdf-0005", 1, "approve"), ("d", "pdf-0005", 2, "exclude")],
                                       "document_id string, param_id string, at int, action string")
