@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from flightwords.llm.common import pick, unpack
 
-SAMPLE = 2_500
+SAMPLE = 1_500
 SAMPLE_BYTES = 32_768
 WORD_DOCS = 5
 LEAST_WEIGHT = 0.15
@@ -87,43 +87,61 @@ class Model:
         return 1 - clean, found
 
 
-def _descend(bags: list[list[list[int]]], toxic: np.ndarray, words: int, rounds: int, decay: float) -> tuple[float, np.ndarray]:
-    """Bias and weights that fit the documents' labels; Adam on the noisy-or likelihood."""
-    doc = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
-    if not len(doc):
-        return -8.0, np.zeros(words)
-    sizes = np.array([len(s) for bag in bags for s in bag], np.int64)
-    word = np.fromiter((w for bag in bags for s in bag for w in s), np.int64, int(sizes.sum()))
-    sentence = np.repeat(np.arange(len(doc)), sizes)
-    x = np.zeros(words + 1)
+def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, toxic: np.ndarray, width: int, rounds: int, decay: float) -> tuple[float, np.ndarray]:
+    """Bias and weights that fit the documents' labels; Adam on the noisy-or likelihood.
+
+    ``doc`` is the document of each sentence, (sentence, feature) what they hold.
+    """
+    x = np.zeros(width + 1)
     x[-1] = -4.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, rounds + 1):
-        z = x[-1] + np.bincount(sentence, x[word], len(doc))
-        evidence = np.bincount(doc, np.logaddexp(0, z), len(bags))  # -log of the probability to be clean
+        z = x[-1] + np.bincount(sentence, x[feature], len(doc))
+        evidence = np.bincount(doc, np.logaddexp(0, z), len(toxic))  # -log of the probability to be clean
         slope = np.where(toxic, -1 / np.expm1(np.clip(evidence, 1e-6, 50)), 1.0)
         dz = slope[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(word, dz[sentence], words), dz.sum()) / len(bags)
+        g = np.append(np.bincount(feature, dz[sentence], width), dz.sum()) / len(toxic)
         g[:-1] += decay * x[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return float(x[-1]), x[:-1]
 
 
+def _renumbered(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    return (np.cumsum(keep) - 1)[x]
+
+
 def train(rows: list[tuple[str, bool]]) -> Model:
     toxic = np.array([t for _, t in rows], bool)
     if not toxic.any() or toxic.all():
         return Model(0.0, {})
-    bags = [[[f for w in set(WORDS.findall(s)) for f in features(w)] for s in SENTENCE.findall(text.lower())] for text, _ in rows]
-    seen = Counter(f for bag in bags for f in set().union(*bag))
-    vocabulary = sorted(f for f, n in seen.items() if n >= WORD_DOCS)
-    index = {f: i for i, f in enumerate(vocabulary)}
-    every = [[[index[f] for f in s if f in index] for s in bag] for bag in bags]
-    _, weights = _descend(every, toxic, len(vocabulary), ROUNDS, 1 / len(rows))
-    vocabulary = [f for f, x in zip(vocabulary, weights) if x > LEAST_WEIGHT * weights.max()]
-    index = {f: i for i, f in enumerate(vocabulary)}
-    some = [[k for s in bag if (k := [index[f] for f in s if f in index])] for bag in bags]
-    bias, weights = _descend(some, toxic, len(vocabulary), ROUNDS * 3, 0.02 / len(rows))
+    # numbers instead of strings: every word and feature is held once
+    words, doc, sentence, held = {}, array("l"), array("l"), array("l")
+    for d, (text, _) in enumerate(rows):
+        for s in SENTENCE.findall(text.lower()):
+            own = [words.setdefault(w, len(words)) for w in sorted(set(WORDS.findall(s)))]
+            sentence.extend([len(doc)] * len(own))
+            held.extend(own)
+            doc.append(d)
+    names: dict[str, int] = {}
+    parts = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+    size = np.array([len(p) for p in parts] + [0])
+    begin, flat = np.cumsum(size) - size, np.array([f for p in parts for f in p], np.int64)
+    doc, sentence, held = (np.frombuffer(x, np.int64) for x in (doc, sentence, held))
+    n = size[held]
+    feature = flat[np.repeat(begin[held] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    sentence = np.repeat(sentence, n)
+    vocabulary = np.array(list(names), object)
+    seen = np.bincount(np.unique(doc[sentence] * len(names) + feature) % len(names), minlength=len(names))
+    keep = seen >= WORD_DOCS
+    for last in (False, True):
+        on = keep[feature]
+        sentence, feature, vocabulary = sentence[on], _renumbered(feature[on], keep), vocabulary[keep]
+        if last:  # sentences without a feature are clean
+            full = np.bincount(sentence, minlength=len(doc)) > 0
+            sentence, doc = _renumbered(sentence, full), doc[full]
+        bias, weights = _descend(doc, sentence, feature, toxic, len(vocabulary), ROUNDS * (3 if last else 1), (0.02 if last else 1) / len(rows))
+        keep = weights > LEAST_WEIGHT * weights.max(initial=0.0)
     return Model(bias, {f: float(x) for f, x in zip(vocabulary, weights)})
 
 
