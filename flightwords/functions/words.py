@@ -88,15 +88,16 @@ def bcd_value(v: Column) -> Column:
 
 def bcd_encode(n: Column) -> Column:
     """Bit pattern whose nibbles are the decimal digits of ``n``."""
-    return F.conv(n.cast("string"), 16, 10).cast("bigint")
+    return F.conv(n.cast("string"), 16, 10).try_cast("bigint")
 
 
 def bcd_capacity(width: Column) -> Column:
-    """Largest decimal a BCD field of ``width`` bits holds (SCL-32)."""
+    """Largest decimal a BCD field of ``width`` bits holds (SCL-32), BIGINT's largest at most."""
     full = F.floor(width / 4).cast("int")
     rest = (width % 4).cast("int")
     top = F.when(rest > 0, F.least(F.lit(9), F.pow(F.lit(2), rest) - 1)).otherwise(0)
-    return (top * F.pow(F.lit(10), full) + F.pow(F.lit(10), full) - 1).cast("bigint")
+    value = top * F.pow(F.lit(10), full) + F.pow(F.lit(10), full) - 1
+    return F.coalesce(value.try_cast("bigint"), F.lit(2**63 - 1))
 
 
 # -- subframe selectors and frame-absolute words (SCL-04, SCL-05) ----------

@@ -20,9 +20,11 @@ from ..schemas import (
 )
 from ..session import BROADCAST_ROW_LIMIT
 
-# Widest field held as BIGINT; wider ones keep their exact bits as text and a
-# DOUBLE value (declared deviation).
+# Widest field that is shifted together as BIGINT.  Wider ones are read from
+# their exact bits: digits and labels hold at any width, numbers are rounded
+# once, to the nearest DOUBLE, and raw_integer is given wherever it fits.
 MAX_EXACT_WIDTH = 62
+WIDE = "decimal(38,0)"
 
 TRACE_COLUMNS = ("segs", "failing", "occurrence_error", "ptype")
 
@@ -146,11 +148,20 @@ def decode(
         joined = joined.select("*", *[f.alias(f"x{i}") for i, f in enumerate(fields)])
         fields = [F.col(f"x{i}") for i in range(parts)]
     raw = reduce(Column.bitwiseOR, [shift_left(f, F.col(f"shl{i}")) for i, f in enumerate(fields)])
-    joined = joined.withColumn("raw_integer", F.when(narrow, raw) if profile["wide"] else raw)
+    if profile["wide"]:
+        by_part = [F.when(F.col(f"width{i}") > 0, F.lpad(F.bin(f), F.col(f"width{i}"), F.lit("0"))) for i, f in enumerate(fields)]
+        every = F.when(~narrow & fields[0].isNotNull(), F.concat_ws("", *by_part))
+        joined = joined.withColumn("wide_bits", every)
+        shown = F.regexp_replace("wide_bits", "^0+(?=.)", "")
+        fits = F.when(F.length(shown) <= MAX_EXACT_WIDTH, F.conv(shown, 2, 10).cast("bigint"))
+        raw = F.when(narrow, raw).otherwise(fits)
+    joined = joined.withColumn("raw_integer", raw)
 
     v = F.col("raw_integer")
     number = (v - shift_left(v.bitwiseAND(F.col("sign_bit")), F.lit(1))).cast("double")
     digits = bcd_value(v).cast("double")
+    if profile["wide"]:
+        digits = F.when(narrow, digits).otherwise(wide_digits(F.col("wide_bits")).try_cast("double"))
     if profile["weighted"]:
         total = reduce(lambda a, b: a + b, [bcd_value(f) * F.col(f"wt{i}") for i, f in enumerate(fields)], F.lit(0.0))
         digits = F.when(F.col("weighted"), F.round(total, 10)).otherwise(digits)
@@ -178,13 +189,12 @@ def decode(
             e > F.col("maximum"), "above maximum"
         ),
     )
-    label = F.coalesce(
-        F.try_element_at("labels", v), F.when(v != 0, F.col("label_set")).when(v == 0, F.col("label_clear"))
-    )
+    is_set = v != 0
     bits = F.lpad(F.bin("raw_integer"), F.col("bit_width"), F.lit("0"))
     if profile["wide"]:
-        by_part = [F.when(F.col(f"width{i}") > 0, F.lpad(F.bin(f), F.col(f"width{i}"), F.lit("0"))) for i, f in enumerate(fields)]
-        bits = F.when(narrow, bits).when(fields[0].isNotNull(), F.concat_ws("", *by_part))
+        is_set = F.when(narrow, is_set).otherwise(F.contains("wide_bits", F.lit("1")))
+        bits = F.when(narrow, bits).otherwise(F.col("wide_bits"))
+    label = F.coalesce(F.try_element_at("labels", v), F.when(is_set, F.col("label_set")).when(~is_set, F.col("label_clear")))
     out = [
         "recording_id", "document_id", "seq", "frame_index", F.col("sample_subframe").alias("subframe"),
         "param_ord", "param_id", "param_name", "occ",
@@ -204,14 +214,26 @@ def decode(
     return joined.select(*out)
 
 
+def wide_digits(bits: Column) -> Column:
+    """The nibbles of a bit text as digits; no number when one is above 9."""
+    full = F.lpad(bits, (F.ceil(F.length(bits) / 4) * 4).cast("int"), F.lit("0"))
+    nibbles = F.transform(F.sequence(F.lit(1), F.length(full), F.lit(4)), lambda i: F.conv(F.substr(full, i, F.lit(4)), 2, 16))
+    text = F.array_join(nibbles, "")
+    return F.when(text.rlike("^[0-9]+$"), text)
+
+
 def wide_number(fields: list[Column]) -> Column:
-    """Value of a field too wide for BIGINT, as DOUBLE."""
-    value: Column = F.lit(0.0)
+    """Value of a field too wide for BIGINT: whole in DECIMAL up to 126 bits, beyond that in DOUBLE."""
+    exact, whole, near = F.lit(0).cast(WIDE), F.lit(1).cast(WIDE), F.lit(0.0)
     for i, f in enumerate(fields):
-        value = value * F.pow(F.lit(2.0), F.col(f"width{i}")) + f.cast("double")
+        step = shift_left(F.lit(1).cast("bigint"), F.col(f"width{i}"))
+        exact = F.try_add(F.try_multiply(exact, step).try_cast(WIDE), f).try_cast(WIDE)
+        whole = F.try_multiply(whole, step).try_cast(WIDE)
+        near = near * step.cast("double") + f.cast("double")
     # ``sign_bit`` wraps around for such widths; its presence alone marks a signed field.
-    whole = F.pow(F.lit(2.0), F.col("bit_width"))
-    return F.when((F.col("sign_bit") != 0) & (value >= whole / 2), value - whole).otherwise(value)
+    negative = (F.col("sign_bit") != 0) & F.startswith("wide_bits", F.lit("1"))
+    signed = F.when(negative, F.try_subtract(exact, whole)).otherwise(exact).cast("double")
+    return F.coalesce(signed, F.when(negative, near - F.pow(F.lit(2.0), F.col("bit_width"))).otherwise(near))
 
 
 def segment_trace(failing: Column) -> Column:

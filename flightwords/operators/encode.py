@@ -73,19 +73,22 @@ def patterns(scenario: DataFrame, parameters: DataFrame, segments: DataFrame, do
     kind, width = F.col("ptype"), F.col("width")
     number = F.coalesce("value", F.col("label").try_cast("double"))
     scaled = (number - F.col("offset")) / F.nullif("resolution", F.lit(0.0))
-    raw = F.rint(scaled).cast("bigint")
-    limit = shift_left(F.lit(1).cast("bigint"), width)
-    half = shift_left(F.lit(1).cast("bigint"), width - 1)
+    # numbers beyond BIGINT fit no field; limits of fields of 63 bits and more are BIGINT's own
+    raw = F.rint(scaled).try_cast("bigint")
+    one, most = F.lit(1).cast("bigint"), F.lit(2**63 - 1)
+    limit = F.when(width < 63, shift_left(one, width)).otherwise(most)
+    half = F.when(width < 64, shift_left(one, F.least(width, F.lit(63)) - 1)).otherwise(most)
+    mask = F.when(width < 63, shift_left(one, width) - 1).when(width == 63, most)
     upper = F.upper(F.trim("label"))
     discrete = (
-        F.when(F.col("label").isNull() & F.col("value").isin(0.0, 1.0), F.col("value").cast("bigint"))
+        F.when(F.col("label").isNull() & F.col("value").isin(0.0, 1.0), F.col("value").try_cast("bigint"))
         .when(upper == F.upper(F.trim(F.coalesce("true_state", F.lit("TRUE")))), F.lit(1).cast("bigint"))
         .when(upper == F.upper(F.trim(F.coalesce("false_state", F.lit("FALSE")))), F.lit(0).cast("bigint"))
     )
-    whole = number.cast("bigint")
+    whole = number.try_cast("bigint")
     linear = F.col("formula_type") == "linear"
     plain = (
-        F.when((kind == ANALOG_SIGNED) & linear & raw.between(-half, half - 1), raw.bitwiseAND(limit - 1))
+        F.when((kind == ANALOG_SIGNED) & linear & raw.between(-half, half - 1), F.when(raw >= 0, raw).otherwise(raw.bitwiseAND(mask)))
         .when((kind == ANALOG_UNSIGNED) & linear & (raw >= 0) & (raw < limit), raw)
         .when((kind == BCD) & linear & (raw >= 0) & (bcd_encode(raw) < limit), bcd_encode(raw))
         .when((kind == DISCRETE) & (discrete < limit), discrete)
@@ -98,7 +101,7 @@ def patterns(scenario: DataFrame, parameters: DataFrame, segments: DataFrame, do
         F.transform("segs", lambda s, i: F.abs(s["weight"] - base * F.pow(F.lit(10.0), n - 1 - i)) <= LADDER_TOLERANCE * s["weight"]),
         lambda good: good,
     )
-    integer = F.rint(scaled / base).cast("bigint")
+    integer = F.rint(scaled / F.nullif(base, F.lit(0.0))).try_cast("bigint")
     digits = F.transform("segs", lambda s, i: (F.floor(integer / F.pow(F.lit(10.0), n - 1 - i)) % 10).cast("bigint"))
     roomy = F.forall(F.zip_with("segs", digits, lambda s, d: d < shift_left(F.lit(1).cast("bigint"), s["width"])), lambda b: b)
     weighted_ok = (base > 0) & ladder & (integer >= 0) & (integer < F.pow(F.lit(10.0), n)) & roomy

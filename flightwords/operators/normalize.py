@@ -243,8 +243,9 @@ def _layout(df: DataFrame, conv: Conventions) -> DataFrame:
     stated = ok & (F.trim(_raw("frequency")) != "")
     hz = F.when(stated, frequency_hz(F.col("_f.value"), F.col("frequency_unit")))
     df = df.withColumn("rate_hz", hz).withColumn("_exp", expected_occurrences(F.col("rate_hz"), F.col("subframes")))
-    uneven = F.abs(F.col("_exp") - F.rint("_exp")) > 1e-9
-    df = df.withColumn("_uneven", F.coalesce(uneven, F.lit(False))).withColumn("expected", F.when(~F.col("_uneven"), F.rint("_exp").cast("int")))
+    # a rate that no document can hold is as unusable as an uneven one
+    uneven = (F.abs(F.col("_exp") - F.rint("_exp")) > 1e-9) | (F.abs("_exp") > 2**31 - 1)
+    df = df.withColumn("_uneven", F.coalesce(uneven, F.lit(False))).withColumn("expected", F.when(~F.col("_uneven"), F.rint("_exp").try_cast("int")))
     n_words, n_groups = F.size(F.flatten("groups")), F.size("groups")
     grouped = F.col("forced") | F.exists("groups", lambda g: F.size(g) > 1)
     identical = F.size(F.array_distinct("specs")) == 1
@@ -473,7 +474,8 @@ def merge_continuations(rows: DataFrame) -> DataFrame:
     texty = F.lit(False)
     for n in CONTINUATION:
         texty = texty | (F.trim(_raw(n)) != "")
-    order = F.col("page").cast("bigint") * 1_000_000_000 + F.col("table_no") * 100_000 + F.col("row_no")
+    # 2 ** 21 tables a page and rows a table; one table is one run of numbers
+    order = F.shiftleft(F.col("page").cast("bigint"), 42) + F.shiftleft(F.col("table_no").cast("bigint"), 21) + F.col("row_no")
     d = rows.withColumn("_at", order).withColumn("_tail", bare & texty)
     d = blocks.carry_last(d, ["document_id"], blocks.block_of(F.col("page"), 64), [F.col("_at")], F.when(~F.col("_tail"), F.col("_at")), "_start")
     first = d.groupBy("document_id").agg(F.min("_at").alias("_first"))

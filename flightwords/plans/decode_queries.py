@@ -390,3 +390,49 @@ def sample_view(spark, sf_dir):
     return view.drop("source_type").withColumn("occ", F.col("occ").cast("bigint")).withColumn(
         "subframe", F.col("subframe").cast("bigint")
     )
+
+
+# Six words of three digits each; every fifth subframe holds a word that is no number.
+WIDE_WORD = "CASE WHEN c % 5 = 0 AND {i} = 3 THEN 4095 ELSE (((c + {i} * 7) % 1000) // 100) * 256 + (((c + {i} * 7) % 1000) // 10 % 10) * 16 + (c + {i} * 7) % 10 END"
+
+
+def _wide_mapping(spark):
+    """A document with fields of 72 bits: digits, a flag, a number with and without sign."""
+    segs = [[(bridge.ALL, w, 1, 12, None) for w in range(2, 8)]]
+    kinds = [("W1", "bcd"), ("W2", "discrete"), ("W3", "raw"), ("W4", "analog_signed")]
+    docs = bridge.literal_documents(spark)
+    pars = bridge.literal_parameters(spark).limit(0)
+    rows = [(bridge.DOCUMENT_ID, i, pid, pid, "", None, kind, None, None, None, 1.0, 0.0, "linear", None, "SET", "CLEAR", [], None)
+            for i, (pid, kind) in enumerate(kinds, 1)]
+    pars = spark.createDataFrame(rows, pars.schema)
+    cells = [(bridge.DOCUMENT_ID, pid, 1, k, list(sfs), w, lsb, msb, wt) for pid, _ in kinds for k, (sfs, w, lsb, msb, wt) in enumerate(segs[0], 1)]
+    return docs, pars, spark.createDataFrame(cells, bridge.literal_segments(spark).schema)
+
+
+@query(
+    "decode_wide",
+    f"""WITH {SUB}, w AS (
+      SELECT rec, seq, c, c % 5 = 0 AS odd, c % 7 = 0 AS blank, [{", ".join(WIDE_WORD.format(i=i) for i in range(1, 7))}] AS v0
+      FROM sub WHERE state = 'RECEIVED'),
+    x AS (SELECT *, CASE WHEN blank THEN [0, 0, 0, 0, 0, 0] ELSE v0 END AS v FROM w),
+    b AS (SELECT *, array_to_string(list_transform(v, lambda y: lpad(bin(y::INT), 12, '0')), '') AS bits,
+          list_sum([v[i]::HUGEINT * (4096::HUGEINT ** (6 - i))::HUGEINT for i in range(1, 7)])::HUGEINT AS n FROM x),
+    d AS (SELECT *, array_to_string(list_transform(v, lambda y: lpad(lower(hex(y::INT)), 3, '0')), '') AS hexed FROM b)
+    SELECT rec AS recording_id, seq, p AS param_id, bits AS raw_bits,
+      CASE p WHEN 'W1' THEN CASE WHEN blank OR NOT odd THEN CAST(right(hexed, 18) AS DOUBLE) END
+             WHEN 'W4' THEN (CASE WHEN v[1] >= 2048 THEN n - 4722366482869645213696::HUGEINT ELSE n END)::VARCHAR::DOUBLE
+             ELSE n::VARCHAR::DOUBLE END AS decoded,
+      CASE WHEN p = 'W2' THEN CASE WHEN blank THEN 'CLEAR' ELSE 'SET' END END AS eng_label,
+      CASE WHEN p = 'W1' AND odd AND NOT blank THEN 'INVALID_BCD' ELSE 'VALID' END AS status
+    FROM d, (VALUES ('W1'), ('W2'), ('W3'), ('W4')) q(p)""",
+)
+def decode_wide(spark, sf_dir):
+    """Fields of 72 bits: digits, labels and numbers hold at any width (DEC-06, 09, 11)."""
+    h = bridge.subframe_headers(spark, sf_dir)
+    digit = lambda i: (F.col("c") + i * 7) % 1000
+    packed = lambda i: F.floor(digit(i) / 100) * 256 + F.floor(digit(i) / 10) % 10 * 16 + digit(i) % 10
+    word = lambda i: F.when(F.col("c") % 7 == 0, 0).when((F.col("c") % 5 == 0) & (F.lit(i) == 3), 4095).otherwise(packed(i)).cast("int")
+    words = F.concat(F.array(F.lit(0)), F.array(*[word(i) for i in range(1, 7)]), F.array_repeat(F.lit(0), bridge.WPS - 7))
+    rows = mapping.sample_plans(*_wide_mapping(spark))
+    out = dec.decode(dec.decodable(h.withColumn("words", words)), rows)
+    return out.select("recording_id", "seq", "param_id", "raw_bits", "decoded", "eng_label", "status")

@@ -123,3 +123,29 @@ def closed_loop(spark, sf_dir):
     plan_rows, profile = prepared(spark)
     report = encode.closed_loop(scn, enc, dec.decode(rows, plan_rows, profile=profile), pars)
     return report.select("recording_id", "frame_index", "param_id", "raw_pattern", "eng_value", "eng_label", "passed")
+
+
+@query(
+    "encode_overflow",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS recording_id, p AS param_id,
+      CASE WHEN o_orderkey % 3 = 0 THEN NULL
+           WHEN p = 'P01' THEN CASE WHEN round_even(x / 0.3::DOUBLE, 0) BETWEEN -512 AND 511
+             THEN CAST(round_even(x / 0.3::DOUBLE, 0) AS BIGINT) & 1023 END
+           WHEN p = 'P10' THEN CASE WHEN trunc(x) BETWEEN 0 AND 4095 THEN CAST(trunc(x) AS BIGINT) END
+           WHEN p = 'P08' THEN CASE WHEN round_even(x, 0) BETWEEN 0 AND 999
+             THEN (CAST(round_even(x, 0) AS BIGINT) // 100) * 256 + (CAST(round_even(x, 0) AS BIGINT) // 10 % 10) * 16 + CAST(round_even(x, 0) AS BIGINT) % 10 END
+      END AS pattern
+    FROM (SELECT o_orderkey, (o_totalprice - 150000) / 500 AS x FROM orders), (VALUES ('P01'), ('P08'), ('P10')) q(p)""",
+)
+def encode_overflow(spark, sf_dir):
+    """Values that fit no field, up to 1e30, are error rows and stop nothing (ENC-02)."""
+    _, pars, segs = bridge.literal_mapping(spark)
+    o = bridge.table(spark, sf_dir, "orders")
+    huge = F.when(F.col("o_orderkey") % 2 == 0, 1e30).otherwise(-1e30)
+    scn = o.select(
+        F.col("o_orderkey").cast("string").alias("recording_id"), F.lit(0).cast("bigint").alias("frame_index"), F.lit(1).cast("bigint").alias("ord"),
+        F.explode(F.array(F.lit("P01"), F.lit("P08"), F.lit("P10"))).alias("param_id"),
+        F.when(F.col("o_orderkey") % 3 == 0, huge).otherwise((F.col("o_totalprice") - 150000) / 500).alias("value"), F.lit(None).cast("string").alias("label"),
+    )
+    enc = encode.patterns(scn, pars, segs, bridge.DOCUMENT_ID).filter("occ = 1")
+    return enc.select("recording_id", "param_id", "pattern")

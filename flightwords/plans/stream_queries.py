@@ -202,6 +202,9 @@ def crc_packets(spark, sf_dir):
     )
 
 
+FILES_PER_BATCH = 256
+
+
 def _scratch(spark) -> tuple[str, str]:
     root = os.path.join(checkpoint_dir(spark), f"live-{uuid.uuid4().hex}")
     return f"{root}/table", f"{root}/progress"
@@ -209,8 +212,14 @@ def _scratch(spark) -> tuple[str, str]:
 
 def order_stream(spark, sf_dir):
     """The recorded subframes as a stream of the orders file."""
-    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/orders.parquet"
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    stream = spark.readStream.schema(table.schema)
+    if len(files) == 1 and files[0].endswith("/orders.parquet"):
+        # a stream watches folders; the one file is picked out of its own
+        return stream.option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return stream.option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 @query(

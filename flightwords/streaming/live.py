@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import assemble
 from ..operators.decode import decodable, decode, numeric_value
 from ..operators.series import RATE_MIN_SPAN
-from ..schemas import INVALID, LATE, MISSING, PENDING, RECEIVED, SUBFRAMES
+from ..schemas import INVALID, LATE, MISSING, PENDING, RECEIVED, SUBFRAME_COUNT, SUBFRAMES
 
 
 def subframe_stream(spark: SparkSession, path: str, schema: str = SUBFRAMES, **options) -> DataFrame:
@@ -105,7 +105,9 @@ def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 def assemble_stream(rows: DataFrame) -> DataFrame:
     """Arrivals of a stream of (recording_id, seq, subframe, valid, frame_id, t_end,
     words) rows, in order within a recording (STR-04, STR-05)."""
-    return rows.groupBy("recording_id").applyInPandasWithState(
+    # as in batch: a row that belongs to no subframe takes no part
+    placed = rows.filter(F.col("subframe").between(1, SUBFRAME_COUNT))
+    return placed.groupBy("recording_id").applyInPandasWithState(
         _assemble, ARRIVALS, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
