@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MISSING, STATUSES
+from ..session import broadcast_if_small, materialize
 from . import blocks
 from .decode import numeric_value
 
@@ -32,6 +35,12 @@ def _append_order() -> list[Column]:
     return [F.col("seq"), F.col("occ")]
 
 
+def position() -> Column:
+    """A point's place in append order as one number, which hash aggregates can hold:
+    subframes below 2 ** 43 a recording, occurrences below 2 ** 20 a subframe."""
+    return F.shiftleft(F.col("seq"), 20) + F.col("occ")
+
+
 def _block(size: int) -> Column:
     return blocks.block_of(F.col("seq"), size)
 
@@ -90,13 +99,13 @@ def status_matrix(samples: DataFrame, *keys: str) -> DataFrame:
 def window_start(points: DataFrame, seconds: float, now: float | None = None) -> DataFrame:
     """First stored point of each series inside the trailing window, as ``_start``.
 
-    Two aggregations with map-side combine; no series is ever sorted.
+    Two hash aggregations with map-side combine; no series is ever sorted.
     """
-    end = points.groupBy(*SERIES).agg(F.max_by("t", F.struct("seq", "occ")).alias("_end"))
+    end = points.groupBy(*SERIES).agg(F.max_by("t", position()).alias("_end"))
     cut = end.select(*SERIES, ((F.lit(now) if now is not None else F.col("_end")) - seconds).alias("_cut"))
     return (
         points.join(cut, list(SERIES)).filter(F.col("t") >= F.col("_cut"))
-        .groupBy(*SERIES).agg(F.min(F.struct("seq", "occ")).alias("_start"))
+        .groupBy(*SERIES).agg(F.min(position()).alias("_start"))
     )
 
 
@@ -105,14 +114,43 @@ def trailing_window(points: DataFrame, seconds: float | None, now: float | None
     if seconds is None:
         return points
     start = window_start(points, seconds, now)
-    return points.join(start, list(SERIES)).filter(F.struct("seq", "occ") >= F.col("_start")).drop("_start")
+    return points.join(start, list(SERIES)).filter(position() >= F.col("_start")).drop("_start")
+
+
+def recent_points(subframes: DataFrame, points_of: Callable[[DataFrame], DataFrame], seconds: float) -> DataFrame:
+    """``trailing_window`` of the points that ``points_of`` decodes from subframes, without storing them.
+
+    One pass finds where series end (a row per series is kept).  A point lies in
+    the second before its subframe's end, so the windows then need only the
+    subframes from the earliest cut of their recording on, which are decoded
+    again; the rest is never looked at.
+    """
+    keys = list(SERIES)
+    ends = points_of(subframes).groupBy(*keys).agg(F.max_by("t", position()).alias("_end"))
+    cut = materialize(ends.select(*keys, (F.col("_end") - seconds).alias("_cut")))
+    low = cut.groupBy("recording_id").agg(F.min("_cut").alias("_low"))
+    near = subframes.join(broadcast_if_small(low), "recording_id").filter(F.col("t_end") >= F.col("_low")).drop("_low")
+    first = points_of(near).join(broadcast_if_small(cut), keys).filter(F.col("t") >= F.col("_cut"))
+    start = materialize(first.groupBy(*keys).agg(F.min(position()).alias("_start")))
+    begin = start.groupBy("recording_id").agg(F.shiftright(F.min("_start"), 20).alias("_begin"))
+    late = subframes.join(broadcast_if_small(begin), "recording_id").filter(F.col("seq") >= F.col("_begin")).drop("_begin")
+    return points_of(late).join(broadcast_if_small(start), keys).filter(position() >= F.col("_start")).drop("_start")
+
+
+def latest_subframes(subframes: DataFrame) -> DataFrame:
+    """The subframe rows that can hold a latest sample: of each recording, document,
+    subframe number and length the last one (WIN-04).  Only numbers are aggregated."""
+    keys = ["recording_id", "document_id", "subframe", "_n"]
+    d = subframes.withColumn("_n", F.size("words"))
+    last = d.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    return d.join(last, [*keys, "seq"], "left_semi").drop("_n")
 
 
 def series_stats(points: DataFrame, seconds: float | None = None, now: float | None = None) -> DataFrame:
     """count / current / min / max / mean of the window (AGG-02)."""
     return trailing_window(points, seconds, now).groupBy(*SERIES).agg(
         F.count("*").alias("n"),
-        F.max_by("value", F.struct("seq", "occ")).alias("current"),
+        F.max_by("value", position()).alias("current"),
         F.min("value").alias("minimum"),
         F.max("value").alias("maximum"),
         F.avg("value").alias("average"),
@@ -129,9 +167,9 @@ def duration_bound(points: DataFrame, seconds: float = MAX_SECONDS) -> DataFrame
     newest = points.groupBy(*SERIES).agg((F.max("t") - seconds).alias("_cut"))
     start = (
         points.join(newest, list(SERIES)).filter(F.col("t") >= F.col("_cut"))
-        .groupBy(*SERIES).agg(F.min(F.struct("seq", "occ")).alias("_start"))
+        .groupBy(*SERIES).agg(F.min(position()).alias("_start"))
     )
-    return points.join(start, list(SERIES)).filter(F.struct("seq", "occ") >= F.col("_start")).drop("_start")
+    return points.join(start, list(SERIES)).filter(position() >= F.col("_start")).drop("_start")
 
 
 def history(points: DataFrame, n: int = MAX_SAMPLES, seconds: float = MAX_SECONDS) -> DataFrame:
@@ -163,7 +201,7 @@ def sample_keys_changed(before: DataFrame, after: DataFrame) -> DataFrame:
 def overlay(points: DataFrame, param_id: str) -> DataFrame:
     """Series sharing the unit of ``param_id`` with the common end time (WIN-09)."""
     ends = points.groupBy(*SERIES).agg(
-        F.min("unit").alias("unit"), F.max_by("t", F.struct("seq", "occ")).alias("end_t")
+        F.min("unit").alias("unit"), F.max_by("t", position()).alias("end_t")
     )
     chosen = ends.filter(F.col("param_id") == param_id).select("recording_id", F.col("unit").alias("_unit"))
     same = ends.join(chosen, "recording_id").filter(F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode as dec
 from ..operators import inspect, mapping, series
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from . import bridge
 from .registry import query
 from .sqltext import MAP, PTS, SMP, SUB, word_of
@@ -111,7 +111,7 @@ def mapping_errors(spark, sf_dir):
     errors = mapping.mapping_errors(pars, segs)
     first = dec.decodable(bridge.subframe_headers(spark, sf_dir)).filter("subframe = 1")
     return (
-        first.join(F.broadcast(errors), "document_id")
+        first.join(broadcast_if_small(errors), "document_id")
         .groupBy("recording_id", "param_id", long("occ"), "message").agg(F.count("*").alias("frames"))
     )
 
@@ -172,16 +172,27 @@ def _window_sql(seconds: float, now: str = "last_t") -> str:
     win AS (SELECT p.* FROM pts p JOIN beg ON beg.rec = p.rec AND beg.pid = p.pid WHERE (p.seq, p.occ) >= beg.b)"""
 
 
+def recent(spark, sf_dir, seconds: float) -> DataFrame:
+    rows, profile = prepared(spark)
+    subs = dec.decodable(bridge.subframes(spark, sf_dir))
+    return series.recent_points(subs, lambda s: series.series(dec.decode(s, rows, profile=profile)), seconds)
+
+
+def settled(stats: DataFrame) -> DataFrame:
+    """Averages to six digits (moved off ties), as their last bits follow the order of addition."""
+    return stats.withColumn("average", F.round(F.col("average") + 3e-8, 6))
+
+
 def _series_stats(name: str, seconds: int):
     @query(
         name,
         f"""WITH {PTS}, {_window_sql(seconds)}
         SELECT rec AS recording_id, pid AS param_id, count(*) AS n, arg_max(value, (seq, occ)) AS current,
-               min(value) AS minimum, max(value) AS maximum
+               min(value) AS minimum, max(value) AS maximum, round(avg(value) + 3e-8, 6) AS average
         FROM win GROUP BY ALL""",
     )
     def run(spark, sf_dir):
-        return series.series_stats(points(spark, sf_dir, scans=3), float(seconds)).drop("average")
+        return settled(series.series_stats(recent(spark, sf_dir, float(seconds))))
 
     return run
 
@@ -193,10 +204,10 @@ for _s in (30, 300):
 @query(
     "series_stats_all",
     f"""WITH {PTS} SELECT rec AS recording_id, pid AS param_id, count(*) AS n, arg_max(value, (seq, occ)) AS current,
-    min(value) AS minimum, max(value) AS maximum FROM pts GROUP BY ALL""",
+    min(value) AS minimum, max(value) AS maximum, round(avg(value) + 3e-8, 6) AS average FROM pts GROUP BY ALL""",
 )
 def series_stats_all(spark, sf_dir):
-    return series.series_stats(points(spark, sf_dir)).drop("average")
+    return settled(series.series_stats(points(spark, sf_dir)))
 
 
 @query(
@@ -226,11 +237,17 @@ def ring_duration(spark, sf_dir):
     f"""WITH {PTS}, {_window_sql(60)} SELECT rec AS recording_id, pid AS param_id, seq, occ::BIGINT AS occ, t, value FROM win""",
 )
 def trailing_window(spark, sf_dir):
-    return series.trailing_window(points(spark, sf_dir, scans=3), 60.0).select(
+    return recent(spark, sf_dir, 60.0).select(
         "recording_id", "param_id", "seq", long("occ"), "t", "value"
     )
 
 
+def latest_samples(spark, sf_dir) -> DataFrame:
+    """Samples of the only subframes that can hold a latest one."""
+    rows, profile = prepared(spark)
+    return dec.decode(series.latest_subframes(dec.decodable(bridge.subframes(spark, sf_dir))), rows, profile=profile)
+
+
 @query(
     "latest_value",
     f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp
@@ -238,7 +255,7 @@ def trailing_window(spark, sf_dir):
 )
 def latest_value(spark, sf_dir):
     """Latest sample per (parameter, occurrence, subframe) (WIN-04)."""
-    return sample_columns(series.latest(samples(spark, sf_dir)))
+    return sample_columns(series.latest(latest_samples(spark, sf_dir)))
 
 
 @query(
@@ -271,10 +288,10 @@ def overlay_same_unit(spark, sf_dir):
 
 @query(
     "sample_search",
-    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE contains(lower(name || ' ' || descr), 'position')""",
+    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE contains(lower(name || ' ' || descr), 'temperature')""",
 )
 def sample_search(spark, sf_dir):
-    found = series.search(samples(spark, sf_dir, keep=("description",)), "POSITION")
+    found = series.search(samples(spark, sf_dir, keep=("description",)), "TEMPERATURE")
     return sample_columns(found)
 
 
@@ -305,7 +322,7 @@ def numeric_parameters(spark, sf_dir):
 )
 def sample_order(spark, sf_dir):
     """Latest samples in canonical order (SRT-01)."""
-    return series.canonical_order(series.latest(samples(spark, sf_dir))).select(
+    return series.canonical_order(series.latest(latest_samples(spark, sf_dir))).select(
         "recording_id", "param_id", long("occ"), long("subframe"), "status"
     )
 
