@@ -42,8 +42,11 @@ def records_of(files: DataFrame) -> DataFrame:
 
 
 def read_adb(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return records_of(files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"), "content"))
+    """Files of a folder, or documents that ``write_adb`` wrote."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    written = F.url_decode(F.nullif(F.regexp_extract("path", r"/document_id=([^/]+)/[^/]*$", 1), F.lit("")))
+    named = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    return records_of(files.select(F.coalesce(written, named).alias("document_id"), "content"))
 
 
 def csv_line(fields: Column) -> Column:
@@ -64,15 +67,11 @@ def contents(records: DataFrame) -> DataFrame:
 
 
 def write_adb(files: DataFrame, folder: str) -> None:
-    """Write each document's bytes under a folder every executor can reach."""
-    def save(rows):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = os.path.join(folder, f".{r.document_id}.part")
-            with open(part, "wb") as handle:
-                handle.write(bytes(r.content))
-            os.replace(part, os.path.join(folder, f"{r.document_id}.adb"))
-
-    files.foreachPartition(save)
+    """Write each document's bytes under its own folder, through Spark's writer.
+
+    A text is written as the bytes it holds; the writer adds the last line end.
+    """
+    end = F.octet_length("content") - 2
+    text = F.substring(F.col("content"), F.lit(1), end).cast("string")
+    rows = files.select("document_id", text.alias("value")).repartition("document_id")
+    rows.write.partitionBy("document_id").option("lineSep", "\r\n").text(folder)
