@@ -12,7 +12,7 @@ from flightwords.session import local_session
 
 HEADLINE = (
     "decode_samples", "decode_status_counts", "series_stats_30s", "ring_last_n", "latest_value", "carry_forward", "word_rate",
-    "assembler_stats", "wrong_rate", "bit_overlap", "encode_patterns",
+    "assembler_stats", "wrong_rate", "bit_overlap", "encode_patterns", "live_equals_batch",
 )
 
 

@@ -51,3 +51,16 @@ def test_order_stream_of_a_file_and_of_a_folder(spark, tmp_path):
         q = stream_queries.order_stream(spark, folder).select("o_orderkey").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() == orders.count()
+
+
+def test_windows_store_no_points_and_sort_no_series(spark, monkeypatch):
+    from flightwords.operators import series
+    from flightwords.plans import QUERIES
+
+    written = []
+    monkeypatch.setattr(series, "materialize", lambda df: written.append(df.columns) or df)
+    for name in ("series_stats_30s", "series_stats_all", "trailing_window"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan or name == "trailing_window" and "SortAggregate" not in plan
+    # a row per series at most, never its points
+    assert written and all("value" not in columns for columns in written)
