@@ -247,12 +247,17 @@ def word_rate(arrivals: DataFrame, block_seconds: float = 3600.0) -> DataFrame:
 
 
 def rate_at(arrivals: DataFrame, now: DataFrame) -> DataFrame:
-    """Rate as seen at later instants ``now(recording_id, now)``; decays to 0."""
-    hit = now.join(arrivals, "recording_id", "left").filter(
-        F.col("t").isNull() | F.col("t").between(F.col("now") - RATE_WINDOW, F.col("now"))
-    )
+    """Rate as seen at later instants ``now(recording_id, now)``; decays to 0.
+
+    Instants and arrivals meet by stretches of the window's length, so a recording's
+    arrivals never meet all of its instants.
+    """
+    stretch = lambda c: F.floor(F.col(c) / RATE_WINDOW).cast("bigint")
+    asked = now.select("recording_id", "now", F.explode(F.array(stretch("now") - 1, stretch("now"))).alias("_b"))
+    near = arrivals.select("recording_id", "t", "n_words", stretch("t").alias("_b"))
+    hit = asked.join(near, ["recording_id", "_b"]).filter(F.col("t").between(F.col("now") - RATE_WINDOW, F.col("now")))
     rate = hit.groupBy("recording_id", "now").agg(
-        F.sum("n_words").alias("_words"), F.greatest(F.first("now") - F.min("t"), F.lit(RATE_MIN_SPAN)).alias("_span")
+        F.sum("n_words").alias("_words"), F.greatest(F.col("now") - F.min("t"), F.lit(RATE_MIN_SPAN)).alias("_span")
     )
     return now.join(rate, ["recording_id", "now"], "left").select(
         "recording_id", "now", F.coalesce(F.col("_words") / F.col("_span"), F.lit(0.0)).alias("word_rate")

@@ -177,3 +177,19 @@ def status_matrix(spark, sf_dir):
     """One column per status (AGG-01)."""
     m = series.status_matrix(samples(spark, sf_dir), "recording_id", "param_id")
     return m.select("recording_id", "param_id", "valid", "out_of_range", "invalid_bcd", "invalid_mapping", "unsupported_type")
+
+
+@query(
+    "rate_at",
+    f"""WITH {SUB}, a AS (SELECT rec, t_end AS t FROM sub WHERE state <> 'MISSING'),
+    n AS (SELECT rec, t_end + 1.5 AS now FROM sub WHERE seq % 7 = 0 UNION SELECT rec, t_end + 100000 FROM sub WHERE seq % 11 = 0)
+    SELECT n.rec AS recording_id, n.now, coalesce(count(a.t) * 64 / greatest(n.now - min(a.t), 0.25), 0)::DOUBLE AS word_rate
+    FROM n LEFT JOIN a ON a.rec = n.rec AND a.t BETWEEN n.now - 2 AND n.now GROUP BY n.rec, n.now""",
+)
+def rate_at(spark, sf_dir):
+    """Word rate at given instants, some long after the last arrival (STR-08)."""
+    h = bridge.subframe_headers(spark, sf_dir)
+    arrivals = h.filter("state <> 'MISSING'").select("recording_id", F.col("t_end").alias("t"), F.lit(64).alias("n_words"))
+    soon = h.filter("seq % 7 = 0").select("recording_id", (F.col("t_end") + 1.5).alias("now"))
+    late = h.filter("seq % 11 = 0").select("recording_id", (F.col("t_end") + 100000).alias("now"))
+    return series.rate_at(arrivals, soon.union(late).distinct())
