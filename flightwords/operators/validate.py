@@ -28,6 +28,17 @@ def _issue(df: DataFrame, severity: str, rule: str, message: Column, param: Colu
     )
 
 
+def _checked(df: DataFrame, checks: list[tuple], param: Column | None = None) -> DataFrame:
+    """Issues of a table in one pass: every (condition, severity, rule, message) that holds for a row."""
+    found = F.array_compact(F.array(*[
+        F.when(condition, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message")))
+        for condition, severity, rule, message in checks
+    ]))
+    none = F.lit(None).cast("string")
+    rows = df.select("document_id", (none if param is None else param).alias("param_id"), F.inline(found))
+    return rows.select("document_id", "severity", "rule", "param_id", none.alias("related_id"), "message")
+
+
 def _text(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -37,37 +48,33 @@ def union(issues: list[DataFrame]) -> DataFrame:
 
 
 def structural(documents: DataFrame, parameters: DataFrame, segments: DataFrame) -> DataFrame:
-    c = F.col
-    docs = documents
-    syncs = docs.select("document_id", F.explode("sync_words").alias("sync"))
+    c, pid = F.col, F.col("param_id")
     listed = segments.select("document_id", "param_id").distinct()
     empty = segments.groupBy("document_id", "param_id", "occ").agg(F.count("seq").alias("n")).filter("n = 0")
-    segs = segments.filter("seq IS NOT NULL").join(docs.select("document_id", "wps"), "document_id")
-    bits = segs.select("document_id", "param_id", "occ", "seq", F.inline(F.array(
-        F.struct(F.lit("lsb").alias("name"), c("lsb").alias("bit")), F.struct(F.lit("msb").alias("name"), c("msb").alias("bit"))
-    )))
-    where = lambda: (_text("occ ", c("occ"), " seg ", c("seq"), ": "))
-    convertible = parameters.filter(c("ptype").isin(*LINEAR_TYPES))
-    pid = c("param_id")
+    segs = segments.filter("seq IS NOT NULL").join(documents.select("document_id", "wps"), "document_id")
+    where = _text("occ ", c("occ"), " seg ", c("seq"), ": ")
+    outside = lambda name: ~c(name).between(1, WORD_BITS)
     bad_sf = (F.size("subframes") == 0) | F.exists("subframes", lambda s: ~s.between(1, SUBFRAME_COUNT))
+    linear = c("ptype").isin(*LINEAR_TYPES)
+    syncs = documents.select("document_id", F.explode("sync_words").alias("sync"))
     return union([
-        _issue(docs.filter("wps <= 0"), ERROR, "structural.wps", _text("invalid WPS ", c("wps"))),
-        _issue(docs.filter(F.size("sync_words") != SUBFRAME_COUNT), WARNING, "structural.sync_words",
-               _text(F.size("sync_words"), " sync words defined, expected 4")),
-        _issue(syncs.filter(~c("sync").between(0, WORD_MAX)), ERROR, "structural.sync_words",
-               _text("sync word ", c("sync"), " outside 0..4095")),
+        _checked(documents, [
+            (c("wps") <= 0, ERROR, "structural.wps", _text("invalid WPS ", c("wps"))),
+            (F.size("sync_words") != SUBFRAME_COUNT, WARNING, "structural.sync_words", _text(F.size("sync_words"), " sync words defined, expected 4")),
+        ]),
+        _checked(syncs, [(~c("sync").between(0, WORD_MAX), ERROR, "structural.sync_words", _text("sync word ", c("sync"), " outside 0..4095"))]),
         _issue(parameters.join(listed, ["document_id", "param_id"], "left_anti"), ERROR, "structural.mapping_empty",
                F.lit("parameter has no mapping"), pid),
         _issue(empty, ERROR, "structural.mapping_empty", _text("occurrence ", c("occ"), " has no segments"), pid),
-        _issue(segs.filter(~c("word").between(1, c("wps"))), ERROR, "structural.word_range",
-               _text(where(), "word ", c("word"), " outside 1..", c("wps")), pid),
-        _issue(bits.filter(~c("bit").between(1, WORD_BITS)), ERROR, "structural.bit_range",
-               _text(where(), c("name"), " ", c("bit"), " outside 1..12"), pid),
-        _issue(segs.filter(bad_sf), ERROR, "structural.subframe",
-               _text(where(), "invalid subframes ", F.array_join("subframes", ",")), pid),
-        _issue(convertible.filter("resolution = 0"), ERROR, "structural.resolution", F.lit("resolution must be non-zero"), pid),
-        _issue(convertible.filter("formula_type <> 'linear'"), WARNING, "structural.formula",
-               _text("unsupported formula_type ", c("formula_type")), pid),
+        _checked(segs, [
+            (~c("word").between(1, c("wps")), ERROR, "structural.word_range", _text(where, "word ", c("word"), " outside 1..", c("wps"))),
+            *[(outside(n), ERROR, "structural.bit_range", _text(where, f"{n} ", c(n), " outside 1..12")) for n in ("lsb", "msb")],
+            (bad_sf, ERROR, "structural.subframe", _text(where, "invalid subframes ", F.array_join("subframes", ","))),
+        ], pid),
+        _checked(parameters.filter(linear), [
+            (c("resolution") == 0, ERROR, "structural.resolution", F.lit("resolution must be non-zero")),
+            (c("formula_type") != "linear", WARNING, "structural.formula", _text("unsupported formula_type ", c("formula_type"))),
+        ], pid),
     ])
 
 
@@ -134,12 +141,12 @@ def semantic(parameters: DataFrame, segments: DataFrame) -> DataFrame:
         & (F.coalesce(F.size("states"), F.lit(0)) <= 0)
     )
     return union([
-        _issue(parameters.filter(~c("ptype").isin(*CANONICAL_TYPES)), ERROR, "semantic.type",
-               _text("unrecognized canonical type ", c("ptype")), pid),
-        _issue(parameters.filter(c("ptype") == UNKNOWN), WARNING, "semantic.type",
-               _text("source type ", F.coalesce("source_type", F.lit("none")), " did not normalize"), pid),
-        _issue(parameters.filter(unlabelled), WARNING, "semantic.discrete_states", F.lit("discrete without state labels"), pid),
-        _issue(parameters.filter("minimum > maximum"), ERROR, "semantic.range", F.lit("minimum above maximum"), pid),
+        _checked(parameters, [
+            (~c("ptype").isin(*CANONICAL_TYPES), ERROR, "semantic.type", _text("unrecognized canonical type ", c("ptype"))),
+            (c("ptype") == UNKNOWN, WARNING, "semantic.type", _text("source type ", F.coalesce("source_type", F.lit("none")), " did not normalize")),
+            (unlabelled, WARNING, "semantic.discrete_states", F.lit("discrete without state labels")),
+            (c("minimum") > c("maximum"), ERROR, "semantic.range", F.lit("minimum above maximum")),
+        ], pid),
         _issue(bit_overlaps(parameters, segments), WARNING, "semantic.overlap",
                _text("overlap in SF", c("subframe"), " word ", c("word")), pid, c("related_id")),
     ])
