@@ -36,6 +36,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,12 @@ HOT = 4096
 SHARD_BYTES = 8 << 20
 LEAST_BITS, MOST_BITS = 20, 30
 BLOCK = 1 << 17
+#: Bytes of text whose contexts are held at a time, and strings put into order at a time.
+SLICE = 12 << 20
+STRINGS = 200_000
 NO_ID = np.iinfo(np.int64).max
+#: Bits of the filter of documents that have stretches.
+FLAGS = 1 << 26
 
 MULTIPLIER, FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 REPLY = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("end", "<u4")])
@@ -125,11 +132,14 @@ class Plan:
         self.shard_bits = int(np.clip(np.ceil(np.log2(max(total / SHARD_BYTES, least_shards, 2))), 1, self.bits - 3))
         self.shards = 1 << self.shard_bits
 
-    def bit(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(33)) & np.uint64((1 << self.bits) - 1)
+        self.slice_bits = self.bits - self.shard_bits
+
+    def shard(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(40)) & np.uint64(self.shards - 1)).astype(np.int64)
 
-    def shard(self, bit: np.ndarray) -> np.ndarray:
-        return (bit >> np.uint64(self.bits - self.shard_bits)).astype(np.int64)
+    def bit(self, h: np.ndarray) -> np.ndarray:
+        """A shard's bits lie together; the lower half of a hash tells its anchors apart and has their bits."""
+        return (self.shard(h).astype(np.uint64) << np.uint64(self.slice_bits)) | (h & np.uint64((1 << self.slice_bits) - 1))
 
 
 def _dealt(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -141,6 +151,16 @@ def _dealt(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield int(shard[a]), rows[a:b]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some SLICE bytes of text; a longer text is one of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE
+        ends = np.concatenate([np.flatnonzero(np.diff(size)) + 1, [batch.num_rows]])
+        for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def _packed(parts: list[tuple[int, bytes]], names: tuple[str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], list(names))
 
@@ -149,49 +169,50 @@ def _repeated(docs: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(bitmap of anchors that several documents hold, sorted bits of hot ones)."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
+        for batch in _sliced(batches):
+            found, owner = [], []
             for b, which, begins in _blocks([t.as_py() or b"" for t in batch.column("text")]):
                 if len(b) < plan.length:
                     continue
                 h, _, at = _anchors(b, plan.length)
-                of = np.searchsorted(begins, at, side="right")
-                pair = np.unique(np.rec.fromarrays([which[of - 1], h[at]], names="doc,hash"))  # once a document
-                found.append(pair["hash"])
+                found.append(h[at])
+                owner.append(which[np.searchsorted(begins, at, side="right") - 1])
             if not found:
                 continue
-            own, n = np.unique(np.concatenate(found), return_counts=True)
-            shard, parts = plan.shard(plan.bit(own)), []
-            for s, k in _dealt(shard, np.arange(len(own))):
-                many = k[n[k] > 1]
+            h, doc = np.concatenate(found), np.concatenate(owner)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])  # once a document
+            h = h[once]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            own, n = h[first], np.diff(np.concatenate([first, [len(h)]]))
+            parts = []
+            for s, k in _dealt(plan.shard(own), np.arange(len(own))):
+                many = np.flatnonzero(n[k] > 1)
                 head = np.array([len(k), len(many)], "<u4").tobytes()
                 low = (own[k] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-                place = (plan.bit(own[k]) - (np.uint64(s) << np.uint64(plan.bits - plan.shard_bits))).astype("<u4").tobytes()
-                again = np.concatenate([np.searchsorted(k, many), n[many]]).astype("<u4").tobytes()
-                parts.append((s, head + low + place + again))
+                parts.append((s, head + low + np.concatenate([many, n[k][many]]).astype("<u4").tobytes()))
             yield _packed(parts, ("shard", "blob"))
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
-        low, place, count = [], [], []
+        low, count = [], []
         for blob in rows["blob"]:
             x = np.frombuffer(blob, "<u4")
             n, many = int(x[0]), int(x[1])
             low.append(x[2 : 2 + n])
-            place.append(x[2 + n : 2 + 2 * n])
             c = np.ones(n, np.int64)
-            c[x[2 + 2 * n : 2 + 2 * n + many]] = x[2 + 2 * n + many : 2 + 2 * n + 2 * many]
+            c[x[2 + n : 2 + n + many]] = x[2 + n + many : 2 + n + 2 * many]
             count.append(c)
-        key = (np.concatenate(place).astype(np.uint64) << np.uint64(32)) | np.concatenate(low)
-        own, at = np.unique(key, return_inverse=True)
+        own, at = np.unique(np.concatenate(low), return_inverse=True)
         docs_of = np.bincount(at, np.concatenate(count))
-        bits = np.zeros(1 << (plan.bits - plan.shard_bits), bool)
-        bits[(own[docs_of > 1] >> np.uint64(32)).astype(np.int64)] = True
-        base = int(rows["shard"].iloc[0]) << (plan.bits - plan.shard_bits)
-        hot = np.unique((own[docs_of > HOT] >> np.uint64(32)).astype("<u8") + np.uint64(base)).astype("<u8")
+        place = (own & np.uint32((1 << plan.slice_bits) - 1)).astype(np.int64)
+        bits = np.zeros(1 << plan.slice_bits, bool)
+        bits[place[docs_of > 1]] = True
+        hot = np.unique(place[docs_of > HOT] + (int(rows["shard"].iloc[0]) << plan.slice_bits)).astype("<u8")
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()], "hot": [hot.tobytes()]})
 
     slices = docs.mapInArrow(seen, "shard int, blob binary").groupBy("shard").applyInPandas(counted, "shard int, bits binary, hot binary")
-    bitmap, hot, width = np.zeros(1 << (plan.bits - 3), np.uint8), [np.zeros(0, np.uint64)], 1 << (plan.bits - plan.shard_bits - 3)
+    bitmap, hot, width = np.zeros(1 << (plan.bits - 3), np.uint8), [np.zeros(0, np.uint64)], 1 << (plan.slice_bits - 3)
     for r in slices.toLocalIterator():  # 2 ** (MOST_BITS - 3) bytes at most, and hot ones by the thousands
         bitmap[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
         hot.append(np.frombuffer(r["hot"], "<u8"))
@@ -247,7 +268,7 @@ def _contexts(texts: list[bytes], docs: np.ndarray, ties: np.ndarray, plan: Plan
         r["text"] = np.ascontiguousarray(grid).view(f"V{reach}").ravel()
         r["mark"] = _marks(grid)
         out.append(r)
-        shards.append(np.where(burns, plan.shard(plan.bit(r["mark"])), plan.shard(bit[anchor])))
+        shards.append(np.where(burns, plan.shard(r["mark"]), plan.shard(r["hash"])))
     return np.concatenate(out), np.concatenate(shards)
 
 
@@ -262,6 +283,23 @@ def _marks(grid: np.ndarray) -> np.ndarray:
     return out * MULTIPLIER
 
 
+SENT = ("hash", "doc", "tie", "start", "count", "text")
+
+
+def _shrunk(r: np.ndarray) -> bytes:
+    """Records column by column, compressed; marks are made again on arrival."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(r)], "<u8").tobytes(), *[np.ascontiguousarray(r[c]).tobytes() for c in SENT]]))
+
+
+def _restored(blob: bytes, kind: np.dtype) -> np.ndarray:
+    raw, at = zstandard.ZstdDecompressor().decompress(blob), 8
+    r = np.zeros(int(np.frombuffer(raw, "<u8", 1)[0]), kind)
+    for c in SENT:
+        r[c] = np.frombuffer(raw, kind[c], len(r), at)
+        at += len(r) * kind[c].itemsize
+    return r
+
+
 def _equal_runs(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by anchor, context, document; number of the run of equal contexts of each entry in that order)."""
     order = np.lexsort((r["start"], r["tie"], r["doc"], r["count"], r["mark"], r["hash"]))
@@ -271,14 +309,14 @@ def _equal_runs(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _decided(r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(records that may still be first of their context, stretches of those that are not)."""
+    """(which records may still be first of their context, stretches of those that are not)."""
     if not len(r):
-        return r, np.zeros(0, REPLY)
+        return np.zeros(0, np.int64), np.zeros(0, REPLY)
     order, run = _equal_runs(r)
-    s = r[order]
-    first = s["doc"][np.searchsorted(run, np.arange(run[-1] + 1))]
-    later = s["doc"] > first[run]
-    return s[~later], _stretches(s[later], s["start"][later], s["start"][later] + s["count"][later] + length - 1)
+    doc = r["doc"][order]
+    later = doc > doc[np.searchsorted(run, np.arange(run[-1] + 1))][run]
+    s = r[order[later]]
+    return order[~later], _joined(_stretches(s, s["start"], s["start"] + s["count"] + length - 1))
 
 
 def _stretches(r: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -293,12 +331,25 @@ def _previous(r: np.ndarray, length: int) -> np.ndarray:
     r = r[n[np.searchsorted(hashes, r["hash"])] > 1]
     if not len(r):
         return np.zeros(0, REPLY)
-    # the suffixes at which strings begin, in order of their first ``length`` bytes, then document
+    # whole anchors at a time, so many that their strings stay within some MB
+    r = r[np.argsort(r["hash"], kind="stable")]
+    size = np.cumsum(r["count"].astype(np.int64)) // STRINGS
+    ends = np.flatnonzero(np.concatenate([r["hash"][1:] != r["hash"][:-1], [True]])) + 1
+    ends = ends[np.concatenate([np.diff(size[ends - 1]) != 0, [True]])]
+    return np.concatenate([_ordered(r[x:y], length) for x, y in zip(np.concatenate([[0], ends[:-1]]), ends)])
+
+
+def _ordered(r: np.ndarray, length: int) -> np.ndarray:
+    """The suffixes at which strings begin, in order of their first ``length`` bytes, then document."""
     count = r["count"].astype(np.int64)
     of = np.repeat(np.arange(len(r)), count)
     shift = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     grid = np.ascontiguousarray(r["text"]).view(np.uint8).reshape(len(r), -1)
-    strings = np.ascontiguousarray(grid[of[:, None], shift[:, None] + np.arange(length)]).view(f"S{length}").ravel()
+    strings = np.empty((len(of), length), np.uint8)
+    for k in range(int(count.max())):
+        at = shift == k
+        strings[at] = grid[of[at], k : k + length]
+    strings = strings.view(f"S{length}").ravel()
     doc = r["doc"][of]
     order = np.lexsort((doc, strings))
     words = strings[order]
@@ -309,7 +360,7 @@ def _previous(r: np.ndarray, length: int) -> np.ndarray:
     covered[order] = doc[order] > least[run]
     at = np.flatnonzero(covered)
     begin = r["start"][of[at]].astype(np.int64) + shift[at]
-    return _stretches(r[of[at]], begin, begin + length)
+    return _joined(_stretches(r[of[at]], begin, begin + length))
 
 
 def _joined(x: np.ndarray) -> np.ndarray:
@@ -344,24 +395,22 @@ def stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return [(s, rows.tobytes()) for s, rows in _dealt(bucket, x)]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             texts = [t.as_py() or b"" for t in batch.column("text")]
             doc, tie = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
             r, shard = _contexts(texts, doc, tie, plan, *shared.value)
-            if not len(r):
-                continue
-            parts, done = [], []
-            for s, rows in _dealt(shard, r):
-                rest, known = _decided(rows, length)
-                parts.append((s, rest.tobytes()))
-                done.append(known)
-            parts += [(-1 - s, blob) for s, blob in replies(np.concatenate(done))]
-            yield _packed(parts, ("shard", "blob"))
+            rest, known = _decided(r, length)
+            rows = [(s, _shrunk(r[k]), b"") for s, k in _dealt(shard[rest], rest)] + [(s, b"", blob) for s, blob in replies(known)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2)]], ["shard", "contexts", "known"]
+            )
 
     def judged(rows: pd.DataFrame) -> pd.DataFrame:
-        r = np.frombuffer(b"".join(rows["blob"]), kind)
-        rest, known = _decided(r, length)
-        parts = replies(np.concatenate([known, _previous(rest, length)]))
+        r = np.concatenate([np.zeros(0, kind)] + [_restored(x, kind) for x in rows["contexts"] if x])
+        r["mark"] = _marks(np.ascontiguousarray(r["text"]).view(np.uint8).reshape(len(r), -1)) if len(r) else 0
+        rest, late = _decided(r, length)
+        known = np.frombuffer(b"".join(rows["known"]), REPLY)
+        parts = replies(np.concatenate([known, late, _previous(r[rest], length)]))
         return pd.DataFrame({"bucket": [p[0] for p in parts], "blob": [p[1] for p in parts]}).astype({"bucket": "int32"})
 
     def gathered(rows: pd.DataFrame) -> pd.DataFrame:
@@ -371,9 +420,7 @@ def stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ends = np.concatenate([first[1:], [len(x)]])
         return pd.DataFrame({"doc": x["doc"][first], "tie": x["tie"][first], "spans": [spans[a:b].tobytes() for a, b in zip(first, ends)]})
 
-    out = materialize(docs.mapInArrow(sent, "shard int, blob binary"))
-    told = out.filter("shard >= 0").groupBy("shard").applyInPandas(judged, "bucket int, blob binary")
-    told = told.unionByName(out.filter("shard < 0").select((-1 - F.col("shard")).alias("bucket"), "blob"))
+    told = docs.mapInArrow(sent, "shard int, contexts binary, known binary").groupBy("shard").applyInPandas(judged, "bucket int, blob binary")
     return told.groupBy("bucket").applyInPandas(gathered, "doc long, tie long, spans binary")
 
 
@@ -395,7 +442,7 @@ def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFra
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the ``kept`` bytes if ``texts``."""
     d = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"), F.xxhash64("text").alias("tie"), F.col("text").cast("binary").alias("text"))
-    found = stretches(d.select("doc", "tie", "text"), length)
+    found = materialize(stretches(d.select("doc", "tie", "text"), length))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,4 +455,24 @@ def remove(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFra
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
-    return d.join(found, ["doc", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(cleaned, schema)
+    # only texts that may have stretches are shuffled to meet them
+    flagged = _flagged(d, found)
+    whole = flagged.filter("not flagged").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").alias("kept")] if texts else []),
+    )
+    met = flagged.filter("flagged").join(found, ["doc", "tie"], "left").select("doc_id", "text", "spans")
+    return whole.unionByName(met.mapInArrow(cleaned, schema))
+
+
+def _flagged(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with ``flagged``: false only for documents that ``found`` (doc, tie) doesn't hold.
+
+    A filter of FLAGS bits, made and broadcast as rows of 4 kB, a few MB in all.
+    """
+    place = F.pmod(F.xxhash64("doc", "tie"), F.lit(FLAGS))
+    bits = found.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    d = docs.withColumn("at", F.bitmap_bit_position(place)).withColumn("bucket", F.bitmap_bucket_number(place))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (F.col("at") % 8).cast("int")).bitwiseAND(1) == 1
+    return d.join(F.broadcast(bits), "bucket", "left").withColumn("flagged", F.coalesce(hit, F.lit(False))).drop("at", "bucket", "bits")
