@@ -13,8 +13,8 @@ most ``most`` rounded up.  Ordered by size, the words taken stay within a few
 documents of the target.
 
 A source may hold any share of the rows: ranks are counted in blocks (source,
-band, bucket), and only block sizes, whose number has a fixed bound per source,
-meet in one window.
+band, bucket); block sizes meet band by band, and band sizes, some hundred at
+most, source by source.
 
 Defined results: null or wordless text has size 0; such documents take part
 with size 0; a source of size 0 has target 0 and takes nothing; repeated rows
@@ -88,10 +88,13 @@ def copies(docs: DataFrame, row: bool = False, weights=WEIGHTS, most: int = MOST
     goal = targets(narrow, weights, most)
     # null sources meet as one: the join key is a text that no other source can have
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    run = Window.partitionBy("source").orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = blocks.select("source", "band", "bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("start"))
-    goal = goal.select(key.alias("key"), "source_size", "target")
-    start = start.select(key.alias("key"), "band", "bucket", "start").join(goal, "key")
+    # earlier bands of the source, then earlier buckets of the band: some hundred rows a window each
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = blocks.groupBy("source", "band").agg(F.sum("n").alias("n"))
+    bands = bands.select(key.alias("key"), "band", before(Window.partitionBy("source").orderBy("band")).alias("band_start"))
+    goal = bands.join(goal.select(key.alias("key"), "source_size", "target"), "key")
+    start = blocks.select(key.alias("key"), "band", "bucket", before(Window.partitionBy("source", "band").orderBy("bucket")).alias("in_band"))
+    start = start.join(goal, ["key", "band"]).withColumn("start", F.col("band_start") + F.col("in_band")).drop("band_start", "in_band")
     inside = Window.partitionBy("key", "band", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")
     ranked = d.withColumn("key", key).withColumn("local", F.row_number().over(inside)).drop("tie")
     d = ranked.join(start, ["key", "band", "bucket"])
