@@ -14,7 +14,7 @@ from ..streaming import live
 from . import bridge
 from .decode_queries import long, prepared
 from .registry import query
-from .sqltext import SMP, SUB, word_of
+from .sqltext import PTS, SMP, SUB, word_of
 
 # Assembly of a replay: every frame stands alone because each row names its frame.
 ARR = f"""
@@ -246,3 +246,43 @@ def live_assembly(spark, sf_dir):
     table = live.run_available(live.assemble_stream(rows), *_scratch(spark))
     return table.select("recording_id", "seq", long("part"), "frame_index", long("subframe"), "state",
                         F.array_join("slot_states", ",").alias("slots"), F.col("frame_completed").alias("done"))
+
+
+def _live_samples(spark, sf_dir):
+    plan_rows, profile = prepared(spark)
+    return live.live_samples(bridge.subframes_of(order_stream(spark, sf_dir)), plan_rows, profile)
+
+
+@query(
+    "live_latest",
+    f"""WITH {SMP}, l AS (SELECT * FROM smp QUALIFY row_number() OVER (PARTITION BY rec, pid, occ, sf ORDER BY seq DESC) = 1)
+    SELECT rec AS recording_id, pid AS param_id, occ::BIGINT AS occ, sf::BIGINT AS subframe, seq, eng AS eng_value, status FROM l""",
+)
+def live_latest(spark, sf_dir):
+    """The latest-value table of a stream (STR-07)."""
+    table = live.run_complete(live.latest_values(_live_samples(spark, sf_dir)), *_scratch(spark))
+    return table.select("recording_id", "param_id", long("occ"), long("subframe"), "latest.seq", "latest.eng_value", "latest.status")
+
+
+@query(
+    "live_window_stats",
+    f"""WITH {PTS} SELECT CAST(floor(t / 30) * 30 AS BIGINT) AS start, rec AS recording_id, pid AS param_id, count(*) AS n,
+      min(value) AS minimum, max(value) AS maximum, round(avg(value) + 3e-8, 6) AS average FROM pts GROUP BY ALL""",
+)
+def live_window_stats(spark, sf_dir):
+    """Numbers of every 30 seconds of a stream (STR-09)."""
+    table = live.run_complete(live.window_stats(live.with_event_time(_live_samples(spark, sf_dir))), *_scratch(spark))
+    return table.filter("n > 0").select(
+        F.unix_seconds("window.start").alias("start"), "recording_id", "param_id", "n", "minimum", "maximum", F.round(F.col("average") + 3e-8, 6).alias("average"))
+
+
+@query(
+    "live_word_rate",
+    f"""WITH {SUB}, w AS (SELECT rec, t_end AS t, floor(t_end * 2) / 2 - k * 0.5::DOUBLE AS start FROM sub, range(0, 4) r(k) WHERE state <> 'MISSING')
+    SELECT rec AS recording_id, CAST(start * 1000 AS BIGINT) AS start_ms, count(*) * 64 / greatest(max(t) - min(t), 0.25) AS word_rate FROM w GROUP BY ALL""",
+)
+def live_word_rate(spark, sf_dir):
+    """Words per second over sliding windows of a stream (STR-08)."""
+    s = bridge.subframes_of(order_stream(spark, sf_dir)).filter("state <> 'MISSING'")
+    table = live.run_complete(live.word_rate(s), *_scratch(spark))
+    return table.select("recording_id", F.unix_millis("window.start").alias("start_ms"), "word_rate")

@@ -123,6 +123,23 @@ def run_available(
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hand every micro-batch to ``sink(df, batch_id)`` until the input is drained."""
-    df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = df.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def run_complete(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process everything available into aggregates; returns their last state.
+
+    Every batch writes its whole result under its own number, so a batch that is
+    run again replaces what it had written.
+    """
+    done = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(number)
+
+    each_batch(df, save, checkpoint, "complete")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{max(done)}")
