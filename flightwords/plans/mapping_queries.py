@@ -165,3 +165,34 @@ def document_diff_numbers(spark, sf_dir):
     left, right = _revised(spark, sf_dir)
     d = diff.parameter_differences(left[1], right[1]).filter("what = 'resolution'")
     return d.select(F.col("pair_id").alias("document_id"), long("param_ord"), "what", F.col("left").cast("double").alias("before"))
+
+
+@query(
+    "validate_odd_subframes",
+    f"""WITH {PART} SELECT doc AS document_id, pid AS param_id, count(*) AS n, max(seq)::BIGINT AS last_seq FROM pseg
+    WHERE CAST(substr(pid, 6) AS BIGINT) % 9 IN (0, 1) GROUP BY ALL""",
+)
+def validate_odd_subframes(spark, sf_dir):
+    """Segments without a subframe, or in one that no frame has (VAL-03)."""
+    docs, pars, segs = _part(spark, sf_dir)
+    k = F.substr("param_id", F.lit(6)).cast("bigint") % 9
+    odd = F.when(k == 0, F.array(F.lit(0), F.lit(5))).when(k == 1, F.array().cast("array<int>")).otherwise(F.col("subframes"))
+    issues = validate.structural(docs, pars, segs.withColumn("subframes", odd)).filter("rule = 'structural.subframe'")
+    seq = F.regexp_extract("message", r"seg (\d+)", 1).cast("bigint")
+    return issues.groupBy("document_id", "param_id").agg(F.count("*").alias("n"), F.max(seq).alias("last_seq"))
+
+
+@query(
+    "validate_repeated_occurrences",
+    f"""WITH {PART}, o AS (SELECT DISTINCT doc, pid FROM pseg)
+    SELECT doc AS document_id, pid AS param_id, 'occurrence index 1 used ' || (CAST(substr(pid, 6) AS BIGINT) % 3 + 1) || ' times' AS message
+    FROM o WHERE CAST(substr(pid, 6) AS BIGINT) % 3 > 0""",
+)
+def validate_repeated_occurrences(spark, sf_dir):
+    """Occurrence indexes listed more than once (VAL-05)."""
+    _, _, segs = _part(spark, sf_dir)
+    listed = segs.select("document_id", "param_id", "occ").distinct()
+    times = (F.substr("param_id", F.lit(6)).cast("bigint") % 3 + 1).cast("int")
+    listed = listed.withColumn("t", F.explode(F.sequence(F.lit(1), times))).drop("t")
+    issues = validate.mapping(segs, listed).filter("rule = 'mapping.occurrence_index'")
+    return issues.select("document_id", "param_id", "message")
