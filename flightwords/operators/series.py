@@ -137,6 +137,31 @@ def recent_points(subframes: DataFrame, points_of: Callable[[DataFrame], DataFra
     return points_of(late).join(broadcast_if_small(start), keys).filter(position() >= F.col("_start")).drop("_start")
 
 
+def recent_stats(subframes: DataFrame, points_of: Callable[[DataFrame], DataFrame], seconds: float) -> DataFrame:
+    """``series_stats`` of the trailing window in two decoding passes, without storing points.
+
+    The second pass sums up the points not older than the cut and notes whether
+    an older one was appended after the first of them.  Only series where that
+    happened, whose window holds such older points too, are decoded once more.
+    """
+    keys, value, at = list(SERIES), F.col("value"), position()
+    ends = points_of(subframes).groupBy(*keys).agg(F.max_by("t", at).alias("_end"))
+    cut = materialize(ends.select(*keys, (F.col("_end") - seconds).alias("_cut")))
+    inside = F.col("t") >= F.col("_cut")
+    own = F.when(inside, value)
+    found = points_of(subframes).join(broadcast_if_small(cut), keys).groupBy(*keys).agg(
+        F.count(own).alias("n"), F.max_by("value", F.when(inside, at)).alias("current"), F.min(own).alias("minimum"), F.max(own).alias("maximum"),
+        F.avg(own).alias("average"), F.min(F.when(inside, at)).alias("_start"), F.max(F.when(~inside, at)).alias("_old"),
+    )
+    found = materialize(found)
+    mixed = F.coalesce(F.col("_old") > F.col("_start"), F.lit(False))
+    clean = found.filter(~mixed).drop("_start", "_old")
+    odd = found.filter(mixed).select(*keys, "_start")
+    if odd.isEmpty():
+        return clean
+    return clean.unionByName(series_stats(points_of(subframes).join(broadcast_if_small(odd), keys).filter(at >= F.col("_start"))))
+
+
 def latest_subframes(subframes: DataFrame) -> DataFrame:
     """The subframe rows that can hold a latest sample: of each recording, document,
     subframe number and length the last one (WIN-04).  Only numbers are aggregated."""

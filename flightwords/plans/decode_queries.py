@@ -172,10 +172,10 @@ def _window_sql(seconds: float, now: str = "last_t") -> str:
     win AS (SELECT p.* FROM pts p JOIN beg ON beg.rec = p.rec AND beg.pid = p.pid WHERE (p.seq, p.occ) >= beg.b)"""
 
 
-def recent(spark, sf_dir, seconds: float) -> DataFrame:
+def recent(spark, sf_dir, seconds: float, take=series.recent_points) -> DataFrame:
     rows, profile = prepared(spark)
     subs = dec.decodable(bridge.subframes(spark, sf_dir))
-    return series.recent_points(subs, lambda s: series.series(dec.decode(s, rows, profile=profile)), seconds)
+    return take(subs, lambda s: series.series(dec.decode(s, rows, profile=profile)), seconds)
 
 
 def settled(stats: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _series_stats(name: str, seconds: int):
         FROM win GROUP BY ALL""",
     )
     def run(spark, sf_dir):
-        return settled(series.series_stats(recent(spark, sf_dir, float(seconds))))
+        return settled(recent(spark, sf_dir, float(seconds), series.recent_stats))
 
     return run
 

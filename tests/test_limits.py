@@ -64,3 +64,17 @@ def test_windows_store_no_points_and_sort_no_series(spark, monkeypatch):
         assert "SortAggregate" not in plan and "HashAggregate" in plan or name == "trailing_window" and "SortAggregate" not in plan
     # a row per series at most, never its points
     assert written and all("value" not in columns for columns in written)
+
+
+def test_window_statistics_of_unordered_points(spark):
+    import random
+
+    from flightwords.operators import series
+
+    rng = random.Random(6)
+    rows = [("r", f"p{k % 4}", "n", "u", k, 1, float(k if k % 4 < 2 else k + rng.choice((-30, 0, 30))), float(rng.randrange(100))) for k in range(400)]
+    points = spark.createDataFrame(rows, "recording_id string, param_id string, param_name string, unit string, seq bigint, occ int, t double, value double")
+    names = ["recording_id", "param_id", "n", "current", "minimum", "maximum", "average"]
+    got = series.recent_stats(points, lambda s: s, 60.0).select(*names).orderBy("param_id").collect()
+    assert got == series.series_stats(points, 60.0).select(*names).orderBy("param_id").collect()
+    assert len({r.n for r in got}) > 1
