@@ -82,6 +82,8 @@ class Encoder:
 
 
 def _stem(chunk: str) -> tuple[str, str]:
+    if "<|" in chunk:  # added tokens are matched before lower-casing
+        return chunk, ""
     low = chunk.lower() if chunk.isascii() else chunk
     stem = low.rstrip(".,;:!?")
     return (stem, low[len(stem) :]) if stem and stem[-1].isalnum() else (low, "")

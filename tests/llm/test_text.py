@@ -156,6 +156,16 @@ def test_packing_against_the_tokenizer(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_packing_of_added_tokens_in_any_case():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(packing.vocabulary()), packing.Encoder(packing.vocabulary())
+    for t in tokenizer.get_added_tokens_decoder().values():
+        for form in (t.content, t.content.upper(), t.content.title(), f"A{t.content.upper()}b.", f"{t.content.upper()},"):
+            for text in (form, f"One {form} two, {t.content}."):
+                assert np.frombuffer(encoder.encode(text), "<u4").tolist() == _ids(tokenizer, text)[:-1]
+
+
 def _targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
