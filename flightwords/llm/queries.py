@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, simhash, substrings, toxicity, warc
-from flightwords.llm.common import table
+from flightwords.llm import ann, chat, exact_dedup, langid, mixing, packing, periodic, pii, simhash, substrings, toxicity, warc, whitening
+from flightwords.llm.common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,48 @@ from d left join kept using (doc_id)
 """)
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(table(spark, sf_dir, "documents"), texts=False)
+
+
+def _spans_text(spans):
+    """kind:start:end, comma-joined; spans are in the order of kinds, then starts."""
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.array_remove(F.transform("base.kind", lambda x: x != k), True)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    every = F.array_sort(F.concat("base", "found"))
+    return found.select("doc_id", *counts, F.sha2(_spans_text(F.col("base")), 256).alias("base_sha256"), _spans_text(every).alias("spans"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in documents whose checksum ends in 0 the words from some place on repeat what stands there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD}+)"), F.lit(1))
+    own = docs.select("doc_id", "text", (F.coalesce(h % 10 == 0, F.lit(False)) & F.col("text").isNotNull()).alias("chosen"), g.alias("g"))
+    own = own.withColumn("w", F.when(F.col("chosen"), words)).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    own = own.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    turn = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    turned = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", turn(i).cast("int")))
+    return own.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    one = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    return one.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.p").alias("period"),
+        F.floor(1000 * -F.col("best.l") / F.col("best.p")).alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return whitening.whiten(x, whitening.fit(x)).withColumnRenamed("id", "vec_id")
