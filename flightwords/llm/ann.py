@@ -7,9 +7,12 @@ nearest centroid, boundary vectors to every list up to (1 + CLOSURE) times that
 distance, at most REPLICAS.  Lists are balanced after counting them: large ones
 are cut into pieces by hash, small ones share a bin, so a bin holds about BIN
 vectors whatever the data.  A query walks the centroid graph and takes every
-list up to (1 + PROBE) times the nearest centroid's distance, without a cap.
+list up to (1 + PROBE) times the nearest centroid's distance, without a cap;
+where none of them holds more than k ids, it goes on to the next nearest lists
+until one does or all are taken, so no query is short of neighbours that exist.
 
-Bins meet blocks of queries; each returns a query's k best, scored exactly
+A bin meets the queries that ask for it, in blocks of about QUERY_BLOCK where
+more than that do; each block returns a query's k best, scored exactly
 (cosine in double precision on the original vectors, ties kept), and the best
 of all bins are the answer.
 
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightwords.llm.common import pick
-from flightwords.session import materialize
+from flightwords.session import broadcast_if_small, materialize
 
 SAMPLE = 20_000
 LISTS = 1024
@@ -80,8 +83,11 @@ class Model:
         row, k = np.nonzero(own <= own[:, :1] * (1 + CLOSURE))
         return row, near[row, k]
 
-    def probes(self, unit: np.ndarray) -> np.ndarray:
-        """The lists within the distance ratio, found by walking the graph from its hub."""
+    def probes(self, unit: np.ndarray, enough: np.ndarray | None = None) -> np.ndarray:
+        """The lists within the distance ratio, found by walking the graph from its hub.
+
+        ``enough`` marks lists that can answer a query alone; the probe widens to the next one.
+        """
         dist = {0: self._dist(np.array([0]), unit)[0]}
         best, at = dist[0], 0
         while True:  # greedy descent
@@ -101,7 +107,12 @@ class Model:
                 dist.update(zip(fresh.tolist(), self._dist(fresh, unit).tolist()))
             best = min(dist.values())
             front = [x for x, d in dist.items() if x not in done and d <= best * (1 + PROBE)]
-        return np.array([x for x, d in dist.items() if d <= best * (1 + PROBE)], np.int64)
+        taken = np.array([x for x, d in dist.items() if d <= best * (1 + PROBE)], np.int64)
+        if enough is None or enough[taken].any():
+            return taken
+        order = np.argsort(self._dist(np.arange(len(self.centroids)), unit), kind="stable")
+        able = np.flatnonzero(enough[order])
+        return np.union1d(taken, order[: able[0] + 1] if len(able) else order)
 
     def _dist(self, which: np.ndarray, unit: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * self.centroids[which] @ unit, 0))
@@ -174,28 +185,32 @@ def search(df: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     postings = materialize(vectors.mapInArrow(posted, "list int, vec_id long, vec array<double>"))
     # at most LISTS counts reach the driver
-    layout = _layout({r["list"]: r["count"] for r in postings.groupBy("list").count().collect()})
+    counted = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids")).collect()
+    layout = _layout({r["list"]: r["n"] for r in counted})
+    enough = np.zeros(len(model.centroids), bool)
+    enough[[r["list"] for r in counted if r["ids"] > k]] = True
     place = F.create_map(*[F.lit(x) for name, (first, pieces) in layout.items() for x in (name, first * (1 << 20) + pieces)])
     slot = F.try_element_at(place.cast("map<int,long>"), "list")
     first, pieces = F.shiftright(slot, 20), slot.bitwiseAND((1 << 20) - 1)
     binned = postings.withColumn("bin", (first + F.pmod(F.xxhash64("vec_id"), pieces)).cast("long"))
 
-    queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    queries = materialize(vectors.filter(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     bins = {name: np.arange(a, a + b) for name, (a, b) in layout.items()}
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = _unit(_matrix(batch.column("vec")))
-            for i in range(batch.num_rows):
-                near = [bins[x] for x in shared.value.probes(units[i]).tolist() if x in bins]
+            units = _unit(_matrix(batch.column("vec"))) if batch.num_rows else []
+            for i, unit in enumerate(units):
+                near = [bins[x] for x in shared.value.probes(unit, enough).tolist() if x in bins]
                 own = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
-                taken = batch.take(pa.array(np.full(len(own), i)))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *taken.columns], ["bin", "vec_id", "vec"])
-
-    asks = queries.mapInArrow(asked, "bin long, vec_id long, vec array<double>")
-    asks = asks.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    binned = binned.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("list")
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column("vec_id").take(pa.array(np.full(len(own), i)))], ["bin", "vec_id"])
+
+    asks = materialize(queries.mapInArrow(asked, "bin long, vec_id long"))
+    # only where more queries ask for a bin than one task should compare is the bin sent more than once
+    blocks = F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int")
+    per_bin = broadcast_if_small(materialize(asks.groupBy("bin").agg(blocks.alias("blocks"))))
+    asks = asks.join(per_bin, "bin").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks").join(queries, "vec_id")
+    binned = binned.join(per_bin, "bin").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("list", "blocks")
 
     def best(posting: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}

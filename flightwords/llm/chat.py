@@ -7,7 +7,8 @@ the text apart again.
 
 Control strings inside texts are escaped with a backslash placed inside them,
 and backslashes are doubled, so a text never holds a control string as it is
-and undoing the escapes gives the text back exactly.
+and undoing the escapes gives the text back exactly.  Role names outside the
+template are escaped alike, a last ``#`` included.
 
 Defined results: null text is empty; null roles are read back as empty roles;
 roles that the template doesn't know open with their escaped name; turns are
@@ -53,7 +54,9 @@ def unescape(text: Column) -> Column:
 
 def opening(role: Column, template=TEMPLATE) -> Column:
     before, after = template["other"]
-    other = F.concat(F.lit(before), escape(role), F.lit(after))
+    # a name that ends in # must not run into what follows it
+    name = F.regexp_replace(escape(role), r"#\z", r"\\#")
+    other = F.concat(F.lit(before), name, F.lit(after))
     return reduce(lambda c, item: F.when(role == item[0], F.lit(item[1])).otherwise(c), template["open"].items(), other)
 
 

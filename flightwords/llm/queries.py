@@ -74,7 +74,7 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
        sum(length(body) + 8 + case role when 'system' then 12 when 'user' then 10 when 'assistant' then 15
-           else 14 + length(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) end)::bigint formatted_chars
+           else 14 + length(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## ')) + ends_with(role, '#')::int end)::bigint formatted_chars
 from e group by conv_id
 """)
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

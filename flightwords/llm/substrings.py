@@ -19,8 +19,9 @@ neighbouring strings share theirs, about one for 15 bytes.
    that no shard holds all surroundings of a common passage.
 3. A shard sorts its contexts, decides equal ones, and puts the strings of the
    others into suffix order (of ``length`` bytes: longer common prefixes decide
-   nothing).  A string's longest previous factor is as long as it is if the
-   previous or the next entry of smaller document in that order is equal to it.
+   nothing).  Common prefixes of neighbours and two stack passes, to the previous
+   and to the next entry of smaller document, give the longest previous factors;
+   strings whose factor is ``length`` bytes long are covered.
 4. Covered stretches go back to their documents, are joined, and cut out.
 
 Defined results: null text is empty; null doc_ids come after all others; rows
@@ -352,17 +353,47 @@ def _ordered(r: np.ndarray, length: int) -> np.ndarray:
     strings = strings.view(f"S{length}").ravel()
     doc = r["doc"][of]
     order = np.lexsort((doc, strings))
-    words = strings[order]
-    run = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])])  # a common prefix of ``length`` bytes goes on
-    least = np.minimum.reduceat(doc[order], np.searchsorted(run, np.arange(run[-1] + 1)))
-    # in a run the entry of smaller document, previous or next, exists for all but the least
     covered = np.zeros(len(of), bool)
-    covered[order] = doc[order] > least[run]
+    covered[order] = previous_factors(strings[order], doc[order]) >= length
     at = np.flatnonzero(covered)
     begin = r["start"][of[at]].astype(np.int64) + shift[at]
     return _joined(_stretches(r[of[at]], begin, begin + length))
 
 
+def common_prefixes(strings: np.ndarray) -> np.ndarray:
+    """Bytes that each of the sorted strings shares with the one before; 0 for the first."""
+    bytes_ = np.ascontiguousarray(strings).view(np.uint8).reshape(len(strings), -1)
+    differ = bytes_[1:] != bytes_[:-1]
+    return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), bytes_.shape[1])])
+
+
+def previous_factors(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Longest previous factors in suffix order: bytes, as far as the strings go, that an entry shares with one of a smaller document.
+
+    The nearest entries of smaller document before and after share most; the
+    common prefix with them is the least of those on the way.  A stack pass
+    each way keeps the entries that can still be someone's nearest.
+    """
+    near, owner = common_prefixes(strings), doc.tolist()
+    before = _to_smaller(owner, near.tolist())
+    after = _to_smaller(owner[::-1], np.concatenate([[0], near[:0:-1]]).tolist() if len(near) else [])
+    return np.maximum(before, after[::-1])
+
+
+def _to_smaller(doc: list[int], near: list[int]) -> np.ndarray:
+    """Common prefix with the last entry before that belongs to a smaller document; 0 where there is none."""
+    out, docs, shared = [0] * len(doc), [], []
+    for i, (d, common) in enumerate(zip(doc, near)):
+        while docs and docs[-1] >= d:
+            docs.pop()
+            common = min(common, shared.pop())
+        if docs:
+            out[i] = common
+        docs.append(d)
+        shared.append(common)
+    return np.array(out, np.int64)
+
+
 def _joined(x: np.ndarray) -> np.ndarray:
     """Stretches of each document, overlapping and touching ones joined."""
     if not len(x):

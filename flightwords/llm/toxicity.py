@@ -11,9 +11,10 @@ hold, then over those that kept a good part of the largest weight; a sentence
 with no word that speaks for toxicity has probability 0, so length alone never
 makes a text toxic.
 
-The classifier is fitted on a bounded sample: at most SAMPLE labelled documents
-of each class, chosen by hash, of at most SAMPLE_BYTES bytes.  Scoring covers
-whole texts.
+The classifier is fitted on a bounded sample: of each class the SAMPLE labelled
+documents with a text that come first by hash.  Texts of more than SAMPLE_BYTES
+bytes come after all others and give about that much, in whole sentences chosen
+by hash.  Scoring covers whole texts.
 
 Defined results: null, empty and wordless texts score 0; without labels of both
 classes everything scores 0; several labels of one document count as toxic if
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from flightwords.llm.common import pick, unpack
 
-SAMPLE = 1_500
+SAMPLE = 2_500
 SAMPLE_BYTES = 32_768
 WORD_DOCS = 5
 LEAST_WEIGHT = 0.15
@@ -108,7 +109,7 @@ def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, toxic:
 
 
 def _renumbered(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    return (np.cumsum(keep) - 1)[x]
+    return (np.cumsum(keep) - 1).astype(np.int32)[x]
 
 
 def train(rows: list[tuple[str, bool]]) -> Model:
@@ -116,7 +117,7 @@ def train(rows: list[tuple[str, bool]]) -> Model:
     if not toxic.any() or toxic.all():
         return Model(0.0, {})
     # numbers instead of strings: every word and feature is held once
-    words, doc, sentence, held = {}, array("l"), array("l"), array("l")
+    words, doc, sentence, held = {}, array("i"), array("i"), array("i")
     for d, (text, _) in enumerate(rows):
         for s in SENTENCE.findall(text.lower()):
             own = [words.setdefault(w, len(words)) for w in sorted(set(WORDS.findall(s)))]
@@ -126,13 +127,13 @@ def train(rows: list[tuple[str, bool]]) -> Model:
     names: dict[str, int] = {}
     parts = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
     size = np.array([len(p) for p in parts] + [0])
-    begin, flat = np.cumsum(size) - size, np.array([f for p in parts for f in p], np.int64)
-    doc, sentence, held = (np.frombuffer(x, np.int64) for x in (doc, sentence, held))
+    begin, flat = np.cumsum(size) - size, np.array([f for p in parts for f in p], np.int32)
+    doc, sentence, held = (np.frombuffer(x, np.int32) for x in (doc, sentence, held))
     n = size[held]
     feature = flat[np.repeat(begin[held] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     sentence = np.repeat(sentence, n)
     vocabulary = np.array(list(names), object)
-    seen = np.bincount(np.unique(doc[sentence] * len(names) + feature) % len(names), minlength=len(names))
+    seen = np.bincount(np.unique(doc[sentence].astype(np.int64) * len(names) + feature) % len(names), minlength=len(names))
     keep = seen >= WORD_DOCS
     for last in (False, True):
         on = keep[feature]
@@ -148,13 +149,20 @@ def train(rows: list[tuple[str, bool]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bool]]:
     """At most ``per_class`` labelled texts of each class, by hash."""
     known = pick(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
-    toxic = F.col("toxic") > 0
-    chosen = [known.filter(c).orderBy("h", "doc_id").limit(per_class) for c in (toxic, ~toxic)]
-    ids = chosen[0].unionByName(chosen[1])  # 2 * per_class rows at most
-    texts = pick(docs, "doc_id", "text").filter(F.octet_length("text").between(1, most_bytes)).join(F.broadcast(ids), "doc_id")
-    taken = texts.orderBy("h", "doc_id", F.xxhash64("text")).limit(2 * per_class)
-    return sorted((r["text"], r["toxic"] > 0) for r in taken.select("text", "toxic").collect())
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    texts = pick(docs, "doc_id", "text").filter(F.octet_length("text") > 0).withColumn("size", F.octet_length("text")).withColumn("tie", F.xxhash64("text"))
+    # places go to texts that exist: ids, sizes and hashes meet the labels first
+    able = texts.select("doc_id", "size", "tie").join(known, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit("sample")))
+    order = (F.col("size") > most_bytes, "h", "doc_id", "tie")
+    chosen = [able.filter(c).orderBy(*order).limit(per_class) for c in (F.col("toxic"), ~F.col("toxic"))]
+    ids = chosen[0].unionByName(chosen[1]).groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("n"), F.first("toxic").alias("toxic"))  # 2 * per_class rows at most
+    every = F.ceil(F.col("size") / most_bytes)
+    told = F.filter(F.regexp_extract_all("text", F.lit("([^.!?\\n]+)"), F.lit(1)), lambda s: F.pmod(F.xxhash64(s), every) == 0)
+    stretch = F.substr(F.array_join(told, "\n"), F.lit(1), F.lit(4 * most_bytes))
+    taken = texts.join(F.broadcast(ids), ["doc_id", "tie"]).withColumn("text", F.when(F.col("size") > most_bytes, stretch).otherwise(F.col("text")))
+    # copies of a row were counted above, and each is met as often
+    rows = taken.select("text", "toxic").collect()
+    return sorted((r["text"], r["toxic"]) for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:

@@ -23,6 +23,7 @@ gives empty archives and an empty history; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import os
 import re
@@ -30,7 +31,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,8 @@ from flightwords.session import checkpoint_dir, materialize
 LEAST_BYTES = 0
 #: Pages a second from here on, where pages carry no time of their own.
 EPOCH = 1_577_836_800
+#: What a date can say: years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 RANGE_ROWS = 50_000
 MAX_RANGES = 2_000
 READ = 1 << 20
@@ -80,7 +82,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
                 body = "" if revisit else payload
                 head = [
                     "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
-                    f"WARC-Target-URI: {_line(url)}", f"WARC-Date: {pd.Timestamp(captured, unit='s').isoformat()}Z",
+                    f"WARC-Target-URI: {_line(url)}", f"WARC-Date: {_date(captured)}", f"X-Captured: {captured}",
                     f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", f"X-Payload-Length: {size}", f"X-URL-Key: {_line(key)}",
                 ]
                 if revisit:
@@ -95,7 +97,14 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
 
 
 def captured(page_id: Column) -> Column:
-    return F.coalesce(page_id, F.lit(0).cast("long")) + F.lit(EPOCH)
+    """Seconds since 1970; ids at the end of long's range stay there."""
+    return F.coalesce(F.try_add(F.coalesce(page_id, F.lit(0)).cast("long"), F.lit(EPOCH).cast("long")), page_id.cast("long"))
+
+
+def _date(captured: int) -> str:
+    """The header's date, at the ends of the calendar for times beyond it; X-Captured has the time itself."""
+    held = min(max(captured, FIRST_SECOND), LAST_SECOND)
+    return (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=held)).isoformat() + "Z"
 
 
 def _line(text: str | None) -> str:
@@ -164,7 +173,7 @@ def read(spark: SparkSession, path: str, edges: list[tuple]) -> DataFrame:
                     page = head["WARC-Record-ID"][len("<urn:page:") : -1]
                     entry = {
                         "page_id": int(page) if page else None, "url_key": _plain(head["X-URL-Key"]),
-                        "captured": int(pd.Timestamp(head["WARC-Date"]).timestamp()), "record_type": head["WARC-Type"],
+                        "captured": int(head["X-Captured"]), "record_type": head["WARC-Type"],
                         "payload_bytes": size, "payload_digest": digest,
                         "refers_to": int(head["WARC-Refers-To"][len("<urn:page:") : -1]) if revisit else None, "archive": name, "offset": offset,
                     }
@@ -218,16 +227,15 @@ class LoserTree:
 def merge(runs: DataFrame) -> DataFrame:
     """The global capture history: entries with ``span`` and their ``position`` in it."""
 
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = LoserTree([list(r) for r in rows["entries"]], _key)
-        out = pd.DataFrame(list(tree), columns=names)
-        out["page_id"], out["refers_to"] = out["page_id"].astype("Int64"), out["refers_to"].astype("Int64")
-        out.insert(0, "position", range(len(out)))
-        out.insert(0, "span", rows["span"].iloc[0])
-        return out
+    fields = [(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in ENTRY.split(", ")]
+    schema = pa.schema([("span", pa.int32()), ("position", pa.int64()), *fields])
+
+    def merged(rows: pa.Table) -> pa.Table:
+        span = rows.column("span")[0].as_py()
+        tree = LoserTree(rows.column("entries").to_pylist(), _key)
+        return pa.Table.from_pylist([{"span": span, "position": k, **e} for k, e in enumerate(tree)], schema)
 
-    names = [c.split()[0] for c in ENTRY.split(", ")]
-    return runs.groupBy("span").applyInPandas(merged, f"span int, position long, {ENTRY}")
+    return runs.groupBy("span").applyInArrow(merged, f"span int, position long, {ENTRY}")
 
 
 def edges_of(pages: DataFrame) -> list[tuple]:

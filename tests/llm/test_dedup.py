@@ -2,6 +2,7 @@ import random
 import re
 from hashlib import sha256
 
+import numpy as np
 import xxhash
 
 from flightwords.llm import components, exact_dedup, simhash, substrings
@@ -173,3 +174,17 @@ def test_substrings_of_one_id_and_of_none(spark):
     got = records(substrings.remove(documents(spark, [(4, text), (4, text + "!"), (None, text), (None, "?" + text)])))
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_removed"]) for r in got) == [(-1, 110), (-1, 110), (4, 0), (4, 0)]
     assert substrings.remove(documents(spark, [])).count() == 0
+
+
+def test_previous_factors_against_every_pair():
+    rng = random.Random(11)
+    for _ in range(40):
+        n, width = rng.randrange(1, 40), 8
+        made = sorted(("".join(rng.choice("ab") for _ in range(width)).encode(), rng.randrange(6)) for _ in range(n))
+        strings, doc = np.array([m[0] for m in made], f"S{width}"), np.array([m[1] for m in made])
+
+        def common(a, b):
+            return next((k for k in range(width) if a[k] != b[k]), width)
+
+        want = [max([common(a, b) for b, e in made if e < d], default=0) for a, d in made]
+        assert substrings.previous_factors(strings, doc).tolist() == want

@@ -8,7 +8,8 @@ from flightwords.llm import mixing, packing, toxicity
 from flightwords.session import materialize
 
 from .data import SF, records
-from .test_dedup import _components, _fingerprint
+from .test_dedup import _components
+from .test_near_copies import _grams, _jaccard
 
 
 def test_every_stage_against_a_plain_model(spark):
@@ -33,8 +34,8 @@ def test_every_stage_against_a_plain_model(spark):
         first.setdefault(re.sub(r"[ \t-\r]+", " ", r["text"]), r["doc_id"])
     assert sorted(r["doc_id"] for r in after) == sorted(first.values())
     before, after = seen["near_dedup"]
-    prints = [_fingerprint(r["text"]) for r in before]
-    heads = _components([(r["doc_id"],) for r in before], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    sets = [_grams(r["text"]) for r in before]
+    heads = _components([(r["doc_id"],) for r in before], lambda i, j: _jaccard(sets[i], sets[j]) >= 0.8)
     assert sorted(r["doc_id"] for r in after) == sorted(set(heads))
     before, after = seen["mixing"]
     drawn = {r["doc_id"]: r["copies"] for r in records(mixing.copies(spark.createDataFrame([tuple(r.values()) for r in before], docs_schema(spark))))}

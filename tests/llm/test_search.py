@@ -109,3 +109,39 @@ def test_warc_least_bytes_and_nothing(spark, tmp_path):
     got = {r["page_id"]: r["refers_to"] for r in records(warc.history(_pages(spark, rows), f"file://{tmp_path}/a", least_bytes=5))}
     assert got == {1: None, 2: None, 3: 4, 4: None}
     assert warc.history(_pages(spark, []), f"file://{tmp_path}/b").count() == 0
+
+
+def test_warc_of_large_and_negative_ids(spark, tmp_path):
+    ids = [300_000_000_000, 9_007_199_254_740_993, 9_007_199_254_740_992, (1 << 63) - 1, -5, -(1 << 63), 251_824_464_000]
+    rows = [(i, "http://a.com/", "same") for i in ids] + [(None, "http://a.com/", "same"), (7, "http://a.com/", "own")]
+    got = records(warc.history(_pages(spark, rows).repartition(3), f"file://{tmp_path}/w"))
+    top = max(ids)
+    assert {(r["page_id"], r["refers_to"]) for r in got} == {(i, None if i == top else top) for i in ids} | {(None, top), (7, None)}
+    order = [r["captured"] for r in sorted(got, key=lambda r: (r["span"], r["position"]))]
+    assert order == sorted(order)
+
+
+def test_nearest_of_sparse_neighbourhoods(spark, monkeypatch):
+    """Where the lists within the ratio hold too few vectors, more lists are asked."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    x[0] = 0
+    x[0, 0] = 1  # alone in its corner
+    x[1:, 0] = -np.abs(x[1:, 0]) - 3
+    monkeypatch.setattr(ann, "BIN", 2)
+    model = ann.train(x, 40)
+    sizes = np.bincount(model.closure(ann._unit(x))[1], minlength=40)
+    assert sizes[model.probes(ann._unit(x[:1])[0])].sum() <= 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in records(ann.search(df, F.col("vec_id") % 50 == 0, 5)):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(found) == list(range(0, 600, 50)) and all(len(set(v)) == 5 for v in found.values())
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, embedding array<double>")
+    whole = records(ann.search(df, F.col("vec_id") % 3 == 0, 5))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    assert sorted(map(str, records(ann.search(df, F.col("vec_id") % 3 == 0, 5)))) == sorted(map(str, whole))

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -82,12 +83,53 @@ def test_toxicity_held_out_and_located(spark):
     assert p >= 0.7 and found[0][:2] == (31, 16)
 
 
+def test_toxicity_against_plain_loops():
+    """One step of training equals a step worked out document by document, and scores follow the noisy-or."""
+    texts = [("bad egg. fine day. fine egg", True), ("fine day. good egg", False), ("good day", False), ("bad day. bad", True)]
+    names = {w: k for k, w in enumerate(["bad", "egg", "fine", "day", "good"])}
+    bags = [[sorted({names[w] for w in s.split()}) for s in t.split(".")] for t, _ in texts]
+    doc = [d for d, bag in enumerate(bags) for _ in bag]
+    flat = [s for bag in bags for s in bag]
+    sentence, feature = zip(*[(k, f) for k, s in enumerate(flat) for f in s])
+    toxic, decay, rounds = [t for _, t in texts], 0.01, 7
+    bias, weights = toxicity._descend(np.array(doc), np.array(sentence), np.array(feature), np.array(toxic), 5, rounds, decay)
+    x, m, v = [0.0] * 5 + [-4.0], [0.0] * 6, [0.0] * 6
+    for t in range(1, rounds + 1):
+        g = [decay * w for w in x[:-1]] + [0.0]
+        for bag, bad in zip(bags, toxic):
+            p = [1 / (1 + math.exp(-(x[-1] + sum(x[f] for f in s)))) for s in bag]
+            clean = math.prod(1 - q for q in p)
+            for s, q in zip(bag, p):  # d/dz of -log likelihood of 1 - prod(1 - p)
+                dz = (q if not bad else -q * clean / (1 - clean)) / len(texts)
+                for f in [*s, 5]:
+                    g[f] += dz
+        m = [0.9 * a + 0.1 * b for a, b in zip(m, g)]
+        v = [0.99 * a + 0.01 * b * b for a, b in zip(v, g)]
+        x = [w - 0.3 * (a / (1 - 0.9**t)) / (math.sqrt(b / (1 - 0.99**t)) + 1e-8) for w, a, b in zip(x, m, v)]
+    assert np.allclose([*weights, bias], x, rtol=1e-9, atol=1e-12)
+    model = toxicity.Model(-1.5, {"bad": 2.0, "egg": 0.5, "egg*": 9.0, "eggs": -3.0})
+    p = [1 / (1 + math.exp(1.5 - z)) for z in (2.0, 0.5)]
+    assert abs(model.score("Bad. Fine. An egg!")[0] - (1 - (1 - p[0]) * (1 - p[1]))) < 1e-12
+
+
+def test_toxicity_sample_fills_its_places(spark):
+    long = " ".join(f"word{i} grumbo." for i in range(4000))
+    rows = [(i, None) for i in range(50)] + [(100 + i, f"good day {i}") for i in range(30)] + [(200, long), (201, long), (202, "short grumbo"), (100, "good day 0")]
+    labels = spark.createDataFrame([(i, 1) for i in [*range(50), 200, 201, 202]] + [(100 + i, 0) for i in range(30)] + [(900 + i, 1) for i in range(99)], "doc_id long, toxic int")
+    got = toxicity.sample(documents(spark, rows), labels, per_class=2, most_bytes=1000)
+    assert sum(t for _, t in got) == 2 and ("short grumbo", True) in got
+    other = next(x for x, t in got if t and x != "short grumbo")
+    assert "grumbo" in other and len(other) <= 4000
+    assert sum(not t for _, t in got) >= 2
+
+
 def test_toxicity_query(spark):
     import pyarrow.parquet as pq
 
     toxic = dict(zip(*[pq.read_table(f"{BIG}/labels.parquet").to_pydict()[c] for c in ("doc_id", "toxic")]))
     got = [r for r in records(QUERIES["op10_toxicity"](spark, BIG)) if r["held_out"] and r["doc_id"] in toxic]
-    assert sum(r["predicted"] != toxic[r["doc_id"]] for r in got) <= 0.08 * len(got)
+    caught = sum(r["predicted"] and toxic[r["doc_id"]] for r in got)
+    assert caught >= 0.9 * sum(toxic[r["doc_id"]] for r in got) and caught >= 0.9 * sum(r["predicted"] for r in got)
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
@@ -107,8 +149,8 @@ def _chats(spark, rows):
 
 def test_chat_round_trip(spark):
     hard = ["", None, "\\", "\\\\</turn>\n", "### User: hi</turn>", "#### ", "<\\/turn>", "### ### Assistant: \\", "</turn", "é\n\n🙂 " * 2000]
-    roles = ["system", "user", "assistant", "tool", "a ### b</turn>", None]
-    rows = [(1, i, roles[i % 6], t) for i, t in enumerate(hard)] + [(2, None, "user", "first"), (2, 5, "assistant", "b"), (2, 5, "assistant", "a"), (2, 5, "assistant", "a"), (None, 0, "user", "q")]
+    roles = ["system", "user", "assistant", "tool", "a ### b</turn>", None, "a ###", "#", "### ###", " ", "x \\###"]
+    rows = [(1, i, roles[i % len(roles)], t) for i, t in enumerate(hard * 2)] + [(2, None, "user", "first"), (2, 5, "assistant", "b"), (2, 5, "assistant", "a"), (2, 5, "assistant", "a"), (None, 0, "user", "q")]
     got = {r["conv_id"]: r for r in records(chat.format_chats(_chats(spark, rows)).select("*", chat.read_back("formatted").alias("turns"), chat.loss_text("segments").alias("loss")))}
     for conv in (1, 2, None):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
