@@ -50,7 +50,9 @@ def parse_number(text: Column, decimal_comma: bool = False) -> Column:
     side = lambda sign, i: F.trim(F.split_part(t, F.lit(sign), F.lit(i)))
     num, den = whole_number(side("/", 1)), whole_number(F.when(~side("/", 2).startswith("-"), side("/", 2)))
     raised = F.regexp_replace(side("^", 2), r"^\(|\)$", "")
-    base, exponent = F.when(side("^", 1).rlike(f"^{SIGNED}$"), side("^", 1).try_cast("double")), whole_number(raised)
+    bare = side("^", 1)
+    plain = (F.translate(bare, "0123456789.-", "") == "") & ~bare.startswith(".") & ~bare.endswith(".") & ~bare.startswith("-.")
+    base, exponent = F.when(plain, bare.try_cast("double")), whole_number(raised)
     return (
         F.when(refused, F.lit(None).cast("double"))
         .when(t.contains("/"), F.when((den != 0) & (F.size(F.split(t, "/")) == 2), num / den))
@@ -63,21 +65,21 @@ def whole_number(t: Column) -> Column:
     return F.when(t.rlike(r"^-?\d+$"), t.try_cast("double"))
 
 
-#: A number with a digit on both sides of its point, if it has one; and with a power of ten.
-SIGNED = r"-?\d+(?:\.\d+)?"
-NUMBER = SIGNED + r"(?:[eE][+-]?\d+)?"
-NUMBER_PAIR = rf"^\s*({NUMBER})(?:\s*[,;]\s*|\s+)({NUMBER})\s*$"
+def _plainly_written(t: Column) -> Column:
+    """One decimal or scientific number that begins (after a minus) and ends with a digit."""
+    is_digit = lambda c: c.between("0", "9")
+    first = F.when(t.startswith("-"), F.substr(t, F.lit(2), F.lit(1))).otherwise(F.substr(t, F.lit(1), F.lit(1)))
+    return parse_number(t).isNotNull() & ~t.contains("/") & ~t.contains("^") & is_digit(first) & is_digit(F.right(t, F.lit(1)))
 
 
 def split_number_pair(text: Column) -> Column:
     """Struct (first, second) of a two-number cell, else NULL (SCL-21)."""
-    t = F.replace(unify_minus(F.trim(text)), F.lit("\n"), F.lit(" "))
-    return F.when(
-        t.rlike(NUMBER_PAIR),
-        F.struct(
-            F.regexp_extract(t, NUMBER_PAIR, 1).alias("first"), F.regexp_extract(t, NUMBER_PAIR, 2).alias("second")
-        ),
-    )
+    t = F.trim(F.regexp_replace(unify_minus(text), r"\s+", " "))
+    listed = F.regexp_replace(F.translate(t, ",;", "  "), " +", " ")
+    signs = F.length(t) - F.length(F.translate(t, ",;", ""))
+    parts = F.split(listed, " ")
+    pair = (signs <= 1) & (F.size(parts) == 2) & F.forall(parts, _plainly_written)
+    return F.when(pair, F.struct(F.get(parts, F.lit(0)).alias("first"), F.get(parts, F.lit(1)).alias("second")))
 
 
 # Unit words that may surround a rate.

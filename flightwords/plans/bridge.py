@@ -8,6 +8,8 @@ and so on.  Each derivation exists twice: as DataFrames here and as SQL text in
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,45 +22,63 @@ EPOCH = 1.7e9
 ALL = (1, 2, 3, 4)
 
 
-def _p(pid, name, ptype, occs, unit=None, lo=None, hi=None, res=1.0, off=0.0, formula="linear",
-       true=None, false=None, states=(), description=""):
-    return dict(pid=pid, name=name, ptype=ptype, occs=occs, unit=unit, lo=lo, hi=hi, res=res, off=off,
-                formula=formula, true=true, false=false, states=states, description=description)
-
-
-# One mapping document that covers every type and every status.
-# occs: list of occurrences; a segment is (subframes, word, lsb, msb, weight).
-MAPPING = [
-    _p("P01", "OIL TEMP", "analog_signed", [[(ALL, 7, 2, 11, None)], [(ALL, 41, 2, 11, None)]], "C", -60.0, 120.0, 0.3,
-       description="Oil temperature"),
-    _p("P02", "GAS TEMP", "analog_unsigned", [[((1, 3), 9, 1, 12, None)]], "C", 0.0, 900.0, 0.25,
-       description="Exhaust gas temperature"),
-    _p("P03", "GROSS MASS", "analog_signed", [[(ALL, 34, 1, 9, None), (ALL, 33, 1, 12, None)]], "kg", -1000.0, 300000.0,
-       0.5, description="Mass in two words"),
-    _p("P04", "VALVE", "analog_unsigned", [[((2, 4), 11, 1, 12, None)]], "pct", -2.5, 90.0, 0.03, -2.5,
-       description="Valve opening"),
-    _p("P05", "INLET TEMP", "analog_unsigned", [[(ALL, 17, 12, 1, None)]], "C", -35.0, 35.0, -0.02, 40.0,
-       description="Inlet temperature, falling scale"),
-    _p("P06", "DOOR", "discrete", [[(ALL, 15, 1, 1, None)]], "none", true="OPEN", false="SHUT",
-       description="Cargo door"),
-    _p("P07", "SOURCE", "discrete", [[(ALL, 15, 2, 3, None)]], states=((0, "NONE"), (1, "LEFT"), (2, "")), true="BOTH",
-       description="Selected source"),
-    _p("P08", "CHANNEL", "bcd", [[((2,), 16, 1, 12, None)]], "C", 0.0, 650.0, description="Three digits"),
-    _p("P09", "LEG NO", "bcd", [[((4,), 22, 9, 12, 10.0), ((4,), 22, 5, 8, 1.0)]], description="Leg of the day"),
-    _p("P10", "PATTERN", "raw", [[((1, 2), 24, 1, 12, None)]], description="Test pattern"),
-    _p("P11", "RESERVED", "unknown", [[((1,), 18, 1, 12, None)]]),
-    _p("P12", "UNMAPPED", "analog_signed", []),
-    _p("P13", "SPLIT", "analog_unsigned", [[((1,), 26, 1, 12, None), ((2,), 27, 1, 12, None)]], "C"),
-    _p("P14", "BADBIT", "analog_unsigned", [[((1, 3), 29, 1, 12, None), ((1, 3), 30, 0, 5, None)]]),
-    _p("P15", "BADWORD", "analog_unsigned", [[((2,), 71, 1, 12, None)]]),
-    _p("P16", "TABLE", "analog_signed", [[((3,), 32, 1, 12, None)]], formula="table"),
-    _p("P17", "OXYGEN", "bcd", [[((1, 3), 36, 9, 12, 10.0), ((1, 3), 36, 5, 8, 1.0), ((1, 3), 36, 1, 4, 0.1)]], "l", 0.0,
-       45.0, 1.0, 0.0, description="Oxygen quantity"),
-    _p("P18", "DRIFT", "analog_signed", [[(ALL, 46, 3, 12, None), (ALL, 45, 3, 12, None)]], "C", None, None,
-       0.00125, description="Sensor drift"),
-    _p("P19", "EMPTY", "analog_signed", [[]]),
-    _p("P20", "OUTSIDE", "raw", [[((1, 7), 49, 1, 12, None)]]),
-]
+def _mapping() -> list[dict]:
+    """One mapping document that covers every type, shape and status.
+
+    A rule, not a table: each kind of field comes in several widths, named by its
+    letter and its bits (or digits), and words are handed out in order.  The
+    faults come last.  A segment is (subframes, word, lsb, msb, weight).
+    """
+    word = itertools.count(3)
+    turns = itertools.cycle([(1, 2), (2, 3, 4), (3,), ALL, (1, 4)])
+    rows = []
+
+    def add(pid, ptype, occs, unit=None, lo=None, hi=None, res=1.0, off=0.0, formula="linear", true=None, false=None, states=(), about=""):
+        rows.append(dict(pid=pid, name=f"FIELD {pid}", ptype=ptype, occs=occs, unit=unit, lo=lo, hi=hi, res=res, off=off,
+                         formula=formula, true=true, false=false, states=states, description=about or f"A field of kind {pid}"))
+
+    def field(width, sfs, lsb=1):
+        return [(sfs, next(word), lsb, lsb + width - 1, None)]
+
+    for digits in (3, 2):  # packed decimal digits, without and with weights
+        add(f"B{digits}", "bcd", [field(4 * digits, next(turns))], "C" if digits == 3 else None, 0.0, 65.0 * 10 ** (digits - 2))
+    for digits in (2, 3):
+        w, sfs = next(word), next(turns)
+        parts = [(sfs, w, 9 - 4 * k, 12 - 4 * k, 10.0 ** (digits - 1 - k)) for k in range(digits)]
+        add(f"W{digits}", "bcd", [parts], "l", 0.0, 450.0)
+    for width, sfs in ((24, (2, 4)), (12, (1, 3))):  # bits as they are
+        add(f"R{width}", "raw", [field(12, sfs) + (field(12, sfs) if width > 12 else [])], "C")
+    for width in (12, 11):
+        add(f"U{width}", "analog_unsigned", [field(width, next(turns))], "C", 2.0, 900.0, width / 48, about=f"Unsigned temperature of {width} bits")
+    w = next(word)  # written from high to low, with a falling scale
+    add("U8", "analog_unsigned", [[((1, 2, 4), w, 10, 3, None)]], "pct", -30.0, 35.0, -0.25, 30.0)
+    shared = next(word)  # a word of single flags
+    add("D2", "discrete", [[((2, 4), shared, 5, 6, None)]], states=((0, "NONE"), (1, "LEFT"), (2, "")), true="BOTH")
+    add("D1", "discrete", [[(ALL, shared, 9, 9, None)]], "none", true="OPEN", false="SHUT")
+    for width, times, res in ((5, 1, 2.0), (10, 2, 0.3), (12, 1, 0.125)):  # also several samples a subframe
+        add(f"S{width}", "analog_signed", [field(width, (1, 3) if times > 1 else (2, 3), lsb=13 - width) for _ in range(times)], "C", -60.0, 120.0, res,
+            about=f"Signed temperature of {width} bits")
+    for name, widths, res in (("S21", (9, 12), 0.5), ("S30", (10, 12, 8), 0.00125)):  # several words a value, highest first
+        add(name, "analog_signed", [[(ALL, next(word), 1, w, None) for w in widths]], "kg", -1000.0 if name == "S21" else None, 300000.0 if name == "S21" else None, res)
+    add("X12", "unknown", [field(12, (4,))])
+    add("FTABLE", "analog_signed", [field(12, (3,))], formula="table")
+    add("FNONE", "analog_signed", [])
+    add("FEMPTY", "analog_unsigned", [[]])
+    add("FWORD", "analog_unsigned", [[((2, 3), WPS + 6, 1, 12, None)]])
+    w = next(word)
+    add("FBIT", "bcd", [[((1, 4), w, 1, 8, None), ((1, 4), w, 9, 13, None)]])
+    w = next(word)
+    add("FSPLIT", "analog_signed", [[((3,), w, 1, 12, None), ((4,), w, 1, 12, None)]], "C")
+    add("FSLOT", "raw", [[((2, 7), next(word), 1, 12, None)]])
+    return rows
+
+
+MAPPING = _mapping()
+
+
+def word_at(pid: str, occ: int = 1, segment: int = 1) -> int:
+    """The word of a segment of the mapping."""
+    return next(p for p in MAPPING if p["pid"] == pid)["occs"][occ - 1][segment - 1][1]
 
 
 def literal_documents(spark: SparkSession) -> DataFrame:

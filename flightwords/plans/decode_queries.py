@@ -71,19 +71,19 @@ def _only(name: str, where: str):
     return run
 
 
-_only("decode_multiseg", "param_id IN ('P03', 'P18')")
+_only("decode_multiseg", "param_id IN ('S21', 'S30', 'R24')")
 _only("decode_bcd", "ptype = 'bcd'")
 _only("decode_discrete", "ptype = 'discrete'")
 _only("decode_unsupported", "status = 'UNSUPPORTED_TYPE'")
-_only("decode_weighted_bcd", "param_id IN ('P09', 'P17')")
-_only("values_for_parameter", "param_id = 'P01'")
+_only("decode_weighted_bcd", "param_id IN ('W2', 'W3')")
+_only("values_for_parameter", "param_id = 'S10'")
 
 
 @query(
     "decode_frames",
     f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp
     UNION ALL
-    SELECT s.rec, s.seq, s.fi, 7, 'P20', 1, (s.t_end - 1.0) + 48 / 64.0, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_MAPPING'
+    SELECT s.rec, s.seq, s.fi, 7, 'FSLOT', 1, (s.t_end - 1.0) + {bridge.word_at('FSLOT') - 1} / 64.0, NULL, NULL, NULL, NULL, NULL, NULL, 'INVALID_MAPPING'
     FROM sub s WHERE s.sf = 1 AND s.state = 'RECEIVED'""",
 )
 def decode_frames(spark, sf_dir):
@@ -280,10 +280,10 @@ def carry_forward(spark, sf_dir):
     "overlay_same_unit",
     f"""WITH {PTS}, e AS (SELECT rec, pid, min(unit) AS unit, arg_max(t, (seq, occ)) AS end_t FROM pts GROUP BY ALL)
     SELECT e.rec AS recording_id, e.pid AS param_id, e.unit, e.end_t, max(e.end_t) OVER (PARTITION BY e.rec) AS common_end
-    FROM e JOIN e c ON c.rec = e.rec AND c.pid = 'P01' AND e.unit IS NOT DISTINCT FROM c.unit""",
+    FROM e JOIN e c ON c.rec = e.rec AND c.pid = 'S10' AND e.unit IS NOT DISTINCT FROM c.unit""",
 )
 def overlay_same_unit(spark, sf_dir):
-    return series.overlay(points(spark, sf_dir, scans=3), "P01")
+    return series.overlay(points(spark, sf_dir, scans=3), "S10")
 
 
 @query(
@@ -365,10 +365,10 @@ def word_inspector(spark, sf_dir):
 
 @query(
     "touching_word",
-    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE sf = 2 AND (pid, occ) IN (SELECT (pid, occ) FROM segx WHERE word = 15)""",
+    f"""WITH {SMP} SELECT {SAMPLE_SQL} FROM smp WHERE sf = 2 AND (pid, occ) IN (SELECT (pid, occ) FROM segx WHERE word = {bridge.word_at('D1')})""",
 )
 def touching_word(spark, sf_dir):
-    return sample_columns(series.touching_word(samples(spark, sf_dir, trace=True), 2, 15))
+    return sample_columns(series.touching_word(samples(spark, sf_dir, trace=True), 2, bridge.word_at("D1")))
 
 
 @query(
@@ -377,14 +377,14 @@ def touching_word(spark, sf_dir):
       SELECT m.rec, m.seq, m.pid, m.occ, g.seq AS gseq, g.word, g.lo_, g.width,
              {word_of('g.word', 's.c', 's.sf')} AS wv
       FROM smp m JOIN sub s ON s.rec = m.rec AND s.seq = m.seq JOIN segs g ON g.pid = m.pid AND g.occ = m.occ
-      WHERE m.pid = 'P03')
+      WHERE m.pid = 'S21')
     SELECT rec AS recording_id, seq, pid AS param_id, occ::BIGINT AS occ, gseq::BIGINT AS segment, word::BIGINT AS word,
            b::BIGINT AS bit, ((wv >> (b - 1)) & 1)::BIGINT AS is_set, (b BETWEEN lo_ AND lo_ + width - 1) AS mapped
     FROM w, range(1, 13) r(b)""",
 )
 def parameter_bits(spark, sf_dir):
     """Bits behind every sample of a two-word parameter (JON-03)."""
-    s = series.for_parameter(samples(spark, sf_dir, trace=True), "P03")
+    s = series.for_parameter(samples(spark, sf_dir, trace=True), "S21")
     return inspect.parameter_bits(s).select(
         "recording_id", "seq", "param_id", long("occ"), long("segment"), long("word"), long("bit"), "is_set", "mapped"
     )

@@ -56,6 +56,18 @@ SEG = _values(
 )
 ST = _values("st", "pid, value, label", [(p["pid"], v, lab) for p in MAPPING for v, lab in p["states"]])
 
+
+
+def cells_sql(*pids: str) -> str:
+    """VALUES (pid, sfs, word, lo_, width, shift) of every segment of some parameters."""
+    rows = []
+    for p in MAPPING:
+        for segs in p["occs"] if p["pid"] in pids else []:
+            widths = [abs(g[3] - g[2]) + 1 for g in segs]
+            rows += [(p["pid"], list(g[0]), g[1], min(g[2], g[3]), w, sum(widths[k + 1 :])) for k, (g, w) in enumerate(zip(segs, widths))]
+    return "VALUES " + ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in rows)
+
+
 MAP = f"""
 {PAR},
 {SEG},

@@ -54,23 +54,44 @@ def test_frame_files(spark, tmp_path):
     assert text == good
 
 
-def record(name, kind="Signed Analog", lo="", hi="", scale="1", off="0", dec="", conv="-", values=(), labels=(), samples="1", parts="1", locs=()):
-    pad = lambda a, n: list(a) + [""] * (n - len(a))
-    f = [name, "", kind, "", lo, hi, scale, off, dec, conv, *pad(values, 32), *pad(labels, 32), samples, parts]
-    flat = [x for loc in locs for x in (*map(str, loc), "")]
-    return [*f, *pad(flat, 160), "", ""]
+SETTING = "Setting,1,64,1,12,256,0,583,1464,2631,3512".split(",")
+LOCATION_AT = 76  # fields before the 32 locations
 
 
-SETTING = "Setting,1,64,1,12,256,0,583,1464,2631,3512".split(",")
+def record(name, kind, locs, parts=1, slots=(), samples=None):
+    """One record: (selector, word, lsb, msb) locations in file order, (value, label) slots."""
+    f = [""] * 238
+    f[0], f[2], f[6], f[7] = name, kind, "1", "0"
+    f[9] = "Discrete" if kind == "Discrete" else "-"
+    for k, (value, label) in enumerate(slots):
+        f[10 + k], f[42 + k] = value, label
+    f[74], f[75] = str(len(locs) // parts if samples is None else samples), str(parts)
+    for k, loc in enumerate(locs):
+        f[LOCATION_AT + 5 * k : LOCATION_AT + 5 * k + 4] = map(str, loc)
+    return f
+
+
+# Each rule of locations and slots, in several forms.
+SLOTS3 = [("4", "idle"), ("2", "run, hot"), ("1", 'th"’ree')]
 ROWS = [
-    record("OIL PRESS", samples="4", locs=[("1234", w, 1, 10) for w in (9, 73, 137, 201)]),
-    record("VIB FAN", samples="8", locs=[("1234", w, 1, 12) for w in range(5, 256, 32)]),
-    record("MASS", parts="2", locs=[("1234", 51, 1, 12), ("1234", 50, 1, 12)]),
-    record("LEG", "BCD", parts="2", values=("1", "10"), locs=[("2", 33, 1, 4), ("2", 33, 5, 8)]),
-    record("DOOR AFT", "Discrete", conv="Discrete", values=("0", "1"), labels=("LOCKED", "FREE"), locs=[("1234", 170, 6, 6)]),
-    record("FAN, STAGE", "Discrete", conv="Discrete", values=("0", "1", "2", "3"), labels=("off", "one", "two", 'th"’ree'), locs=[("1234", 12, 4, 5)]),
-    record("INLET", locs=[("24", 90, 2, 11)]),
-    record("ICE FLAG", "Discrete", samples="2", locs=[("1234", 61, 2, 2)]),
+    # selectors name subframes of relative words: one, two, all four
+    record("REL ONE", "BCD", [("3", 17, 1, 12)]),
+    record("REL PAIR", "Signed Analog", [("14", 40, 4, 11)]),
+    record("REL TWICE", "Unsigned Analog", [("2", 20, 3, 9), ("4", 20, 3, 9)]),
+    # frame-absolute words: merged where the shape repeats in every subframe, or in some
+    record("ABS FOUR", "Unsigned Analog", [("", w, 2, 8) for w in (55, 119, 183, 247)]),
+    record("ABS TWO", "Signed Analog", [("1234", 64 + 33, 1, 6), ("1234", 192 + 33, 1, 6)]),
+    record("ABS SHAPES", "Unsigned Analog", [("1234", 13, 1, 5), ("1234", 77, 6, 12)]),
+    # parts, lowest first: across words, three in one word with weights, too few weights
+    record("LONG", "Signed Analog", [("24", 58, 5, 12), ("24", 57, 1, 12), ("24", 56, 1, 12)], parts=3),
+    record("CLOCK", "BCD", [("1", 61, 1, 4), ("1", 61, 5, 8), ("1", 61, 9, 10)], parts=3, slots=[("0.1", ""), ("1", ""), ("10", "")]),
+    record("SHORT WEIGHTS", "BCD", [("1", 62, 1, 4), ("1", 62, 5, 8)], parts=2, slots=[("1", "")]),
+    # slots: two labels in falling order, a table with gaps
+    record("LATCH", "Discrete", [("12", 9, 12, 12)], slots=[("1", "held"), ("0", "free")]),
+    record("MOTOR", "Discrete", [("1234", 130, 7, 9)], slots=SLOTS3),
+    # what is warned of: a selector that is not used, a count that does not fit
+    record("IGNORED", "Signed Analog", [("34", 70, 1, 12)]),
+    record("MISCOUNT", "Unsigned Analog", [("23", 11, 1, 12)], samples=3),
 ]
 
 
@@ -86,25 +107,39 @@ def adb_bytes():
 def test_adb_parse_export_round_trip(spark, tmp_path):
     raw = adb_bytes()
     (tmp_path / "demo.adb").write_bytes(raw)
-    (tmp_path / "broken.adb").write_text(",".join(SETTING) + "\r\n" + ",".join(record("BAD", locs=[("1234", 400, 1, 2)])) + "\r\nshort,record\r\n")
+    (tmp_path / "broken.adb").write_text(",".join(SETTING) + "\r\n" + ",".join(record("BAD", "Discrete", [("1234", 400, 1, 2)])) + "\r\nshort,record\r\n")
     recs = adb_files.read_adb(spark, str(tmp_path)).cache()
     p = adb.parsed(recs).cache()
     assert {(r.document_id, r.problem) for r in adb.rejects(p).collect()} == {
         ("broken", "word beyond the frame"), ("broken", "record is too short")}
+    name = {r.param_id: r.mnemonic for r in adb.parameters(p).filter("document_id = 'demo'").collect()}
     segs = {}
     for r in adb.segments(p).filter("document_id = 'demo'").orderBy("param_id", "occ", "seq").collect():
-        segs.setdefault(r.param_id, []).append((r.occ, r.seq, tuple(r.subframes), r.word, r.lsb, r.msb, r.bcd_weight))
-    assert segs["adb-0001"] == [(1, 1, (1, 2, 3, 4), 9, 1, 10, None)]
-    assert [(s[0], s[2], s[3]) for s in segs["adb-0002"]] == [(1, (1, 2, 3, 4), 5), (2, (1, 2, 3, 4), 37)]
-    assert [s[3] for s in segs["adb-0003"]] == [50, 51]
-    assert segs["adb-0004"] == [(1, 1, (2,), 33, 5, 8, 10.0), (1, 2, (2,), 33, 1, 4, 1.0)]
-    assert segs["adb-0005"] == [(1, 1, (3,), 42, 6, 6, None)]
-    assert segs["adb-0007"][0][2:4] == ((2,), 26)
-    pars = {r.param_id: r for r in adb.parameters(p).filter("document_id = 'demo'").collect()}
-    assert (pars["adb-0005"].true_state, pars["adb-0005"].false_state, len(pars["adb-0005"].states)) == ("FREE", "LOCKED", 0)
-    assert [s.label for s in pars["adb-0006"].states] == ["off", "one", "two", 'th"’ree']
-    notes = {r.param_id: r.warning for r in adb.warnings(p).filter("document_id = 'demo'").collect()}
-    assert notes == {"adb-0007": "location 1: subframe selector ignored", "adb-0008": "sample count does not match the locations"}
+        segs.setdefault(name[r.param_id], []).append((r.occ, r.seq, tuple(r.subframes), r.word, r.lsb, r.msb, r.bcd_weight))
+    every = (1, 2, 3, 4)
+    assert segs == {
+        "REL ONE": [(1, 1, (3,), 17, 1, 12, None)],
+        "REL PAIR": [(1, 1, (1, 4), 40, 4, 11, None)],
+        "REL TWICE": [(1, 1, (2, 4), 20, 3, 9, None)],
+        "ABS FOUR": [(1, 1, every, 55, 2, 8, None)],
+        "ABS TWO": [(1, 1, (2, 4), 33, 1, 6, None)],
+        "ABS SHAPES": [(1, 1, (1,), 13, 1, 5, None), (2, 1, (2,), 13, 6, 12, None)],
+        "LONG": [(1, 1, (2, 4), 56, 1, 12, None), (1, 2, (2, 4), 57, 1, 12, None), (1, 3, (2, 4), 58, 5, 12, None)],
+        "CLOCK": [(1, 1, (1,), 61, 9, 10, 10.0), (1, 2, (1,), 61, 5, 8, 1.0), (1, 3, (1,), 61, 1, 4, 0.1)],
+        "SHORT WEIGHTS": [(1, 1, (1,), 62, 5, 8, None), (1, 2, (1,), 62, 1, 4, None)],
+        "LATCH": [(1, 1, (1, 2), 9, 12, 12, None)],
+        "MOTOR": [(1, 1, (3,), 2, 7, 9, None)],
+        "IGNORED": [(1, 1, (2,), 6, 1, 12, None)],
+        "MISCOUNT": [(1, 1, (2, 3), 11, 1, 12, None)],
+    }
+    pars = {r.mnemonic: r for r in adb.parameters(p).filter("document_id = 'demo'").collect()}
+    assert (pars["LATCH"].true_state, pars["LATCH"].false_state, len(pars["LATCH"].states)) == ("held", "free", 0)
+    assert [(s.value, s.label) for s in pars["MOTOR"].states] == [(int(v), t) for v, t in SLOTS3]
+    notes = {}
+    for r in adb.warnings(p).filter("document_id = 'demo'").collect():
+        notes.setdefault(name[r.param_id], []).append(r.warning)
+    assert set(notes) == {"IGNORED", "MISCOUNT", "SHORT WEIGHTS"}, notes
+    assert notes["IGNORED"] == ["location 1: subframe selector ignored"] and notes["MISCOUNT"] == ["sample count does not match the locations"]
 
     docs = adb.documents(recs).filter("document_id = 'demo'").drop("problem")
     mine, seg = adb.parameters(p).filter("document_id = 'demo'"), adb.segments(p).filter("document_id = 'demo'")
