@@ -79,6 +79,15 @@ def parse_containers(data: np.ndarray) -> tuple[np.ndarray, int]:
     return words, int(np.count_nonzero((marked >= 0) & waiting))
 
 
+def pending_byte(data: np.ndarray) -> int | None:
+    """The low byte left waiting at the end of bytes that begin with a container start."""
+    if not len(data):
+        return None
+    marked = np.flatnonzero(data & 0xF0)
+    since = len(data) - 1 - (int(marked[-1]) if len(marked) else 0)
+    return int(data[-1]) if since % 2 == 0 else None
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         words, dropped = [], []

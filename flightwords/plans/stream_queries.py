@@ -134,21 +134,46 @@ def _le_bytes(words):
 
 def captures(spark, sf_dir):
     """Byte captures: lost subframes leave a gap, damaged ones a stray byte."""
-    s = bridge.subframes(spark, sf_dir).filter("state <> 'MISSING'")
+    return captures_of(bridge.subframes(spark, sf_dir))
+
+
+def captures_of(subframes):
+    s = subframes.filter("state <> 'MISSING'")
     stray = F.when(F.col("state") == "INVALID", "F7").otherwise("")
     return s.select("recording_id", F.col("seq").alias("chunk_no"), F.col("t_end").alias("t"),
                     F.unhex(F.concat(stray, _le_bytes(F.col("words")))).alias("data"))
 
 
-@query("capture_words")
+# A stray byte is dropped before the low byte behind it, as every sync word's low byte has high bits: words stay whole.
+_HEARD = f"heard AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY seq) - 1 AS k FROM sub WHERE state <> 'MISSING')"
+
+
+@query(
+    "capture_words",
+    f"""WITH {SUB}, {_HEARD} SELECT rec AS recording_id, seq AS chunk_no, k * 64 AS start, 64::BIGINT AS n_words, (state = 'INVALID')::BIGINT AS invalid_words,
+      md5(array_to_string(list_transform(range(1, 65), lambda w: {word_of('w')}), ',')) AS words FROM heard""",
+)
 def capture_words(spark, sf_dir):
     """Words, offsets and dropped bytes of every capture chunk (SRC-07)."""
     return capture.words_of(captures(spark, sf_dir)).select(
-        "recording_id", "chunk_no", "start", "n_words", "invalid_words", F.get("words", F.lit(0)).cast("bigint").alias("first_word")
+        "recording_id", "chunk_no", "start", "n_words", "invalid_words", F.md5(F.array_join("words", ",")).alias("words")
     )
 
 
-@query("sync_lock")
+# Subframe by subframe: locked on an expected number, or searching for two that follow each other.
+LOCK_SQL = f"""{SUB}, {_HEARD},
+nxt AS (SELECT *, lead(sf) OVER (PARTITION BY rec ORDER BY seq) AS after FROM heard),
+lck AS (
+  SELECT rec, k, sf, c, after, CASE WHEN after = sf % 4 + 1 THEN sf END AS told FROM nxt WHERE k = 0
+  UNION ALL
+  SELECT n.rec, n.k, n.sf, n.c, n.after, CASE WHEN l.told = l.sf THEN l.told % 4 + 1 WHEN n.after = n.sf % 4 + 1 THEN n.sf END
+  FROM lck l JOIN nxt n ON n.rec = l.rec AND n.k = l.k + 1)
+"""
+_LOCKED = f"""WITH RECURSIVE {LOCK_SQL} SELECT rec AS recording_id, k * 64 AS pos, told::BIGINT AS subframe, told = sf AS valid,
+  {word_of('2')}::BIGINT AS word_2 FROM lck WHERE told IS NOT NULL"""
+
+
+@query("sync_lock", _LOCKED)
 def sync_lock(spark, sf_dir):
     """Subframes recovered from the captures' words (STR-01, STR-02)."""
     words = capture.words_of(captures(spark, sf_dir))
@@ -172,17 +197,35 @@ def wrong_rate(spark, sf_dir):
     """Rate at which sync words repeat when 128 words per second were expected (STR-03)."""
     s = bridge.subframes(spark, sf_dir).select("recording_id", (F.col("seq") * bridge.WPS).alias("start"), "words")
     cand = sync.sync_candidates(s)
-    never = cand.limit(0).select("recording_id", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return sync.wrong_rate(cand, never, 128).select("recording_id", long("detected_wps"))
+    held = sync.locks(s, cand, 128)
+    return sync.wrong_rate(cand, held, 128).select("recording_id", long("detected_wps"))
 
 
-def packet_chunks(spark, sf_dir):
-    """One framed packet per subframe; damaged ones carry a wrong checksum."""
+@query(
+    "wrong_rate_after_loss",
+    f"""WITH {SUB} SELECT rec AS recording_id, 257 * 64::BIGINT AS since, 128::BIGINT AS detected_wps FROM sub GROUP BY rec HAVING count(*) >= 259""",
+)
+def wrong_rate_after_loss(spark, sf_dir):
+    """Recordings that change to 128 words per second after 256 subframes: the lock is lost, then the new rate found (STR-03)."""
     s = bridge.subframes(spark, sf_dir)
+    k = F.col("seq") % 512
+    wide = F.when(k < 256, F.col("words")).otherwise(F.concat("words", F.array_repeat(F.lit(0), bridge.WPS)))
+    s = s.select("recording_id", (k * bridge.WPS + F.greatest(k - 256, F.lit(0)) * bridge.WPS).alias("start"), wide.alias("words"))
+    cand = sync.sync_candidates(s)
+    return sync.wrong_rate(cand, sync.locks(s, cand, bridge.WPS), bridge.WPS).select("recording_id", "since", long("detected_wps"))
+
+
+def packet_chunks(spark, sf_dir, number=None, rate=None):
+    """One framed packet per subframe; damaged ones carry a wrong checksum.
+
+    ``number`` and ``rate``: what the header says in place of the subframe and its words per second.
+    """
+    s = bridge.subframes(spark, sf_dir)
+    s = s.withColumn("number", number if number is not None else F.col("subframe")).withColumn("rate", rate if rate is not None else F.lit(bridge.WPS))
     def le(c, n):
         return F.concat(*[F.lpad(F.hex(F.expr(f"shiftright({c}, {8 * i}) & 255").cast("bigint")), 2, "0") for i in range(n)])
 
-    body = F.concat(F.lit("53410101"), le("seq & 65535", 2), le("frame_index", 4), le("subframe", 1), F.lit("40008000"), _le_bytes(F.col("words")))
+    body = F.concat(F.lit("53410101"), le("seq & 65535", 2), le("frame_index", 4), le("number", 1), le("rate", 2), F.lit("8000"), _le_bytes(F.col("words")))
     s = s.withColumn("body", body).withColumn("crc", F.crc32(F.unhex("body")))
     s = s.withColumn("crc", F.when(F.col("state") == "INVALID", F.expr("crc ^ 2779096485L")).otherwise(F.col("crc")))
     return s.select("recording_id", F.col("seq").alias("chunk_no"), F.col("t_end").alias("t"),
@@ -202,6 +245,32 @@ def crc_packets(spark, sf_dir):
     )
 
 
+@query(
+    "packet_counters",
+    f"""WITH {SUB} SELECT rec AS recording_id, count(*) FILTER (state = 'INVALID') AS bad_packets, count(*) FILTER (state <> 'INVALID') AS packets,
+      count(*) FILTER (state <> 'INVALID') * 147 AS packet_bytes FROM sub GROUP BY rec""",
+)
+def packet_counters(spark, sf_dir):
+    """Packets delivered and refused per recording (SRC-08)."""
+    _, counters = capture.packets(capture.candidates(packet_chunks(spark, sf_dir)))
+    return counters.select("recording_id", "bad_packets", "packets", "packet_bytes")
+
+
+@query(
+    "packet_checks",
+    f"""WITH {SUB} SELECT rec AS recording_id, seq % 65536 AS sequence, CASE WHEN seq % 11 = 0 THEN 9 WHEN seq % 13 = 0 THEN sf % 4 + 1 ELSE sf END::BIGINT AS subframe,
+      seq % 11 <> 0 AS deliver, seq % 7 = 0 AS rate_mismatch, seq % 11 <> 0 AND seq % 13 <> 0 AND seq % 7 <> 0 AS valid FROM sub WHERE state <> 'INVALID'""",
+)
+def packet_checks(spark, sf_dir):
+    """Packets with foreign subframe numbers, other subframes' sync words and other rates (STR-10)."""
+    number = F.expr("case when seq % 11 = 0 then 9 when seq % 13 = 0 then subframe % 4 + 1 else subframe end")
+    chunks = packet_chunks(spark, sf_dir, number, F.expr("case when seq % 7 = 0 then 32 else 64 end"))
+    delivered, _ = capture.packets(capture.candidates(chunks))
+    return capture.check_packets(delivered, bridge.WPS, SYNC_WORDS).select(
+        "recording_id", long("sequence"), long("subframe"), "deliver", "rate_mismatch", "valid"
+    )
+
+
 FILES_PER_BATCH = 256
 
 
