@@ -18,7 +18,7 @@ from ..schemas import (
     ANALOG_SIGNED, BCD, DECODABLE_STATES, DISCRETE, INVALID_BCD, INVALID_MAPPING, LINEAR_TYPES, OUT_OF_RANGE,
     RAW, UNSUPPORTED_TYPE, VALID,
 )
-from ..session import BROADCAST_ROW_LIMIT
+from ..session import BROADCAST_ROW_LIMIT, broadcast_if_small, materialize
 
 # Widest field that is shifted together as BIGINT.  Wider ones are read from
 # their exact bits: digits and labels hold at any width, numbers are rounded
@@ -26,6 +26,9 @@ from ..session import BROADCAST_ROW_LIMIT
 MAX_EXACT_WIDTH = 62
 WIDE = "decimal(38,0)"
 
+# Rows of either side that a group of the fleet's join holds, about.
+SLICE_ROWS, HOT_ROWS = 256, 16_384
+
 TRACE_COLUMNS = ("segs", "failing", "occurrence_error", "ptype")
 
 # UDF-01: user types.  Name -> (decoded, engineering) from the assembled integer
@@ -115,17 +118,19 @@ def decode(
     trace: bool = False,
     profile: dict | None = None,
     keep: tuple[str, ...] = (),
+    on: tuple[str, ...] = (),
 ) -> DataFrame:
     """Samples of every subframe row that matches a plan row.
 
     ``subframes`` needs recording_id, document_id, seq, frame_index, subframe,
     t_end and words.  ``trace=True`` adds the per-segment derivation; ``keep``
-    names further plan columns to pass through.
+    names further plan columns to pass through; ``on`` names further columns of
+    both sides that must be equal.
     """
     profile = profile or plan_profile(plans)
     parts = profile["parts"]
     extra = [c for c in keep] + [c for c in TRACE_COLUMNS if trace and c not in keep]
-    side = flat_plans(plans, {**profile, "keep": tuple(extra)})
+    side = flat_plans(plans, {**profile, "keep": (*extra, *on)})
     side = F.broadcast(side) if profile["small"] else side
     joined = (
         subframes.alias("s")
@@ -133,7 +138,8 @@ def decode(
             side.alias("p"),
             (F.col("s.document_id") == F.col("p.document_id"))
             & (F.col("s.subframe") == F.col("p.deliver_on"))
-            & (F.size("s.words") == F.col("p.doc_wps")),
+            & (F.size("s.words") == F.col("p.doc_wps"))
+            & reduce(Column.__and__, [F.col(f"s.{c}") == F.col(f"p.{c}") for c in on], F.lit(True)),
         )
         .select(
             *[F.col(f"s.{c}") for c in ("recording_id", "document_id", "seq", "frame_index", "t_end", "words")],
@@ -214,6 +220,32 @@ def decode(
     return joined.select(*out)
 
 
+def decode_fleet(
+    subframes: DataFrame, plans: DataFrame, slice_rows: int = SLICE_ROWS, hot_rows: int = HOT_ROWS, **options
+) -> DataFrame:
+    """``decode`` against a mapping too large to broadcast (JON-01).
+
+    The plan rows of a document's subframe number are cut into slices of about
+    ``slice_rows`` by parameter, and a subframe row goes to the slices of its own
+    document only.  Where more than ``hot_rows`` subframes share a document and
+    number they are spread over salts, and the slices are repeated for each.
+    A group of the join so holds about ``slice_rows`` plan rows and ``hot_rows``
+    subframes, however many recordings use one document.
+    """
+    profile = {**(options.pop("profile", None) or plan_profile(plans)), "small": False}
+    parts = lambda rows: F.ceil(F.count(F.lit(1)) / rows).cast("int")
+    sliced = plans.groupBy("document_id", "deliver_on").agg(parts(slice_rows).alias("_slices"))
+    heat = subframes.groupBy("document_id", F.col("subframe").alias("deliver_on")).agg(parts(hot_rows).alias("_salts"))
+    cuts = broadcast_if_small(materialize(sliced.join(heat, ["document_id", "deliver_on"])))
+    own = F.pmod(F.xxhash64("param_id", "occ"), F.col("_slices")).cast("int")
+    p = plans.join(cuts, ["document_id", "deliver_on"]).withColumn("_slice", own)
+    p = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_slices", "_salts")
+    s = subframes.join(cuts.withColumnRenamed("deliver_on", "subframe"), ["document_id", "subframe"])
+    s = s.withColumn("_salt", F.pmod(F.xxhash64("recording_id", "seq"), F.col("_salts")).cast("int"))
+    s = s.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices", "_salts")
+    return decode(s, p, profile=profile, on=("_slice", "_salt"), **options)
+
+
 def wide_digits(bits: Column) -> Column:
     """The nibbles of a bit text as digits; no number when one is above 9."""
     full = F.lpad(bits, (F.ceil(F.length(bits) / 4) * 4).cast("int"), F.lit("0"))

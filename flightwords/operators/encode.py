@@ -53,23 +53,32 @@ def blank_subframes(frames: DataFrame, wps: int, sync_words: Iterable[int] | Non
 
 def dictionary(scenario: DataFrame) -> DataFrame:
     """One value per (frame, parameter): the last one given, at its first position."""
-    keys = ["recording_id", "frame_index", "param_id"]
+    keys = [c for c in ("recording_id", "frame_index", "document_id", "param_id") if c in scenario.columns]
     return scenario.groupBy(*keys).agg(
         F.min("ord").alias("ord"), F.max_by(F.struct("value", "label"), "ord").alias("v")
     ).select(*keys, "ord", "v.*")
 
 
-def patterns(scenario: DataFrame, parameters: DataFrame, segments: DataFrame, document_id: str) -> DataFrame:
+def _of_document(df: DataFrame, document_id: str | None) -> tuple[DataFrame, list[str]]:
+    """Mapping rows of one document, or of all, with the columns that tell parameters apart."""
+    if document_id is None:
+        return df, ["document_id", "param_id"]
+    return df.filter(F.col("document_id") == document_id), ["param_id"]
+
+
+def patterns(scenario: DataFrame, parameters: DataFrame, segments: DataFrame, document_id: str | None) -> DataFrame:
     """Bit pattern of every scenario value and occurrence (ENC-02, ENC-03).
 
     Rows that cannot be encoded carry status ENCODE_ERROR and a message; an
-    unknown parameter is such a row too.
+    unknown parameter is such a row too.  Without ``document_id`` every row of
+    the scenario names its own document.
     """
-    occ = occurrence_map(parameters.filter(F.col("document_id") == document_id), segments).select(
-        "param_id", "ptype", "occ", "segs", "width", "weighted", "resolution", "offset", "formula_type",
+    mine, by = _of_document(parameters, document_id)
+    occ = occurrence_map(mine, segments).select(
+        *by, "ptype", "occ", "segs", "width", "weighted", "resolution", "offset", "formula_type",
         "true_state", "false_state", F.lit(True).alias("known"),
     )
-    j = scenario.join(broadcast_if_small(occ), "param_id", "left")
+    j = scenario.join(broadcast_if_small(occ), by, "left")
     kind, width = F.col("ptype"), F.col("width")
     number = F.coalesce("value", F.col("label").try_cast("double"))
     scaled = (number - F.col("offset")) / F.nullif("resolution", F.lit(0.0))
@@ -121,7 +130,7 @@ def patterns(scenario: DataFrame, parameters: DataFrame, segments: DataFrame, do
 
 
 def writes(
-    encoded: DataFrame, segments: DataFrame, document_id: str, only_subframes: Iterable[int] | None = None
+    encoded: DataFrame, segments: DataFrame, document_id: str | None, only_subframes: Iterable[int] | None = None
 ) -> DataFrame:
     """Masked writes per cell (ENC-04): which bits of which word to set."""
     later = lambda i: F.aggregate(F.slice("segs", i + 2, F.size("segs")), F.lit(0), lambda a, g: a + g["width"])
@@ -136,16 +145,15 @@ def writes(
             ).alias("bits"),
         ),
     )
+    mine, by = _of_document(segments, document_id)
     cells = (
         encoded.filter(F.col("status") == ENCODED)
-        .select("recording_id", "frame_index", "ord", "param_id", "occ", F.inline(parts))
-    )
-    where = segments.filter((F.col("document_id") == document_id) & F.col("seq").isNotNull()).select(
-        "param_id", "occ", "seq", F.explode("subframes").alias("subframe")
+        .select("recording_id", "frame_index", "ord", *by, "occ", F.inline(parts))
     )
+    where = mine.filter(F.col("seq").isNotNull()).select(*by, "occ", "seq", F.explode("subframes").alias("subframe"))
     if only_subframes is not None:
         where = where.filter(F.col("subframe").isin(*only_subframes))
-    return cells.join(broadcast_if_small(where), ["param_id", "occ", "seq"])
+    return cells.join(broadcast_if_small(where), [*by, "occ", "seq"])
 
 
 def word_updates(w: DataFrame) -> DataFrame:
@@ -179,9 +187,13 @@ def apply_updates(subframes: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def scenario_frames(
-    scenario: DataFrame, base: DataFrame, parameters: DataFrame, segments: DataFrame, document_id: str
+    scenario: DataFrame, base: DataFrame, parameters: DataFrame, segments: DataFrame, document_id: str | None = None
 ) -> DataFrame:
-    """Base subframes with the whole scenario written into them (ENC-07)."""
+    """Base subframes with the whole scenario written into them (ENC-07).
+
+    Scenario rows name their documents unless one is given for all; values and
+    cells meet the mapping in joins, and the writes of a word are folded by order.
+    """
     enc = patterns(scenario, parameters, segments, document_id)
     return apply_updates(base, word_updates(writes(enc, segments, document_id)))
 

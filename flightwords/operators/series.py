@@ -328,3 +328,41 @@ def script_value(t: Column, points: Column) -> Column:
     a, b = F.get(points, at - 2), F.get(points, at - 1)
     linear = a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / (b["t"] - a["t"])
     return F.when(t <= first["t"], first["v"]).when(t >= last["t"], last["v"]).otherwise(linear)
+
+
+def script_segments(scripts: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(ends, segments) of scripts (``key``, points): the first and last point of
+    each with the length of its blocks, and pieces (block, a, b) between neighbours.
+
+    Blocks are as long as a script's mean segment, so spreading long segments over
+    all their blocks at most doubles the rows.
+    """
+    first, last = F.get("points", F.lit(0)), F.element_at("points", -1)
+    mean = (last["t"] - first["t"]) / F.greatest(F.size("points") - 1, F.lit(1))
+    known = scripts.filter(F.size("points") > 0).select(key, "points", first.alias("first"), last.alias("last"), mean.alias("step"))
+    pair = F.transform(F.slice("points", 2, F.size("points")), lambda b, i: F.struct(F.get("points", i).alias("a"), b.alias("b")))
+    pieces = known.select(key, "first", "step", F.explode(pair).alias("p")).select(key, "first", "step", "p.*").filter(F.col("a.t") < F.col("b.t"))
+    blocks_ = F.sequence(_script_block(F.col("a.t")), _script_block(F.col("b.t")))
+    return known.drop("points"), pieces.select(key, F.explode(blocks_).alias("block"), "a", "b")
+
+
+def _script_block(t: Column) -> Column:
+    return F.floor((t - F.col("first.t")) / F.col("step"))
+
+
+def script_values(events: DataFrame, scripts: DataFrame, key: str, at: str, out: str = "y") -> DataFrame:
+    """``events`` with the value of their key's script at position ``at`` (JON-07).
+
+    ``scripts`` has one row (``key``, points) per key, the points sorted.  Inside a
+    script events meet the segments of their position's block; a hot key is spread
+    over its blocks.  Events of keys without a script keep NULL.
+    """
+    ends, segments = script_segments(scripts, key)
+    e = events.join(broadcast_if_small(ends), key, "left")
+    x = F.col(at)
+    outer = F.when(x <= F.col("first.t"), F.col("first.v")).when(x >= F.col("last.t"), F.col("last.v"))
+    e = e.withColumn("_outer", outer).withColumn("block", F.when(F.col("_outer").isNull(), _script_block(x)))
+    settled = e.filter("_outer IS NOT NULL OR block IS NULL").select(*events.columns, F.col("_outer").alias(out))
+    inner = e.filter("_outer IS NULL AND block IS NOT NULL").join(segments, [key, "block"]).filter((x > F.col("a.t")) & (x <= F.col("b.t")))
+    slope = (F.col("b.v") - F.col("a.v")) * (x - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    return settled.unionByName(inner.select(*events.columns, (F.col("a.v") + slope).alias(out)))

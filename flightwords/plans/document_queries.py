@@ -157,18 +157,6 @@ def stated_wps(spark, sf_dir):
     return pages.stated_wps(p).withColumn("wps", F.col("wps").cast("bigint"))
 
 
-@query(
-    "script_interpolate",
-    """SELECT event_id, CASE WHEN value <= 100 THEN 0.0::DOUBLE + 50.0::DOUBLE * value / 100.0::DOUBLE
-      WHEN value <= 200 THEN 50.0::DOUBLE WHEN value >= 400 THEN -10.0::DOUBLE
-      ELSE 50.0::DOUBLE + -60.0::DOUBLE * (value - 200.0::DOUBLE) / 200.0::DOUBLE END AS y FROM events""",
-)
-def script_interpolate(spark, sf_dir):
-    """Scripted value at every event's position (JON-07)."""
-    e = bridge.table(spark, sf_dir, "events").withColumn("points", series.parse_script(F.lit("200:50, 0:0; 100:50 400:-10")))
-    return e.select("event_id", series.script_value(F.col("value"), F.col("points")).alias("y"))
-
-
 def document_rows(spark, sf_dir):
     s = F.col("p_size")
     return bridge.table(spark, sf_dir, "part").select(

@@ -158,14 +158,14 @@ pts AS (
   FROM smp WHERE coalesce(eng, decoded) IS NOT NULL)
 """
 
-_TYPE_CASE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PART_TYPES.items()) + " ELSE 'odd' END"
+TYPE_CASE = "CASE p_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PART_TYPES.items()) + " ELSE 'odd' END"
 
 # Mapping documents made of parts: pdoc, ppar, pseg.
 PART = f"""
 ppar AS (
   SELECT 'D' || CAST(p_partkey // 64 AS VARCHAR) AS doc, CAST(p_partkey % 64 + 1 AS BIGINT) AS ord,
          'part-' || CAST(p_partkey AS VARCHAR) AS pid, upper(p_name) AS mnemonic, p_brand || ' ' || p_type AS descr,
-         p_type AS source_type, {_TYPE_CASE} AS ptype, split_part(p_name, ' ', 2) AS unit,
+         p_type AS source_type, {TYPE_CASE} AS ptype, split_part(p_name, ' ', 2) AS unit,
          CAST(p_size - 10 AS DOUBLE) AS lo, CASE WHEN p_size <> 50 THEN CAST(40 - p_size AS DOUBLE) END AS hi,
          CASE WHEN p_size = 13 THEN 0.0::DOUBLE ELSE p_size / 8.0 END AS res, CAST(p_size - 25 AS DOUBLE) AS off_,
          CASE WHEN p_size = 7 THEN 'table' ELSE 'linear' END AS formula,
