@@ -33,17 +33,20 @@ def headers(subframes: DataFrame, wps: int, frame_id: str | None = None) -> Data
     A row is invalid when flagged so, of the wrong length, or holding a word
     beyond 12 bits (STR-05).
     """
-    flagged = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in subframes.columns else (F.col("state") != INVALID)
-    clean = F.size("words") == wps
-    inside = ~F.exists("words", lambda w: (w < 0) | (w > WORD_MAX))
     fid = F.col(frame_id) if frame_id else F.lit(None)
     t = F.col("t") if "t" in subframes.columns else F.col("t_end")
     return subframes.filter(F.col("subframe").between(1, SUBFRAME_COUNT)).select(
-        "recording_id", "seq", "subframe", (flagged & clean & inside).alias("valid"), fid.cast("bigint").alias("frame_id"),
+        "recording_id", "seq", "subframe", validity(subframes, wps).alias("valid"), fid.cast("bigint").alias("frame_id"),
         t.alias("t"),
     )
 
 
+def validity(subframes: DataFrame, wps: int) -> Column:
+    """Whether a row's subframe is whole: not flagged, of ``wps`` words, all of 12 bits."""
+    flagged = F.coalesce(F.col("valid"), F.lit(True)) if "valid" in subframes.columns else (F.col("state") != INVALID)
+    return flagged & (F.size("words") == wps) & ~F.exists("words", lambda w: (w < 0) | (w > WORD_MAX))
+
+
 def fixed_words(subframes: DataFrame, wps: int) -> Column:
     """Words padded or cut to ``wps`` and masked to 12 bits."""
     padded = F.slice(F.concat("words", F.array_repeat(F.lit(0), wps)), F.lit(1), F.lit(wps))

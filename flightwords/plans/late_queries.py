@@ -29,7 +29,7 @@ slots AS (
 """
 
 
-def _arrivals(spark, sf_dir) -> DataFrame:
+def _late(spark, sf_dir) -> DataFrame:
     s = bridge.subframe_headers(spark, sf_dir).withColumn("words", F.array(*bridge.word_values(F.col("c"), F.col("subframe"))))
     whole = s.groupBy("recording_id", "frame_index").count().filter("count = 4").drop("count")
     s = s.join(whole, ["recording_id", "frame_index"], "left_semi")
@@ -37,7 +37,11 @@ def _arrivals(spark, sf_dir) -> DataFrame:
     beyond = F.concat(F.array(F.lit(4096)), F.slice("words", 2, bridge.WPS))
     words = F.when(F.col("c") % 10 == 0, beyond).when(F.col("c") % 13 == 0, F.slice("words", 1, bridge.WPS - 1)).otherwise(F.col("words"))
     s = s.withColumn("seq", F.col("frame_index") * 4 + place).withColumn("words", words).drop("c")
-    return assemble.arrivals(assemble.headers(s, bridge.WPS, "frame_index"))
+    return s
+
+
+def _arrivals(spark, sf_dir) -> DataFrame:
+    return assemble.arrivals(assemble.headers(_late(spark, sf_dir), bridge.WPS, "frame_index"))
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 from ..streaming import live, stateful
-from . import bridge
+from . import bridge, late_queries
 from .decode_queries import long, prepared
 from .registry import query
 from .sqltext import PTS
@@ -22,21 +22,26 @@ from .stream_queries import _LOCKED, _scratch, captures_of
 PARTS = 3
 
 
-def fed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], parts: int = PARTS) -> DataFrame:
-    """The table that ``build`` makes of the orders' stream, part by part."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+def fed(spark: SparkSession, rows: DataFrame, by: str, build: Callable[[DataFrame], DataFrame], parts: int = PARTS) -> DataFrame:
+    """The table that ``build`` makes of a stream of ``rows``, which come in ``parts`` parts by the numbers of ``by``."""
     table, progress = _scratch(spark)
-    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
-    step = -(-((high or 0) - (low or 0) + 1) // parts)
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    low, high = low or 0, high or 0
+    step = -(-(high - low + 1) // parts)
     stateful.use_keyed_state(spark)
     for k in range(parts):
-        begin = (low or 0) + k * step
-        orders.filter(F.col("o_orderkey").between(begin, begin + step - 1)).write.mode("append").parquet(f"{table}-orders")
-        found = build(spark.readStream.schema(orders.schema).parquet(f"{table}-orders"))
+        begin = low + k * step
+        rows.filter(F.col(by).between(begin, begin + step - 1)).write.mode("append").parquet(f"{table}-rows")
+        found = build(spark.readStream.schema(rows.schema).parquet(f"{table}-rows"))
         result = live.run_available(found, table, progress)
     return result
 
 
+def fed_orders(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return fed(spark, orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), "o_orderkey", build)
+
+
 @query("live_sync", _LOCKED)
 def live_sync(spark, sf_dir):
     """Subframes found in a stream of bytes that is cut anywhere (SRC-07, STR-01, STR-02)."""
@@ -48,7 +53,7 @@ def live_sync(spark, sf_dir):
         pieces = F.explode(F.array(piece(F.lit(1), cut, 0), piece(cut + 1, F.length("data"), 1)))
         return stateful.live_sync(chunks.select("recording_id", pieces.alias("p")).select("recording_id", "p.*"), bridge.WPS)
 
-    return fed(spark, sf_dir, build).select(
+    return fed_orders(spark, sf_dir, build).select(
         "recording_id", "pos", long("subframe"), "valid", F.get("words", F.lit(1)).cast("bigint").alias("word_2")
     )
 
@@ -69,5 +74,21 @@ def live_ring(spark, sf_dir):
         return stateful.live_ring(points, 100, 300.0)
 
     keys = ["recording_id", "param_id"]
-    last = fed(spark, sf_dir, build).groupBy(*keys).agg(F.max_by(F.struct("n", "oldest_t", "newest_t", "minimum", "maximum", "total", "current"), "seq").alias("r"))
+    last = fed_orders(spark, sf_dir, build).groupBy(*keys).agg(F.max_by(F.struct("n", "oldest_t", "newest_t", "minimum", "maximum", "total", "current"), "seq").alias("r"))
     return last.select(*keys, "r.*").withColumn("average", F.round(F.col("total") / F.col("n") + 3e-8, 6)).drop("total")
+
+
+@query(
+    "live_late_assembly",
+    f"WITH {late_queries.LATE_SQL} SELECT rec AS recording_id, fi AS frame_index, sf::BIGINT AS subframe, st AS state, slots, place = 4 AS done, 64::BIGINT AS n_words FROM slots",
+)
+def live_late_assembly(spark, sf_dir):
+    """Arrivals of a stream with late, short and out-of-range subframes (STR-04, STR-05, STR-11)."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        return live.assemble_stream(live.arriving(rows, bridge.WPS, "frame_index"))
+
+    rows = late_queries._late(spark, sf_dir).select("recording_id", "seq", "frame_index", "subframe", "state", "t_end", "words")
+    return fed(spark, rows, "frame_index", build).select(
+        "recording_id", "frame_index", long("subframe"), "state", F.array_join("slot_states", ",").alias("slots"), F.col("frame_completed").alias("done"),
+        F.size("words").cast("bigint").alias("n_words"))

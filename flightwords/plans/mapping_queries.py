@@ -128,7 +128,7 @@ def representable_range(spark, sf_dir):
 
 
 def _revised(spark, sf_dir):
-    """The part documents and a revision of them: some rates, ranges and bits changed."""
+    """The part documents and a revision of them: rates, units, scales, shown decimals and bits changed."""
     docs, pars, segs = _part(spark, sf_dir)
     docs = docs.withColumn("settings_raw", F.lit(None).cast("array<string>")).withColumn("pair_id", F.col("document_id"))
     pars = pars.withColumn("pair_id", F.col("document_id"))
@@ -137,22 +137,30 @@ def _revised(spark, sf_dir):
     pars2 = pars.withColumn("unit", F.when(F.col("unit") != "bolt", F.col("unit"))).withColumn(
         "resolution", F.when(F.col("ptype") == "bcd", F.lit(1.0)).otherwise(F.col("resolution"))
     )
+    size = F.col("minimum") + 10
+    pars2 = pars2.withColumn("offset", F.col("offset") + F.when(size % 4 == 0, 0.5).otherwise(0.0)).withColumn(
+        "decimals", F.when(size % 9 == 0, 2).otherwise(F.col("decimals")))
     segs2 = segs.withColumn("msb", F.when(F.col("word") > 50, F.lit(12)).otherwise(F.col("msb")))
     return (docs, pars, segs), (docs2, pars2, segs2)
 
 
 @query(
     "document_diff",
-    f"""WITH {PART}
+    f"""WITH {PART},
+    shown AS (SELECT *, CASE WHEN ptype = 'discrete' OR p_size IN (13) OR p_size % 8 = 0 THEN 0 WHEN p_size % 4 = 0 THEN 1 WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS dec FROM ppar),
+    both_ AS (SELECT *, CASE WHEN p_size % 9 = 0 THEN 2 WHEN ptype = 'bcd' THEN 0 ELSE dec END AS dec2 FROM shown)
     SELECT doc AS document_id, NULL::BIGINT AS param_ord, 'wps' AS what, wps::VARCHAR AS "left", '64' AS "right" FROM pdoc WHERE wps <> 64
     UNION ALL SELECT doc, ord, 'unit', 'bolt', NULL FROM ppar WHERE unit = 'bolt'
+    UNION ALL SELECT doc, ord, 'resolution', res::DOUBLE::VARCHAR, '1.0' FROM ppar WHERE ptype = 'bcd' AND res <> 1.0
+    UNION ALL SELECT doc, ord, 'offset', off_::VARCHAR, (off_ + 0.5::DOUBLE)::VARCHAR FROM ppar WHERE p_size % 4 = 0
+    UNION ALL SELECT doc, ord, 'decimals', dec::VARCHAR, dec2::VARCHAR FROM both_ WHERE dec <> dec2
     UNION ALL SELECT doc, ord, 'word/lsb/msb', word || ',' || lsb || ',' || msb, word || ',' || lsb || ',12'
               FROM pseg WHERE word > 50 AND msb <> 12""",
 )
 def document_diff(spark, sf_dir):
-    """Differences of every document from its revision (DIF-01); numbers are compared by ``document_diff_numbers``."""
+    """All differences of every document from its revision (DIF-01)."""
     left, right = _revised(spark, sf_dir)
-    d = diff.differences(left, right, ignore=("conversion", "decimals"))
+    d = diff.differences(left, right)
     return d.select(F.col("pair_id").alias("document_id"), long("param_ord"), "what", "left", "right")
 
 

@@ -310,9 +310,7 @@ def live_equals_batch(spark, sf_dir):
 def live_assembly(spark, sf_dir):
     """Arrivals of a stateful streaming query (STR-04, STR-05)."""
     s = bridge.subframes_of(order_stream(spark, sf_dir)).filter("state <> 'MISSING'")
-    rows = s.select("recording_id", "seq", "subframe", (F.col("state") != "INVALID").alias("valid"),
-                    F.col("frame_index").alias("frame_id"), "t_end", "words")
-    table = live.run_available(live.assemble_stream(rows), *_scratch(spark))
+    table = live.run_available(live.assemble_stream(live.arriving(s, bridge.WPS, "frame_index")), *_scratch(spark))
     return table.select("recording_id", "seq", long("part"), "frame_index", long("subframe"), "state",
                         F.array_join("slot_states", ",").alias("slots"), F.col("frame_completed").alias("done"))
 

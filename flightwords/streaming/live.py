@@ -102,6 +102,16 @@ def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame(out, columns=[c.split()[0] for c in ARRIVALS.split(", ")])
 
 
+def arriving(subframes: DataFrame, wps: int, frame_id: str | None = None) -> DataFrame:
+    """Rows for ``assemble_stream`` by the rules of batch: subframes of a wrong length or
+    with words beyond 12 bits are invalid, and words are cut or filled to ``wps`` (STR-05)."""
+    fid = F.col(frame_id) if frame_id else F.lit(None)
+    return subframes.select(
+        "recording_id", "seq", "subframe", assemble.validity(subframes, wps).alias("valid"), fid.cast("bigint").alias("frame_id"), "t_end",
+        assemble.fixed_words(subframes, wps).alias("words"),
+    )
+
+
 def assemble_stream(rows: DataFrame) -> DataFrame:
     """Arrivals of a stream of (recording_id, seq, subframe, valid, frame_id, t_end,
     words) rows, in order within a recording (STR-04, STR-05)."""
