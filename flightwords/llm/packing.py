@@ -42,10 +42,10 @@ WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that are tokenised together, and chunks handed to the tokenizer at a time.
-LOT = 4 << 20
+LOT = 2 << 20
 CHUNKS = 16_384
 #: Bytes of chunks (of at most LONGEST bytes) and their ids that a worker remembers.
-MEMO = 48 << 20
+MEMO = 16 << 20
 LONGEST = 64
 SIGNS = ".,;:!?"
 #: Chunks that end in a digit or letter which neither normalising nor lower-casing turns into several signs.
@@ -85,14 +85,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        added = sorted(told["added_tokens"], key=lambda t: t["id"])
-        plain = all(not t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
-        normalizers = (told["normalizer"] or {}).get("normalizers")
-        splits = ((told["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0]
-        self.by_chunk = bool(added) and plain and normalizers == LOWERING and splits == SPLITTING and all(t["content"].startswith("<|") for t in added)
+        # asked part by part: the whole description would hold the vocabulary once more
+        normalizer, splitter = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        added = sorted(self.tokenizer.get_added_tokens_decoder().items())
+        plain = all(t.content.startswith("<|") and not (t.single_word or t.lstrip or t.rstrip or t.normalized) for _, t in added)
+        splits = (splitter.get("pretokenizers") or [None])[0]
+        self.by_chunk = bool(added) and plain and normalizer.get("normalizers") == LOWERING and splits == SPLITTING
         #: an added token: it stands between chunks that are tokenised in one go
-        self.between = (added[-1]["content"], added[-1]["id"]) if self.by_chunk else None
+        self.between = (added[-1][1].content, added[-1][0]) if self.by_chunk else None
         self.known, self.memo = pa.array([], pa.string()), Pool(np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     def _ids(self, texts: list[str]) -> Pool:
@@ -213,6 +213,7 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                     blobs.cast(pa.binary()),
                 ]
                 at += int(ends[-1])
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "tokens", "ids"])
 
     return materialize(pick(docs, "doc_id", "text").mapInArrow(encoded, TOKENS))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from flightwords.llm.common import pick, unpack
 
-SAMPLE = 2_500
+SAMPLE = 2_000
 SAMPLE_BYTES = 32_768
 WORD_DOCS = 5
 LEAST_WEIGHT = 0.15

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import DOCUMENTS, PARAMETERS, RAW_CELLS, SEGMENTS
+from ..session import broadcast_if_small
 
 # The tables of a catalog, each a Parquet folder under one root.
 CATALOG = {
@@ -27,11 +29,44 @@ def read_cells(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.csv(path, header=True, multiLine=True) if fmt == "csv" else reader.format(fmt).load(path)
 
 
-def save(tables: dict[str, DataFrame], root: str, mode: str = "append") -> None:
-    """Append documents to the catalog (SNK-05)."""
+MANIFEST = "document_id STRING, version BIGINT"
+
+
+def save(tables: dict[str, DataFrame], root: str) -> int:
+    """Save documents in the catalog (SNK-05); those saved before are replaced. Returns the version.
+
+    Rows of all tables are appended under a new version, and the manifest, which
+    says whose documents' version this is, comes last: readers see a document
+    whole, as it was before or as it is after, and nothing is rewritten.  Other
+    documents keep the version they have.
+    """
+    spark = tables["dataframe_documents"].sparkSession
+    version = (_manifest(spark, root).agg(F.max("version")).first()[0] or 0) + 1
     for name, df in tables.items():
         columns = [c.split()[0] for c in _fields(CATALOG[name])]
-        df.select(*columns).write.mode(mode).parquet(f"{root}/{name}")
+        df.select(*columns, F.lit(version).cast("bigint").alias("version")).write.mode("append").parquet(f"{root}/{name}")
+    saved = spark.read.schema(f"{CATALOG['dataframe_documents']}, version BIGINT").parquet(f"{root}/dataframe_documents")
+    saved.filter(F.col("version") == version).select("document_id", "version").distinct().write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the catalog; empty where nothing was saved."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/manifest", MANIFEST)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The version that counts of every document."""
+    return _manifest(spark, root).groupBy("document_id").agg(F.max("version").alias("version"))
 
 
 def _fields(ddl: str) -> list[str]:
@@ -47,8 +82,12 @@ def _fields(ddl: str) -> list[str]:
 
 
 def load(spark: SparkSession, root: str, name: str, document_id: str | None = None) -> DataFrame:
-    df = spark.read.schema(CATALOG[name]).parquet(f"{root}/{name}")
-    return df if document_id is None else df.filter(F.col("document_id") == document_id)
+    """Rows of the documents as they were saved last."""
+    df = _read(spark, f"{root}/{name}", f"{CATALOG[name]}, version BIGINT")
+    now = current(spark, root)
+    if document_id is not None:
+        df, now = (x.filter(F.col("document_id") == document_id) for x in (df, now))
+    return df.join(broadcast_if_small(now), ["document_id", "version"]).drop("version")
 
 
 def list_documents(spark: SparkSession, root: str) -> DataFrame:
