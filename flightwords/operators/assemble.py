@@ -272,6 +272,23 @@ def stream_diagnostics(
     ).drop("ends_locked")
 
 
+def stream_events(a: DataFrame, locks: DataFrame, rates: DataFrame, packets: DataFrame | None = None) -> DataFrame:
+    """All events of byte streams in one table (STR-12): recording_id, seq, t, kind, message.
+
+    ``a`` are arrivals whose ``seq`` is the word position, ``locks`` the events of
+    ``sync.lock_events`` with ``t``, ``rates`` (recording_id, since, detected_wps, t),
+    ``packets`` (recording_id, bad_packets, t) of framed streams.
+    """
+    out = events(a).unionByName(locks.select("recording_id", F.col("pos").alias("seq"), "t", "kind", "message"))
+    told = F.concat(F.lit("sync words repeat every "), F.col("detected_wps"), F.lit(" words"))
+    out = out.unionByName(rates.select("recording_id", F.col("since").alias("seq"), "t", F.lit("RATE_MISMATCH").alias("kind"), told.alias("message")))
+    if packets is not None:
+        bad = F.concat(F.col("bad_packets"), F.lit(" bad packet(s)"))
+        out = out.unionByName(packets.filter("bad_packets > 0").select(
+            "recording_id", F.lit(None).cast("bigint").alias("seq"), "t", F.lit("INVALID_PROTOCOL").alias("kind"), bad.alias("message")))
+    return out
+
+
 def events(a: DataFrame) -> DataFrame:
     """Stream events of arrivals (STR-12)."""
     kind = (

@@ -185,5 +185,29 @@ def wrong_rate(cand: DataFrame, locked: DataFrame, wps: int) -> DataFrame:
     )
 
 
+def lock_events(locked: DataFrame, wps: int) -> DataFrame:
+    """(recording_id, pos, kind, message) where locks begin and are lost (STR-12); a
+    loss is told with the whole slice that shows it."""
+    begun = locked.select("recording_id", F.col("first").alias("pos"), F.lit("SYNC_LOCKED").alias("kind"), F.concat(F.lit("locked at SF"), F.col("idx")).alias("message"))
+    lost = locked.filter(F.col("last") + 2 * wps <= F.col("n_words")).select(
+        "recording_id", (F.col("last") + wps).alias("pos"), F.lit("SYNC_LOST").alias("kind"), F.lit("sync word mismatch").alias("message"))
+    return begun.unionByName(lost)
+
+
+def heard_at(rows: DataFrame, words: DataFrame, wps: int) -> DataFrame:
+    """``rows`` (recording_id, pos, …) with ``t`` of the chunk that completes the subframe at ``pos``.
+
+    An as-of join by word position: chunk beginnings and asked places are one
+    sequence, in which every place takes the last beginning before it.
+    """
+    rest = [c for c in rows.columns if c not in ("recording_id", "pos")]
+    chunks = words.filter(F.col("n_words") > 0).select(
+        "recording_id", F.col("start").cast("bigint").alias("_at"), F.lit(None).cast(rows.select(F.struct("pos", *rest).alias("r")).schema["r"].dataType).alias("_r"), F.col("t").alias("_t"))
+    asked = rows.select("recording_id", (F.col("pos") + wps - 1).cast("bigint").alias("_at"), F.struct("pos", *rest).alias("_r"), F.lit(None).cast("double").alias("_t"))
+    both = chunks.unionByName(asked)
+    placed = blocks.carry_last(both, KEY, blocks.block_of(F.col("_at"), POS_BLOCK), [F.col("_at"), F.col("_r").isNotNull()], F.col("_t"), "t")
+    return placed.filter("_r IS NOT NULL").select("recording_id", "_r.*", "t")
+
+
 def state_of(valid: Column) -> Column:
     return F.when(valid, RECEIVED).otherwise(INVALID)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assemble, capture, series, sync
 from ..schemas import SYNC_WORDS
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from ..streaming import live
 from . import bridge
 from .decode_queries import long, prepared
@@ -35,6 +35,51 @@ arr AS (
 """
 
 
+def counted_frames(rows: str) -> str:
+    """Arrivals of ``rows`` (rec, n from 1, seq, sf, valid) whose frames are counted: one state a row, in a recursion.
+
+    ``e`` is the subframe expected next, ``slots`` what the frame holds before the next row.
+    """
+    late = "n.sf < l.e AND l.slots[n.sf] = 'MISSING'"
+    return f"""{rows},
+seqd AS (
+  SELECT rec, 0::BIGINT AS n, 0::BIGINT AS seq, 0 AS sf, 1 AS e, ['PENDING', 'PENDING', 'PENDING', 'PENDING'] AS slots, 0::BIGINT AS number, false AS closes,
+         ''::VARCHAR AS st, false AS done, ['']::VARCHAR[] AS shown, ['']::VARCHAR[] AS shut, 0::BIGINT AS own, false AS late, 0 AS gone
+  FROM (SELECT DISTINCT rec FROM feed)
+  UNION ALL
+  SELECT rec, n, seq, sf, CASE WHEN late THEN e WHEN sf = 4 THEN 1 ELSE sf + 1 END, CASE WHEN done THEN ['PENDING', 'PENDING', 'PENDING', 'PENDING'] ELSE shown END,
+         own + done::INT, closes, st, done, shown, shut, own, late, gone
+  FROM (
+    SELECT *, number + closes::INT AS own, NOT late AND sf = 4 AS done, CASE WHEN late OR closes THEN 0 ELSE greatest(sf - e, 0) END AS gone,
+           [CASE WHEN sf = k THEN st WHEN closes THEN 'PENDING' WHEN NOT late AND k >= e AND k < sf THEN 'MISSING' ELSE slots[k] END FOR k IN [1, 2, 3, 4]] AS shown,
+           [CASE WHEN slots[k] = 'PENDING' THEN 'MISSING' ELSE slots[k] END FOR k IN [1, 2, 3, 4]] AS shut
+    FROM (
+      SELECT n.rec, n.n, n.seq, n.sf, l.e, l.slots, l.number, {late} AS late, n.sf < l.e AND NOT ({late}) AS closes,
+             CASE WHEN NOT n.valid THEN 'INVALID' WHEN {late} THEN 'LATE' ELSE 'RECEIVED' END AS st
+      FROM seqd l JOIN feed n ON n.rec = l.rec AND n.n = l.n + 1))),
+carr AS (
+  SELECT rec, seq, 1 AS part, own AS fi, sf, st AS state, shown AS slots, done, late, gone FROM seqd WHERE n > 0
+  UNION ALL
+  SELECT rec, seq, 0, own - 1, 0, 'MISSING', shut, true, false, len(list_filter(shut, lambda x: x = 'MISSING')) FROM seqd WHERE closes)"""
+
+
+# The subframes that were sent, in order.
+_SENT = "feed AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY seq) AS n, seq, sf, state <> 'INVALID' AS valid FROM sub WHERE state <> 'MISSING')"
+
+
+@query(
+    "assemble_stream_order",
+    f"""WITH RECURSIVE {SUB}, {counted_frames(_SENT)} SELECT rec AS recording_id, seq, part::BIGINT AS part, fi AS frame_index, sf::BIGINT AS subframe, state,
+      array_to_string(slots, ',') AS slots, done FROM carr""",
+)
+def assemble_stream_order(spark, sf_dir):
+    """Arrivals of a continuous stream: frame numbers are counted, not given (STR-04)."""
+    return arrivals(spark, sf_dir, ids=False).select(
+        "recording_id", "seq", long("part"), "frame_index", long("subframe"), "state",
+        F.array_join("slot_states", ",").alias("slots"), F.col("frame_completed").alias("done"),
+    )
+
+
 def arrivals(spark, sf_dir, ids: bool = True):
     h = bridge.subframe_headers(spark, sf_dir).filter("state <> 'MISSING'")
     rows = h.select(
@@ -57,15 +102,6 @@ def assemble_states(spark, sf_dir):
     )
 
 
-@query("assemble_stream_order")
-def assemble_stream_order(spark, sf_dir):
-    """Arrivals of a continuous stream: frame numbers are counted, not given (STR-04)."""
-    return arrivals(spark, sf_dir, ids=False).select(
-        "recording_id", "seq", long("part"), "frame_index", long("subframe"), "state",
-        F.array_join("slot_states", ",").alias("slots"), F.col("frame_completed").alias("done"),
-    )
-
-
 @query(
     "assembler_stats",
     f"""WITH {ARR}, own AS (SELECT *, len(string_split(slots, 'MISSING')) - 1 AS gaps FROM arr),
@@ -182,6 +218,61 @@ def sync_lock(spark, sf_dir):
     )
 
 
+# Subframes found in the words, and the arrivals they make.
+_FOUND = f"""{LOCK_SQL},
+{counted_frames("feed AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY k) AS n, k * 64 AS seq, told AS sf, told = sf AS valid FROM lck WHERE told IS NOT NULL)")}"""
+
+
+def _heard(spark, sf_dir):
+    """(chunks, words, locks, subframe starts, arrivals by word position) of the captures."""
+    chunks = captures(spark, sf_dir)
+    words = materialize(capture.words_of(chunks))
+    held = sync.locks(words, sync.sync_candidates(words), bridge.WPS)
+    starts = materialize(sync.heard_at(sync.subframe_starts(held, bridge.WPS), words, bridge.WPS))
+    rows = starts.select("recording_id", F.col("pos").alias("seq"), "subframe", "valid", F.lit(None).cast("bigint").alias("frame_id"), "t")
+    return chunks, words, held, starts, assemble.arrivals(rows)
+
+
+@query(
+    "stream_diagnostics_all",
+    f"""WITH RECURSIVE {_FOUND},
+    raw AS (SELECT rec, count(*) * 128 + count(*) FILTER (state = 'INVALID') AS bytes_received, count(*) * 64 AS words_received,
+                   count(*) FILTER (state = 'INVALID') AS invalid_words FROM heard GROUP BY rec),
+    loss AS (SELECT rec, count(*) FILTER (NOT valid) AS sync_losses, arg_max(valid, seq) AS ends FROM feed GROUP BY rec),
+    asm AS (SELECT rec, count(*) FILTER (sf <> 0) AS subframes_received, count(*) FILTER (done) AS frames_received, count(*) FILTER (state = 'INVALID') AS invalid_subframes,
+                   count(*) FILTER (state = 'LATE') AS out_of_order_subframes,
+                   coalesce(sum(len(list_filter(slots, lambda x: x = 'MISSING'))) FILTER (done), 0)::BIGINT AS dropped_subframes FROM carr GROUP BY rec)
+    SELECT rec AS recording_id, bytes_received, words_received, invalid_words, invalid_words AS discarded_bytes, subframes_received, frames_received, invalid_subframes,
+           out_of_order_subframes, dropped_subframes, sync_losses, NULL::BIGINT AS detected_wps, CASE WHEN ends THEN 'LOCKED' ELSE 'SEARCHING' END AS sync_state
+    FROM raw JOIN loss USING (rec) JOIN asm USING (rec)""",
+)
+def stream_diagnostics_all(spark, sf_dir):
+    """Every counter of a recording's byte stream (AGG-05)."""
+    chunks, words, held, starts, a = _heard(spark, sf_dir)
+    rates = sync.wrong_rate(sync.sync_candidates(words), held, bridge.WPS)
+    return assemble.stream_diagnostics(a, chunks, words, held, starts, rates).withColumn("detected_wps", long("detected_wps"))
+
+
+@query(
+    "stream_events_all",
+    f"""WITH RECURSIVE {_FOUND}, tm AS (SELECT rec, k * 64 AS seq, t_end AS t FROM heard),
+    lks AS (SELECT f.*, lag(valid, 1, false) OVER (PARTITION BY rec ORDER BY n) AS before FROM feed f),
+    ev AS (
+      SELECT rec, seq, CASE WHEN sf = 0 THEN 'FRAME_INCOMPLETE' WHEN state = 'INVALID' THEN 'SUBFRAME_INCOMPLETE' ELSE 'SUBFRAME' END AS kind, state AS message FROM carr
+      UNION ALL SELECT rec, seq, 'FRAME', '' FROM carr WHERE done
+      UNION ALL SELECT rec, seq, 'SYNC_LOST', 'sync word mismatch' FROM lks WHERE NOT valid
+      UNION ALL SELECT rec, seq, 'SYNC_LOCKED', 'locked at SF' || sf FROM lks WHERE valid AND NOT before)
+    SELECT ev.rec AS recording_id, ev.seq, tm.t, kind, message FROM ev JOIN tm ON tm.rec = ev.rec AND tm.seq = ev.seq""",
+)
+def stream_events_all(spark, sf_dir):
+    """Locks, losses, rates and arrivals with their times (STR-12)."""
+    _, words, held, _, a = _heard(spark, sf_dir)
+    locks = sync.heard_at(sync.lock_events(held, bridge.WPS), words, bridge.WPS)
+    rates = sync.wrong_rate(sync.sync_candidates(words), held, bridge.WPS)
+    rates = sync.heard_at(rates.withColumn("pos", F.col("since")), words, bridge.WPS)
+    return assemble.stream_events(a, locks, rates)
+
+
 # Words without capture damage: the position of each is its order key.
 @query(
     "wrong_rate",
