@@ -14,7 +14,11 @@ SCHEMA = "format STRING, version INT, wps INT, frame_index BIGINT, subframes ARR
 
 def read_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(subframe rows, rejected files with the reason) (SRC-05).  Frame files are a few kB each."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return parse_frames(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def parse_frames(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``read_frames`` of texts (file, value)."""
     f = raw.withColumn("f", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_bad"})).select("file", "f.*")
     shape = (F.size("subframes") == 4) & F.forall("subframes", lambda s: F.size(s) == F.col("wps"))
     inside = F.forall("subframes", lambda s: F.forall(s, lambda w: w.between(0, WORD_MAX)))
