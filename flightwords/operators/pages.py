@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,69 @@ def accuracy(cells: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+GAP = 0.5
+BAND = 256
+
+
+def _alignment(truth: np.ndarray, read: np.ndarray, band: int) -> list[tuple[int | None, int | None]]:
+    """Row numbers that belong together, in order; None beside a lost or an inserted row.
+
+    Rows of equal cells cost nothing, others the part of cells that differ, a row
+    without partner GAP.  One pass a row; its own insertions are a running minimum.
+    Only places within ``band`` of the diagonal (and of its slope) are looked at.
+    """
+    n, m = len(truth), len(read)
+    reach = band + abs(n - m)
+    best, low, steps = np.arange(min(m, reach) + 1) * GAP, 0, []
+    for i in range(1, n + 1):
+        a, b = max(0, i - reach), min(m, i + reach)  # columns a … b of this row
+        above = np.full(b - a + 1, np.inf)
+        left, right = max(a, low), min(b, low + len(best) - 1)
+        above[left - a : right - a + 1] = best[left - low : right - low + 1] + GAP
+        match = np.full(b - a + 1, np.inf)
+        first, last = max(a, low + 1, 1), min(b, low + len(best))
+        if last >= first:
+            cost = (truth[i - 1] != read[first - 1 : last]).mean(axis=1)
+            # without a common cell two rows are no pair
+            match[first - a : last - a + 1] = best[first - 1 - low : last - low] + np.where(cost < 1, cost, np.inf)
+        row = np.minimum(match, above)
+        at = np.arange(b - a + 1) * GAP
+        row = np.minimum.accumulate(row - at) + at
+        steps.append((a, np.where(row == match, 0, np.where(row == above, 1, 2)).astype(np.int8)))
+        best, low = row, a
+    i, j, out = n, m, []
+    while i or j:
+        step = 2 if i == 0 else (1 if j == 0 else int(steps[i - 1][1][j - steps[i - 1][0]]))
+        i, j = i - (step < 2), j - (step != 1)
+        out.append((i if step < 2 else None, j if step != 1 else None))
+    return out[::-1]
+
+
+def align_rows(truth: DataFrame, read: DataFrame, keys: list[str], band: int = BAND) -> DataFrame:
+    """Rows of two readings of the same table, paired in order (AGG-12): ``keys``, truth_row, read_row.
+
+    Both sides have ``keys`` (say document and table), row_no and cells, an array
+    of texts.  A table is one group, as long as a printed table is.
+    """
+    schema = ", ".join(f"{k} {truth.schema[k].dataType.simpleString()}" for k in keys) + ", truth_row bigint, read_row bigint"
+
+    def paired(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("row_no"), b.sort_values("row_no")
+        width = max([len(c) for c in (*a["cells"], *b["cells"])], default=0)
+        numbers: dict = {}
+        rows = [np.array([[numbers.setdefault(x, len(numbers)) for x in (list(c) + [None] * (width - len(c)))] for c in side["cells"]], np.int64).reshape(-1, max(width, 1))
+                for side in (a, b)]
+        pairs = _alignment(*rows, band)
+        own, other = a["row_no"].tolist(), b["row_no"].tolist()
+        out = {k: [v] * len(pairs) for k, v in zip(keys, group)}
+        out["truth_row"] = pd.array([None if i is None else own[i] for i, _ in pairs], "Int64")
+        out["read_row"] = pd.array([None if j is None else other[j] for _, j in pairs], "Int64")
+        return pd.DataFrame(out)
+
+    mine = [d.select(*keys, F.col("row_no").cast("bigint").alias("row_no"), "cells").groupBy(*keys) for d in (truth, read)]
+    return mine[0].cogroup(mine[1]).applyInPandas(paired, schema)
+
+
 def _short(v: Column) -> Column:
     return F.when(v.isNotNull(), plain_decimal(F.round(v, 9))).otherwise("")
 

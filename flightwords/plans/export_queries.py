@@ -201,3 +201,23 @@ def vendor_types(spark, sf_dir):
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in bridge.PART_TYPES.items() for x in kv]), F.col("p_type"))
     source = F.when(F.col("p_partkey") % 3 == 0, "bcd ").otherwise(F.col("p_type"))
     return p.select("p_partkey", types.vendor_type_text(kind, source).alias("vendor_type"))
+
+
+# -- readings of the same table ---------------------------------------------------
+
+@query(
+    "row_alignment",
+    """WITH t AS (SELECT p_partkey // 64 AS doc, p_partkey AS k FROM part)
+    SELECT doc::VARCHAR AS document_id, k AS truth_row, CASE WHEN k % 7 <> 3 THEN k * 10 END AS read_row FROM t
+    UNION ALL SELECT doc::VARCHAR, NULL, k * 10 + 5 FROM t WHERE k % 11 = 4""",
+)
+def row_alignment(spark, sf_dir):
+    """Rows of a document and of its reading, in which some are lost, some inserted and cells damaged (AGG-12)."""
+    p, k = bridge.table(spark, sf_dir, "part"), F.col("p_partkey")
+    own = [F.concat(F.lit("row"), k.cast("string")), F.col("p_name"), F.col("p_brand"), F.concat(F.lit("w"), (k * 3).cast("string"))]
+    truth = p.select(F.expr("p_partkey div 64").cast("string").alias("document_id"), k.alias("row_no"), F.array(*own).alias("cells"))
+    damaged = [F.when(k % 5 == 1, F.lit("#?")).otherwise(own[0]), F.when(k % 3 == 2, F.concat(own[1], F.lit("l"))).otherwise(own[1]), own[2], own[3]]
+    read = p.select(F.expr("p_partkey div 64").cast("string").alias("document_id"), (k * 10).alias("row_no"), F.array(*damaged).alias("cells")).filter(k % 7 != 3)
+    dirt = F.array(*[F.concat(F.lit(f"dirt{c} "), k.cast("string")) for c in range(4)])
+    more = p.filter(k % 11 == 4).select(F.expr("p_partkey div 64").cast("string").alias("document_id"), (k * 10 + 5).alias("row_no"), dirt.alias("cells"))
+    return pages.align_rows(truth, read.unionByName(more), ["document_id"])

@@ -124,3 +124,32 @@ def test_cells_to_rows(spark):
 def test_stated_wps(spark, text, wps):
     df = spark.createDataFrame([("d", text)], "document_id string, text string")
     assert pages.stated_wps(df).first().wps == wps
+
+
+def test_alignment_against_a_plain_table():
+    import random
+
+    import numpy as np
+
+    from flightwords.operators.pages import GAP, _alignment
+
+    rng = random.Random(12)
+    for _ in range(60):
+        n, m = rng.randrange(8), rng.randrange(8)
+        a, b = ([[rng.randrange(3) for _ in range(3)] for _ in range(k)] for k in (n, m))
+        pairs = _alignment(np.array(a).reshape(-1, 3), np.array(b).reshape(-1, 3), 100)
+        assert [i for i, _ in pairs if i is not None] == list(range(n)) and [j for _, j in pairs if j is not None] == list(range(m))
+        cost = lambda i, j: sum(x != y for x, y in zip(a[i], b[j])) / 3
+        total = sum(GAP if None in p else cost(*p) for p in pairs)
+        d = [[0.0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n + 1):
+            for j in range(m + 1):
+                ways = [d[i - 1][j] + GAP] * (i > 0) + [d[i][j - 1] + GAP] * (j > 0)
+                if i and j and cost(i - 1, j - 1) < 1:
+                    ways.append(d[i - 1][j - 1] + cost(i - 1, j - 1))
+                d[i][j] = min(ways, default=0.0)
+        assert abs(total - d[n][m]) < 1e-9
+    long = [[k, k + 1, 7] for k in range(3000)]
+    kept = [r for k, r in enumerate(long) if k % 50]
+    pairs = _alignment(np.array(long), np.array(kept), 16)
+    assert sum(j is None for _, j in pairs) == 60 and all(j is None or long[i] == kept[j] for i, j in pairs)
