@@ -10,9 +10,11 @@ each (context, byte, language), and a text's code lengths are sums over it.
 The shortest code names the language.
 
 The model is fitted on a bounded sample: at most SAMPLE documents a language,
-chosen by hash among training rows of at most SAMPLE_BYTES bytes; at most
-CELLS / languages contexts are kept, those seen most.  Its tables have a size
-bound, so they are broadcast.  Scoring covers whole texts, block by block.
+chosen by hash.  Texts of more than SAMPLE_BYTES bytes come after all others and
+give a stretch of half as many characters, at a place chosen by hash.  Of all contexts
+CELLS / languages are kept, LEAST_CONTEXTS at least, those seen most.  Its tables so
+take CELLS kB, or LEAST_CONTEXTS kB a language where that is more, and are
+broadcast.  Scoring covers whole texts, block by block.
 
 Defined results: ``und`` with score 0 where text is null or holds no letter,
 or where there was nothing to learn from; equal code lengths go to the first
@@ -36,6 +38,7 @@ ORDER = 4
 SAMPLE = 600
 SAMPLE_BYTES = 32_768
 CELLS = 32_768
+LEAST_CONTEXTS = 2_048
 LEAST_SEEN = 4
 BLOCK = 1 << 18
 UNKNOWN = "und"
@@ -79,7 +82,7 @@ def train(samples: dict[str, list[str]], order: int = ORDER, cells: int = CELLS)
         own, at = np.unique(ctx, return_inverse=True)
         found.append((own, np.bincount(at, n)))
     every = np.concatenate([n for _, n in found])
-    keep = max(256, cells // len(langs))
+    keep = max(LEAST_CONTEXTS, cells // len(langs))
     least = max(LEAST_SEEN, np.partition(every, -keep)[-keep] + 1 if len(every) > keep else 0)
     levels = [np.zeros(1, np.uint64)] + [own[n >= least] for own, n in found]
     first = np.concatenate([[0], np.cumsum([len(x) for x in levels])])
@@ -153,7 +156,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def sample(rows: DataFrame, per_lang: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
     """At most ``per_lang`` texts a language of ``rows`` (doc_id, lang, text), by hash."""
-    rows = rows.filter("lang is not null and text is not null").filter(F.octet_length("text").between(1, most_bytes))
+    rows = rows.filter("lang is not null and text is not null").filter(F.octet_length("text") > 0).withColumn("long", F.octet_length("text") > most_bytes)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
@@ -161,8 +164,11 @@ def sample(rows: DataFrame, per_lang: int = SAMPLE, most_bytes: int = SAMPLE_BYT
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * per_lang / n + 100.0 / n))])
     # about twice as many as are taken go on by hash; so the windows are small
     some = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, "lang") * (1 << 30))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"))
-    taken = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("lang", "text").collect()
+    span = F.lit(most_bytes // 2)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - span, F.lit(1))).cast("int") + 1
+    order = Window.partitionBy("lang").orderBy("long", "h", "doc_id", F.xxhash64("text"))
+    cut = some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang)
+    taken = cut.select("lang", F.when(F.col("long"), F.substr("text", place, span)).otherwise(F.col("text")).alias("text")).collect()
     out: dict[str, list[str]] = {}
     for r in taken:
         out.setdefault(r["lang"], []).append(r["text"])
