@@ -26,13 +26,13 @@ from __future__ import annotations
 import functools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightwords.llm.common import pick
@@ -45,8 +45,11 @@ VOCABULARY = "word_bpe_49k.json"
 LOT = 2 << 20
 CHUNKS = 16_384
 #: Bytes of chunks (of at most LONGEST bytes) and their ids that a worker remembers.
-MEMO = 16 << 20
+MEMO = 8 << 20
 LONGEST = 64
+#: Bytes of ids that pieces are handed on with.
+FLUSH = 2 << 20
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 SIGNS = ".,;:!?"
 #: Chunks that end in a digit or letter which neither normalising nor lower-casing turns into several signs.
 STEADY = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
@@ -216,7 +219,18 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                 pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "tokens", "ids"])
 
-    return materialize(pick(docs, "doc_id", "text").mapInArrow(encoded, TOKENS))
+    return _in_small_batches(docs.sparkSession, lambda: materialize(pick(docs, "doc_id", "text").mapInArrow(encoded, TOKENS)))
+
+
+def _in_small_batches(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``run`` writes, its texts handed to Python ROWS at a time: a worker
+    and the executor beside it hold a batch each, and long texts make it large."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, ROWS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -230,9 +244,15 @@ def cut(tokens: DataFrame, window: int = WINDOW, ids: bool = True) -> DataFrame:
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     placed = tokens.join(broadcast_if_small(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("at"), "ids")
 
+    kinds = [pa.int64()] * 7 + ([pa.binary()] if ids else [])
+    names = [c.split()[0] for c in PIECES.split(", ")][: len(kinds)]
+
+    def told(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8 if ids else 7)]
+            out, held = [[] for _ in kinds], 0
             for doc_id, at, raw in zip(batch.column("doc_id").to_pylist(), batch.column("at").to_pylist(), batch.column("ids")):
                 blob = memoryview(raw.as_buffer())
                 n, start = len(blob) // 4, 0
@@ -244,9 +264,12 @@ def cut(tokens: DataFrame, window: int = WINDOW, ids: bool = True) -> DataFrame:
                     for column, value in zip(out, row):
                         column.append(value)
                     start += length
-            kinds = [pa.int64()] * 7 + ([pa.binary()] if ids else [])
-            names = [c.split()[0] for c in PIECES.split(", ")][: len(out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                held += len(blob)
+                if held > FLUSH:
+                    yield told(out)
+                    out, held = [[] for _ in kinds], 0
+            yield told(out)
+            pa.default_memory_pool().release_unused()
 
     return placed.mapInArrow(pieces, PIECES if ids else PIECES.removesuffix(", ids binary"))
 
