@@ -97,3 +97,13 @@ def test_damaged_packets_hold_no_second_start(spark):
     _, counters = capture.packets(capture.candidates(stream_queries.packet_chunks_of(subframes)))
     row = counters.first()
     assert (row.bad_packets, row.packets, row.packet_bytes) == (subframes.count(), 0, 0)
+
+
+def test_judged_packets_are_handed_on_in_parts(spark):
+    import pandas as pd
+
+    data = stream_queries.packet_chunks_of(bridge.subframes(spark, "/root/testdata/sf0.001").filter("state <> 'INVALID'")).limit(300).collect()
+    buf = b"".join(bytes(r.data) for r in data) * 40
+    rows = pd.DataFrame({"recording_id": ["r"], "segment": [0], "ps": [[{"piece": buf}]], "capture_bytes": [len(buf)]})
+    parts = [len(p) for p in capture._candidates(len(buf))(iter([rows]))]
+    assert sum(parts) == 12_000 and max(parts) <= capture.HELD
