@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 C1 = "".join(chr(c) for c in range(0x80, 0xA0))
 
+# Records that a worker holds before it hands them on.
+HELD = 512
+
 RECORDS = "document_id string, source_hash string, record_index int, fields array<string>"
 
 
@@ -26,12 +29,17 @@ def file_text(content: Column) -> Column:
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["document_id", "source_hash", "record_index", "fields"]
     for pdf in batches:
         out = []
         for doc, digest, text in zip(pdf["document_id"], pdf["source_hash"], pdf["text"]):
-            records = [r for r in csv.reader(io.StringIO(text, newline="")) if any(f.strip() for f in r)]
-            out += [(doc, digest, i, r) for i, r in enumerate(records)]
-        yield pd.DataFrame(out, columns=["document_id", "source_hash", "record_index", "fields"])
+            records = (r for r in csv.reader(io.StringIO(text, newline="")) if any(f.strip() for f in r))
+            for i, r in enumerate(records):
+                out.append((doc, digest, i, r))
+                if len(out) >= HELD:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        yield pd.DataFrame(out, columns=names)
 
 
 def records_of(files: DataFrame) -> DataFrame:

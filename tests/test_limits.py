@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flightwords.functions import cells, numbers, words
 from flightwords.operators import capture
 from flightwords.plans import bridge, stream_queries
+from flightwords.sources import adb_files
 
 
 def one(spark, column):
@@ -107,3 +108,13 @@ def test_judged_packets_are_handed_on_in_parts(spark):
     rows = pd.DataFrame({"recording_id": ["r"], "segment": [0], "ps": [[{"piece": buf}]], "capture_bytes": [len(buf)]})
     parts = [len(p) for p in capture._candidates(len(buf))(iter([rows]))]
     assert sum(parts) == 12_000 and max(parts) <= capture.HELD
+
+
+def test_records_are_handed_on_in_parts():
+    import pandas as pd
+
+    rows = pd.DataFrame({"document_id": ["a", "b"], "source_hash": ["x", "y"], "text": ["1,2\r\n" * 2000, "3\r\n , \r\n4,\"5\r\n6\"\r\n"]})
+    parts = list(adb_files._split(iter([rows])))
+    assert max(len(p) for p in parts) <= adb_files.HELD
+    every = [tuple(r) for p in parts for r in p.itertuples(index=False)]
+    assert [r[2] for r in every] == [*range(2000), 0, 1] and every[-1] == ("b", "y", 1, ["4", "5\r\n6"])
