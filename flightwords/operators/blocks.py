@@ -2,7 +2,8 @@
 
 A plain window puts a whole key into one task.  Here the ordered key is cut
 into blocks; each block is one window partition, and only one summary row per
-block meets the others of its key.
+block meets the others of its key.  The rows then meet their summaries where they
+already lie, merged: their files may look small enough to broadcast all of them.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def running_sum(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1
     )
     local = d.withColumn("_local", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return local.join(before, [*keys, "_block"]).withColumn(out, F.col("_before") + F.col("_local")).drop(
+    return local.join(before.hint("merge"), [*keys, "_block"]).withColumn(out, F.col("_before") + F.col("_local")).drop(
         "_block", "_before", "_local"
     )
 
@@ -64,7 +65,7 @@ def carry_last(
     )
     blocks = d.select(*keys, "_block").distinct().join(ends, [*keys, "_block"], "left")
     carried = blocks.select(*keys, "_block", F.last("_end", ignorenulls=True).over(_earlier(keys)).alias("_carry"))
-    return local.join(carried, [*keys, "_block"]).withColumn(out, F.coalesce("_local", "_carry")).drop(
+    return local.join(carried.hint("merge"), [*keys, "_block"]).withColumn(out, F.coalesce("_local", "_carry")).drop(
         "_block", "_v", "_local", "_carry"
     )
 
@@ -115,7 +116,7 @@ def running_max(
     before = tops.select(*keys, "_block", F.max("_top").over(_earlier(keys)).alias("_before"))
     w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = d.withColumn("_local", F.max(value).over(w))
-    return local.join(before, [*keys, "_block"]).withColumn(out, F.greatest("_local", "_before")).drop(
+    return local.join(before.hint("merge"), [*keys, "_block"]).withColumn(out, F.greatest("_local", "_before")).drop(
         "_block", "_local", "_before"
     )
 

@@ -3,6 +3,9 @@
 Input: word blocks (recording_id, start, words), e.g. from ``capture.words_of``.
 Only possible sync words are looked at; runs of them at the right distance form
 chains, and only overlapping chains need a left-to-right decision.
+
+Places compress to small files, by which a join of millions of them with themselves
+would be broadcast; such joins are told to sort and merge.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def sync_candidates(words: DataFrame, sync_words: Iterable[int] = SYNC_WORDS) ->
 def _pairs(cand: DataFrame, distance: int) -> DataFrame:
     """Candidates followed by the next sync word ``distance`` words later."""
     nxt = cand.select("recording_id", (F.col("pos") - distance).alias("pos"), (F.col("idx") - 1).alias("_p"))
-    return cand.withColumn("_p", F.col("idx") % 4).join(nxt, ["recording_id", "pos", "_p"], "left_semi").drop("_p")
+    return cand.withColumn("_p", F.col("idx") % 4).join(nxt.hint("merge"), ["recording_id", "pos", "_p"], "left_semi").drop("_p")
 
 
 def chains(cand: DataFrame, wps: int) -> DataFrame:
@@ -51,8 +54,8 @@ def chains(cand: DataFrame, wps: int) -> DataFrame:
     """
     linked = materialize(_pairs(cand, wps).select("recording_id", "pos", "idx"))
     behind = linked.select("recording_id", (F.col("pos") + wps).alias("pos"), (F.col("idx") % 4 + 1).alias("idx"))
-    firsts = linked.join(behind, ["recording_id", "pos", "idx"], "left_anti").withColumn("at", F.col("pos")).withColumn("is_first", F.lit(True))
-    lasts = behind.join(linked, ["recording_id", "pos", "idx"], "left_anti").withColumn("at", F.col("pos")).withColumn("is_first", F.lit(False))
+    firsts = linked.join(behind.hint("merge"), ["recording_id", "pos", "idx"], "left_anti").withColumn("at", F.col("pos")).withColumn("is_first", F.lit(True))
+    lasts = behind.join(linked.hint("merge"), ["recording_id", "pos", "idx"], "left_anti").withColumn("at", F.col("pos")).withColumn("is_first", F.lit(False))
     both = materialize(firsts.unionByName(lasts).withColumn("res", F.col("pos") % wps).withColumn(
         "phase", F.pmod(F.col("idx") - F.floor(F.col("pos") / wps), F.lit(4))
     ))
@@ -168,16 +171,16 @@ def wrong_rate(cand: DataFrame, locked: DataFrame, wps: int) -> DataFrame:
     rows = cand.withColumn("lock", F.lit(None).cast("struct<first:bigint,lost:bigint>")).unionByName(starts)
     placed = blocks.carry_last(rows, KEY, blocks.block_of(order, POS_BLOCK), [order, F.col("idx").isNotNull()],
                                F.col("lock"), "held")
-    open_ = placed.filter("idx IS NOT NULL").filter(F.coalesce(order >= F.col("held.lost"), F.lit(True))).select(
+    open_ = materialize(placed.filter("idx IS NOT NULL").filter(F.coalesce(order >= F.col("held.lost"), F.lit(True))).select(
         "recording_id", "pos", "idx", F.coalesce("held.lost", F.lit(0).cast("bigint")).alias("since")
-    )
+    ))
     nxt = open_.select("recording_id", "since", F.col("pos").alias("pos2"), F.col("idx").alias("idx2"))
     found = None
     for rank, rate in enumerate(STANDARD_WPS):
         if rate == wps:
             continue
         hit = open_.withColumn("pos2", F.col("pos") + rate).withColumn("idx2", F.col("idx") % 4 + 1).join(
-            nxt, ["recording_id", "since", "pos2", "idx2"], "left_semi"
+            nxt.hint("merge"), ["recording_id", "since", "pos2", "idx2"], "left_semi"
         ).select("recording_id", "since", F.struct(F.lit(rank).alias("r"), F.lit(rate).alias("wps")).alias("d"))
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy("recording_id", "since").agg(F.min("d").alias("d")).select(
