@@ -188,6 +188,16 @@ def wrong_rate(cand: DataFrame, locked: DataFrame, wps: int) -> DataFrame:
     )
 
 
+def standing_rates(rates: DataFrame, locked: DataFrame, wps: int) -> DataFrame:
+    """``rates`` of the stretch in which a recording ends.
+
+    A lock takes back what the search before it told: the rate was right, and a gap
+    brought sync words to another distance.
+    """
+    ends = locked.groupBy("recording_id").agg((F.max("last") + wps).alias("_end"))
+    return rates.join(ends, "recording_id", "left").filter("_end IS NULL OR since >= _end").drop("_end")
+
+
 def lock_events(locked: DataFrame, wps: int) -> DataFrame:
     """(recording_id, pos, kind, message) where locks begin and are lost (STR-12); a
     loss is told with the whole slice that shows it."""

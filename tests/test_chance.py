@@ -33,7 +33,7 @@ def orders(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["wrong_rate", "sync_lock", "live_sync"])
+@pytest.mark.parametrize("name", ["wrong_rate", "sync_lock", "stream_diagnostics_all", "stream_events_all", "live_sync"])
 def test_chance_sync_words(spark, orders, name):
     ok, detail, _ = oracle_check.compare(spark, oracle_check.duck(orders), name, QUERIES[name], ORACLES[name], orders)
     assert ok, detail
