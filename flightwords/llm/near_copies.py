@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, joined on rare shingles.
+"""Near copies by SimHash, exact Jaccard similarity of word shingles and a join on rare shingles.
 
 A text's set holds the hashes of its shingles of WIDTH words (A-Z lower-cased,
 words separated by ASCII white space; a text of fewer words is one shingle, a
@@ -12,12 +12,16 @@ with each partner, so it may hold n // 5 that no other text has:
    marks those of several texts in a bitmap.  It is broadcast, and of bounded
    size: false marks cost work, never results.
 2. Texts with more than n // 5 unmarked hashes leave; the sets of the others
-   are written.  Equal sets become one node.
-3. Sets are ordered by rarity; linked sets have one of their first n // 5 + 1
+   are written with a SimHash fingerprint of their shingles.  Equal sets become
+   one node.
+3. Fingerprints within RADIUS bits, found by the tiled comparison of ``simhash``,
+   give candidates; those with a similarity of 4/5 are links.  Similar sets may
+   have fingerprints farther apart, so the join below finds the others.
+4. Sets are ordered by rarity; linked sets have one of their first n // 5 + 1
    shingles in common.  Stars, around two nodes of a shingle's list (one of them
    that with the fewest shingles of its own, as an original has), settle large
-   groups with few comparisons, in ROUNDS rounds; then all pairs of a list that no star
-   has joined are compared, if sizes and positions let them be similar.
+   groups with few comparisons, in ROUNDS rounds; then those pairs of a list that no
+   star has joined are compared whose sizes and positions let them be similar.
 
 Defined results: null text counts as empty; null doc_ids come after all others;
 of equal rows one stays; an empty table gives an empty table; further columns
@@ -35,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flightwords.llm import simhash
 from flightwords.llm.common import partitions, pick, unpack
 from flightwords.llm.components import components
 from flightwords.llm.simhash import LOWER
@@ -46,11 +51,12 @@ SEED = 42
 SHARD_BYTES, LEAST_BITS, MOST_BITS = 64 << 20, 20, 30
 #: Hashes that are handed on together, and words a worker remembers.
 FLUSH, REMEMBERED = 1 << 18, 100_000
-#: Shingles by which a node seeks a star.
-STARS = 3
+#: Hashes whose bits are counted together.
+HASHED = 1 << 12
+#: Bits by which fingerprints of candidates differ at most.
+RADIUS = 12
 #: Times that lists choose middles.
-ROUNDS = 4
-CHUNKS = 64
+ROUNDS = 3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,8 +142,16 @@ def _shared(d: DataFrame, plan: Plan) -> np.ndarray:
     return bitmap
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """SimHash of shingle hashes: the bits that over half of them have."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(h), HASHED):
+        total += np.unpackbits(h[k : k + HASHED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def suspects(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, node, grams) of the texts that may have a partner; equal sets have equal nodes."""
+    """(doc_id, tie, node, fp, grams) of the texts that may have a partner; equal sets have equal nodes."""
     text = F.coalesce("text", F.lit(""))
     d = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
     spark = docs.sparkSession
@@ -147,7 +161,7 @@ def suspects(docs: DataFrame) -> DataFrame:
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, shingles = shared.value, Shingler()
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("grams", pa.list_(pa.int64()))])
         for batch in batches:
             rows, held = [], 0
             for doc_id, tie, t in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
@@ -156,7 +170,7 @@ def suspects(docs: DataFrame) -> DataFrame:
                 alone = np.count_nonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 0)
                 if alone <= len(h) // 5:
                     node = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64))
-                    rows.append((doc_id, tie, node, h.view(np.int64)))
+                    rows.append((doc_id, tie, node, _fingerprint(h), h.view(np.int64)))
                     held += len(h)
                 if held > FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -164,20 +178,20 @@ def suspects(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    out = materialize(d.mapInArrow(left, "doc_id long, tie long, node long, grams array<long>"))
+    out = materialize(d.mapInArrow(left, "doc_id long, tie long, node long, fp long, grams array<long>"))
     shared.destroy()  # workers would keep it
     return out
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """(gram, node, n, alone, pos, back) of the first n // 5 + 1 grams of every set, rarest first; ``back`` counts from the last one."""
+    """(gram, node, n, alone, pos) of the first n // 5 + 1 grams of every set, rarest first."""
     grams = nodes.select("node", "n", F.explode("grams").alias("gram"))
     several = grams.groupBy("gram").count().filter("count > 1")
     own = grams.join(several, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "gram"))).alias("own"))
     own = own.withColumn("alone", F.col("n") - F.size("own")).filter("alone <= n div 5")
     first = own.withColumn("own", F.slice("own", F.lit(1), (F.expr("n div 5") + 1 - F.col("alone")).cast("int")))
-    one = first.select("node", "n", "alone", F.size("own").alias("most"), F.posexplode("own").alias("at", "own"))
-    return one.select("own.gram", "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), (F.col("most") - F.col("at") - 1).alias("back"))
+    one = first.select("node", "n", "alone", F.posexplode("own").alias("at", "own"))
+    return one.select("own.gram", "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"))
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -211,27 +225,55 @@ def _star_links(placed: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     return _similar(stars.select(F.col("node").alias("u"), F.col("m.node").alias("v")).distinct(), nodes)
 
 
+def _print_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Similar pairs (u, v) of nodes whose fingerprints are equal or linked; one node stands for its fingerprint."""
+    of = materialize(nodes.groupBy("fp").agg(F.min("node").alias("v")))
+    equal = nodes.join(of, "fp").filter("node <> v").select(F.col("node").alias("u"), "v")
+    near = simhash.links(of, radius).withColumnsRenamed({"u": "fp", "v": "other"})
+    near = near.join(of.withColumnRenamed("v", "u"), "fp").join(of.withColumnRenamed("fp", "other"), "other").select("u", "v")
+    return _similar(equal.unionByName(near).distinct(), nodes)
+
+
+def _partners(placed: DataFrame) -> DataFrame:
+    """(u, v, m, n) of the nodes of different components that may be similar by sizes and positions.
+
+    In the first gram that two sets share, both have in their rests all that they
+    share; so a gram at ``pos`` leads to sets of at most ``reach`` grams.
+    """
+    p = placed.withColumn("reach", F.expr("9 * (n - pos) div 4 - n"))
+    ends = p.groupBy("gram").agg(F.min("n").alias("least"), F.max("reach").alias("most"))
+    p = p.join(ends, "gram").filter("reach >= least and n <= most").drop("least", "most")
+    # the largest component of a list never meets itself
+    held = p.groupBy("gram", "comp").count().groupBy("gram").agg(F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    p = materialize(p.join(held.filter("comps > 1"), "gram").select("gram", "node", "n", "pos", "reach", "comp", "top"))
+    a = p.filter("comp <> top").select("gram", F.struct("node", "n", "pos", "reach", "comp", "top").alias("a"))
+    b = p.select("gram", F.struct("node", "n", "pos", "reach", "comp").alias("b"))
+    once = (F.col("b.comp") == F.col("a.top")) | (F.col("a.comp") < F.col("b.comp"))
+    fit = (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
+    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a.comp") != F.col("b.comp")) & once & fit)
+    least, most = F.least("a.node", "b.node"), F.greatest("a.node", "b.node")
+    first = F.col("a.node") < F.col("b.node")
+    of = lambda c, one: F.when(first == one, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    pairs = pairs.select(least.alias("u"), most.alias("v"), of("n", True).alias("m"), of("n", False).alias("n"), of("pos", True).alias("p"), of("pos", False).alias("q"))
+    pairs = pairs.groupBy("u", "v", "m", "n").agg(F.count(F.lit(1)).alias("met"), F.max("p").alias("p"), F.max("q").alias("q"))
+    # after the last of these grams no more than the shorter rest can be shared
+    able = 9 * (F.col("met") + F.least(F.col("m") - F.col("p") - 1, F.col("n") - F.col("q") - 1)) >= 4 * (F.col("m") + F.col("n"))
+    return pairs.filter(able).select("u", "v", "m", "n")
+
+
 def linked(nodes: DataFrame) -> DataFrame:
-    """(node, root) of the nodes (node, n, grams) that have a partner."""
+    """(node, root) of the nodes (node, fp, n, grams) that have a partner."""
+    found = components(_print_links(nodes))
     postings = materialize(_postings(nodes))
-    found = components(_star_links(postings.filter(F.col("back") < STARS).withColumn("comp", F.col("node")), nodes, 0))
-    for turn in range(1, ROUNDS):
-        # later middles only meet nodes that no star has joined to them
-        new = materialize(_star_links(materialize(_placed(postings, found)), nodes, turn))
+    placed = materialize(_placed(postings, found))
+    for turn in range(ROUNDS):
+        # middles only meet nodes that nothing has joined to them
+        new = materialize(_star_links(placed, nodes, turn))
         if new.isEmpty():
             break
         found = components(new.unionByName(found.toDF("u", "v")))
-    one = F.collect_list(F.struct("node", "n", "pos")).alias("own")
-    lists = _placed(postings, found).groupBy("gram", "comp", F.pmod(F.xxhash64("node"), F.lit(CHUNKS)).alias("chunk")).agg(one)
-    lists = materialize(lists.select("gram", "comp", "own"))
-    other = lists.select("gram", F.col("comp").alias("comp2"), F.col("own").alias("own2"))
-    pairs = lists.join(other, "gram").filter("comp < comp2").select(F.explode("own").alias("a"), "own2")
-    pairs = pairs.select("a", F.explode("own2").alias("b")).filter(_sized("a.n", "b.n"))
-    pairs = pairs.groupBy(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("m"), F.col("b.n").alias("n"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("met"), F.max("a.pos").alias("p"), F.max("b.pos").alias("q"))
-    # after the last gram both have in their firsts, no more than the shorter rest can be shared
-    able = 9 * (F.col("met") + F.least(F.col("m") - F.col("p") - 1, F.col("n") - F.col("q") - 1)) >= 4 * (F.col("m") + F.col("n"))
-    last = materialize(_similar(pairs.filter(able), nodes))
+        placed = materialize(_placed(postings, found))
+    last = materialize(_similar(_partners(placed), nodes))
     return found if last.isEmpty() else components(last.unionByName(found.toDF("u", "v")))
 
 
@@ -239,7 +281,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every component, that of smallest doc_id; columns as they are."""
     prints = suspects(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie")).alias("first")
-    nodes = materialize(prints.groupBy("node").agg(F.first("grams").alias("grams")).select("node", F.size("grams").alias("n"), "grams"))
+    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams"))
+    nodes = materialize(nodes.select("node", "fp", F.size("grams").alias("n"), "grams"))
     found = linked(nodes)
     members = prints.groupBy("node", "doc_id", "tie").count().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = materialize(members)

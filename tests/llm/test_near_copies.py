@@ -63,3 +63,32 @@ def test_near_copies_against_all_pairs(spark):
 
 def test_near_copies_on_nothing(spark):
     assert near_copies.drop_near_copies(documents(spark, [])).count() == 0
+
+
+def test_lists_pair_only_what_may_be_similar(spark):
+    """A list's large component and the sets around it: only pairs that sizes and positions allow are made."""
+    rng = random.Random(10)
+    rows = [(1, k, 300, rng.randrange(8), 1) for k in range(200)]  # gram, node, n, pos, comp
+    rows += [(1, 1000 + k, 300, rng.randrange(40, 61), 1000 + k) for k in range(200)]
+    rows += [(1, 2000 + k, rng.randrange(200, 400), rng.randrange(41), 2000 + k % 5) for k in range(40)]
+    placed = spark.createDataFrame([(g, node, n, 0, pos, comp) for g, node, n, pos, comp in rows], "gram long, node long, n int, alone int, pos int, comp long")
+    may = {
+        (a[1], b[1]) for a in rows for b in rows
+        if a[1] < b[1] and a[4] != b[4] and 9 * min(a[2] - a[3], b[2] - b[3]) >= 4 * (a[2] + b[2])
+    }
+    assert 0 < len(may) < 10_000
+    assert sorted((r["u"], r["v"]) for r in records(near_copies._partners(placed))) == sorted(may)
+
+
+def test_fingerprints_give_candidates_and_shingles_decide(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(k, " ".join(words)), (100 + k, " ".join([*words[:-1], "other"])), (200 + k, _changed(rng, words, 0.7, 0.79))]
+    prints = near_copies.suspects(documents(spark, rows))
+    nodes = prints.selectExpr("node", "fp", "size(grams) as n", "grams")
+    doc = {r["node"]: r["doc_id"] for r in records(prints)}
+    found = {tuple(sorted((doc[r["u"]], doc[r["v"]]))) for r in records(near_copies._print_links(nodes))}
+    # of three near prints one stands for the others, which may be the one too far from both
+    assert found <= {(k, 100 + k) for k in range(20)} and len(found) > 10
