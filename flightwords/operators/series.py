@@ -138,22 +138,34 @@ def recent_points(subframes: DataFrame, points_of: Callable[[DataFrame], DataFra
 
 
 def recent_stats(subframes: DataFrame, points_of: Callable[[DataFrame], DataFrame], seconds: float) -> DataFrame:
-    """``series_stats`` of the trailing window in two decoding passes, without storing points.
-
-    The second pass sums up the points not older than the cut and notes whether
-    an older one was appended after the first of them.  Only series where that
-    happened, whose window holds such older points too, are decoded once more.
+    """``series_stats`` of the trailing window, without storing points.
+
+    One pass finds where series end.  The second needs only the subframes from the
+    earliest cut of their recording on (see ``recent_points``): it sums up the points
+    not older than the cut and notes whether an older one was appended after the
+    first of them.  Subframes before that cut are asked for such points only if they
+    come late.  Only series where that happened, whose window holds such older
+    points too, are decoded once more.
     """
     keys, value, at = list(SERIES), F.col("value"), position()
     ends = points_of(subframes).groupBy(*keys).agg(F.max_by("t", at).alias("_end"))
     cut = materialize(ends.select(*keys, (F.col("_end") - seconds).alias("_cut")))
+    low = broadcast_if_small(cut.groupBy("recording_id").agg(F.min("_cut").alias("_low")))
+    placed = subframes.join(low, "recording_id")
+    placed = placed if "t_end" in subframes.columns else placed.withColumn("t_end", F.col("_low"))  # all of them, if their end isn't known
     inside = F.col("t") >= F.col("_cut")
     own = F.when(inside, value)
-    found = points_of(subframes).join(broadcast_if_small(cut), keys).groupBy(*keys).agg(
+    found = points_of(placed.filter(F.col("t_end") >= F.col("_low")).drop("_low")).join(broadcast_if_small(cut), keys).groupBy(*keys).agg(
         F.count(own).alias("n"), F.max_by("value", F.when(inside, at)).alias("current"), F.min(own).alias("minimum"), F.max(own).alias("maximum"),
         F.avg(own).alias("average"), F.min(F.when(inside, at)).alias("_start"), F.max(F.when(~inside, at)).alias("_old"),
     )
     found = materialize(found)
+    begin = broadcast_if_small(found.groupBy("recording_id").agg(F.shiftright(F.min("_start"), 20).alias("_begin")))
+    late = placed.join(begin, "recording_id").filter((F.col("t_end") < F.col("_low")) & (F.col("seq") >= F.col("_begin"))).drop("_low", "_begin")
+    if not late.isEmpty():
+        starts = broadcast_if_small(found.select(*keys, "_start"))
+        behind = points_of(late).join(starts, keys).filter(at >= F.col("_start")).groupBy(*keys).agg(F.max(at).alias("_late"))
+        found = found.join(materialize(behind), keys, "left").withColumn("_old", F.greatest("_old", "_late")).drop("_late")
     mixed = F.coalesce(F.col("_old") > F.col("_start"), F.lit(False))
     clean = found.filter(~mixed).drop("_start", "_old")
     odd = found.filter(mixed).select(*keys, "_start")

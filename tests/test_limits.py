@@ -88,6 +88,28 @@ def test_window_statistics_of_unordered_points(spark):
     assert len({r.n for r in got}) > 1
 
 
+def test_window_statistics_decode_the_window_alone(spark):
+    """Subframes before the earliest cut are decoded once, and again only where they come late."""
+    from flightwords.operators import series
+
+    def subframes(late):
+        rows = [("r", k, float(k) if k not in late else 5.0 + k / 1000) for k in range(400)] + [("q", k, float(k)) for k in range(50)]
+        return spark.createDataFrame(rows, "recording_id string, seq bigint, t_end double")
+
+    def points_of(s):
+        decoded.append(s)
+        return s.select("recording_id", F.expr("'p' || seq % 3").alias("param_id"), F.lit("n").alias("param_name"), F.lit("u").alias("unit"), "seq",
+                        F.lit(1).alias("occ"), (F.col("t_end") - 0.5).alias("t"), F.expr("seq % 7 * 1.5").cast("double").alias("value"))
+
+    names = ["recording_id", "param_id", "n", "current", "minimum", "maximum", "average"]
+    for late in ((), (370, 371, 390)):
+        s, decoded = subframes(late), []
+        got = series.recent_stats(s, points_of, 60.0).select(*names).orderBy(*names[:2]).collect()
+        assert decoded[1].count() < 120
+        assert len(decoded) == (4 if late else 2)
+        assert got == series.series_stats(points_of(s), 60.0).select(*names).orderBy(*names[:2]).collect()
+
+
 def test_damaged_packets_hold_no_second_start(spark):
     """Counts and checksums that read as a packet start do not count as more bad packets."""
     seqs = [0x4153, 0x1_4153, 0x53_0000, 0x5300, 4 * 0x4153, 4 * 0x4153_00 + 1, *range(7000)]  # "SA" in the count, over its end, in the frame
