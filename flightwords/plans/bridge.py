@@ -18,6 +18,8 @@ from ..schemas import DOCUMENTS, INVALID, MISSING, PARAMETERS, RECEIVED, SEGMENT
 WPS = 64
 DOCUMENT_ID = "DOC-64"
 EPOCH = 1.7e9
+#: Rows of a source that one task turns into subframes and samples, about.
+TASK_ROWS = 65_536
 
 ALL = (1, 2, 3, 4)
 
@@ -116,11 +118,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a source with fewer splits than cores (one small file);
-    a source with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """About ``rows`` rows a task, and work for every core.
+
+    Splits are cut by bytes, but a row group goes to one of them whole: of a file
+    with large row groups most splits are empty, however many there are.
+    """
+    cores, total = df.sparkSession.sparkContext.defaultParallelism, df.count()  # footers alone
+    enough = total <= rows and df.rdd.getNumPartitions() >= cores
+    return df if enough else df.repartition(max(cores, -(-total // rows)))
 
 
 def price_cents() -> F.Column:

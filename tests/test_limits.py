@@ -110,6 +110,18 @@ def test_window_statistics_decode_the_window_alone(spark):
         assert got == series.series_stats(points_of(s), 60.0).select(*names).orderBy(*names[:2]).collect()
 
 
+def test_tasks_have_rows_however_a_file_is_split(spark, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    spark.range(60_000).selectExpr("id", "md5(string(id)) as x").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # many splits of one row group
+    try:
+        rows = bridge.spread(spark.read.parquet(path), 5_000).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(r["count"] for r in rows) == 60_000 and max(r["count"] for r in rows) < 10_000
+
+
 def test_damaged_packets_hold_no_second_start(spark):
     """Counts and checksums that read as a packet start do not count as more bad packets."""
     seqs = [0x4153, 0x1_4153, 0x53_0000, 0x5300, 4 * 0x4153, 4 * 0x4153_00 + 1, *range(7000)]  # "SA" in the count, over its end, in the frame
