@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from flightwords.operators import adb
@@ -165,3 +167,16 @@ def test_catalog(spark, tmp_path):
     tables.save({"dataframe_documents": docs, "parameters": pars, "parameter_segments": segs}, root)
     assert tables.list_documents(spark, root).first().parameters == len(bridge.MAPPING)
     assert tables.load(spark, root, "parameter_segments", bridge.DOCUMENT_ID).exceptAll(segs).count() == 0
+
+
+def test_records_are_split_as_the_csv_module_does_without_python_workers(spark):
+    rng = random.Random(5)
+    texts = ["", "\r\n", 'a,"b', '"a,\r\n', '"x"y"z,""""\rb\n\n,', "\x1f,\u3000\n,\n1", '"' + '""' * 50_000 + '",' + "b," * 50_000 + "c", '" \n",\r\n","']
+    texts += ["".join(rng.choice('"",,\r\na é\xa0') for _ in range(rng.randrange(40))) for _ in range(600)]
+    files = spark.createDataFrame([(str(i), bytearray(t.encode())) for i, t in enumerate(texts)], "document_id string, content binary")
+    found = adb_files.records_of(files)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.document_id, r.record_index): r.fields for r in found.collect()}
+    rows = pd.DataFrame({"document_id": [str(i) for i in range(len(texts))], "source_hash": "", "text": texts})
+    want = {(r.document_id, r.record_index): r.fields for p in adb_files._split(iter([rows])) for r in p.itertuples()}
+    assert len(want) > 600 and got == want
