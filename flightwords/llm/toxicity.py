@@ -29,6 +29,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -88,20 +89,40 @@ class Model:
         return 1 - clean, found
 
 
-def _descend(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, toxic: np.ndarray, width: int, rounds: int, decay: float) -> tuple[float, np.ndarray]:
+@dataclass
+class Words:
+    """Features of words: word ``of[i]`` has feature ``feature[i]``.  Sums over a sentence's
+    features go by its words, so that only (sentence, word) is ever as long as the texts."""
+
+    of: np.ndarray
+    feature: np.ndarray
+    n: int
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x[self.feature], self.n)
+
+    def shares(self, x: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.feature, x[self.of], width)
+
+
+def _descend(
+    doc: np.ndarray, sentence: np.ndarray, held: np.ndarray, toxic: np.ndarray, width: int, rounds: int, decay: float, words: Words | None = None
+) -> tuple[float, np.ndarray]:
     """Bias and weights that fit the documents' labels; Adam on the noisy-or likelihood.
 
-    ``doc`` is the document of each sentence, (sentence, feature) what they hold.
+    ``doc`` is the document of each sentence, (sentence, held) the words they hold,
+    which are features themselves unless ``words`` says which they have.
     """
+    words = words or Words(np.arange(width), np.arange(width), width)
     x = np.zeros(width + 1)
     x[-1] = -4.0
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, rounds + 1):
-        z = x[-1] + np.bincount(sentence, x[feature], len(doc))
+        z = x[-1] + np.bincount(sentence, words.sums(x)[held], len(doc))
         evidence = np.bincount(doc, np.logaddexp(0, z), len(toxic))  # -log of the probability to be clean
         slope = np.where(toxic, -1 / np.expm1(np.clip(evidence, 1e-6, 50)), 1.0)
         dz = slope[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(feature, dz[sentence], width), dz.sum()) / len(toxic)
+        g = np.append(words.shares(np.bincount(held, dz[sentence], words.n), width), dz.sum()) / len(toxic)
         g[:-1] += decay * x[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -112,36 +133,75 @@ def _renumbered(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return (np.cumsum(keep) - 1).astype(np.int32)[x]
 
 
+def _common(numbers: dict[str, int], docs_of: array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word, feature) and the names of the ``features`` whose words are in WORD_DOCS documents, each
+    word counted for itself; the rare ones, nearly all there are, never become strings of their own."""
+    of, feature, names = array("i"), array("i"), []
+    words = sorted(numbers)
+    whole = ((w, [w]) for w in words)
+    begun = ((begin + "*", same) for k in PREFIXES for begin, same in groupby([w for w in words if len(w) > k], lambda w, k=k: w[:k]))
+    for name, same in chain(whole, begun):
+        own = [numbers[w] for w in same]
+        if sum(docs_of[i] for i in own) >= WORD_DOCS:
+            of.extend(own)
+            feature.extend([len(names)] * len(own))
+            names.append(name)
+    of, feature = np.frombuffer(of, np.int32), np.frombuffer(feature, np.int32)
+    order = np.argsort(of, kind="stable")
+    return of[order], feature[order], names
+
+
+def _seen(doc: np.ndarray, held: np.ndarray, of: np.ndarray, feature: np.ndarray, n: int, width: int, step: int = 65_536) -> np.ndarray:
+    """Documents that hold each feature; ``doc`` rises, and about ``step`` words are looked at together."""
+    seen, size = np.zeros(width, np.int64), np.bincount(of, minlength=n)
+    begin, at = np.cumsum(size) - size, 0
+    while at < len(doc):
+        end = int(np.searchsorted(doc, doc[min(at + step, len(doc)) - 1], "right"))
+        d, w = np.divmod(np.unique(doc[at:end].astype(np.int64) * n + held[at:end]), n)
+        c = size[w]
+        f = feature[np.repeat(begin[w] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+        seen += np.bincount(np.unique(np.repeat(d, c) * width + f) % max(1, width), minlength=width)
+        at = end
+    return seen
+
+
 def train(rows: list[tuple[str, bool]]) -> Model:
     toxic = np.array([t for _, t in rows], bool)
     if not toxic.any() or toxic.all():
         return Model(0.0, {})
-    # numbers instead of strings: every word and feature is held once
-    words, doc, sentence, held = {}, array("i"), array("i"), array("i")
+    # numbers instead of strings: every word is held once
+    numbers: dict[str, int] = {}
+    docs_of = array("i")  # documents that hold a word
+    doc, sentence, held = array("i"), array("i"), array("i")
     for d, (text, _) in enumerate(rows):
+        met: set[int] = set()
         for s in SENTENCE.findall(text.lower()):
-            own = [words.setdefault(w, len(words)) for w in sorted(set(WORDS.findall(s)))]
+            own = [numbers.setdefault(w, len(numbers)) for w in sorted(set(WORDS.findall(s)))]
+            met.update(own)
             sentence.extend([len(doc)] * len(own))
             held.extend(own)
             doc.append(d)
-    names: dict[str, int] = {}
-    parts = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
-    size = np.array([len(p) for p in parts] + [0])
-    begin, flat = np.cumsum(size) - size, np.array([f for p in parts for f in p], np.int32)
+        docs_of.extend([0] * (len(numbers) - len(docs_of)))
+        for k in met:
+            docs_of[k] += 1
+    n = len(numbers)
+    of, feature, names = _common(numbers, docs_of)
+    del numbers
     doc, sentence, held = (np.frombuffer(x, np.int32) for x in (doc, sentence, held))
-    n = size[held]
-    feature = flat[np.repeat(begin[held] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    sentence = np.repeat(sentence, n)
-    vocabulary = np.array(list(names), object)
-    seen = np.bincount(np.unique(doc[sentence].astype(np.int64) * len(names) + feature) % len(names), minlength=len(names))
+    vocabulary = np.array(names, object)
+    seen = _seen(doc[sentence], held, of, feature, n, len(names))
     keep = seen >= WORD_DOCS
     for last in (False, True):
         on = keep[feature]
-        sentence, feature, vocabulary = sentence[on], _renumbered(feature[on], keep), vocabulary[keep]
+        of, feature, vocabulary = of[on], _renumbered(feature[on], keep), vocabulary[keep]
+        told = np.bincount(of, minlength=n) > 0
+        on = told[held]
+        sentence, held = sentence[on], held[on]
         if last:  # sentences without a feature are clean
             full = np.bincount(sentence, minlength=len(doc)) > 0
             sentence, doc = _renumbered(sentence, full), doc[full]
-        bias, weights = _descend(doc, sentence, feature, toxic, len(vocabulary), ROUNDS * (3 if last else 1), (0.02 if last else 1) / len(rows))
+        rounds, decay = ROUNDS * (3 if last else 1), (0.02 if last else 1) / len(rows)
+        bias, weights = _descend(doc, sentence, held, toxic, len(vocabulary), rounds, decay, Words(of, feature, n))
         keep = weights > LEAST_WEIGHT * weights.max(initial=0.0)
     return Model(bias, {f: float(x) for f, x in zip(vocabulary, weights)})
 

@@ -267,3 +267,22 @@ def test_native_operators_plan_no_python(spark):
     for name in ("op5_chat_format", "op9_mixing"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_training_holds_no_strings_of_rare_features():
+    """Nearly all words are rare; they and what sentences hold of them stay numbers."""
+    import random
+    import tracemalloc
+
+    from flightwords.llm import toxicity
+
+    rng = random.Random(3)
+    rare = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(n))
+    rows = [(f"{rare(500)}. you vile creature {i % 7}. {rare(500)}" if i % 2 else f"{rare(500)}. a kind creature. {rare(500)}", bool(i % 2)) for i in range(60)]
+    tracemalloc.start()
+    model = toxicity.train(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert all((model.score(t)[0] > 0.7) == bad for t, bad in rows) and "vile" in model.weights
+    assert not toxicity.train([("...", True), ("!!", False)]).weights
