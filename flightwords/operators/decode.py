@@ -41,6 +41,15 @@ def register_type(name: str, build: Callable[[Column, Column], tuple[Column, Col
     CUSTOM_TYPES[name] = build
 
 
+def apart(value: Column) -> Column:
+    """``value``, by way of a function over arrays, which Spark keeps out of a stage's one loop.
+
+    The JVM compiles no method above 8000 bytes of code.  The loop of a whole decode is
+    longer and ran interpreted; projections on their own are cut into small methods.
+    """
+    return F.get(F.transform(F.array(value), lambda x: x), F.lit(0))
+
+
 def decodable(subframes: DataFrame) -> DataFrame:
     """Only subframes that carry usable data (DEC-19)."""
     return subframes.filter(F.col("state").isin(*DECODABLE_STATES) & (F.col("subframe") != 0))
@@ -161,7 +170,7 @@ def decode(
         shown = F.regexp_replace("wide_bits", "^0+(?=.)", "")
         fits = F.when(F.length(shown) <= MAX_EXACT_WIDTH, F.conv(shown, 2, 10).cast("bigint"))
         raw = F.when(narrow, raw).otherwise(fits)
-    joined = joined.withColumn("raw_integer", raw)
+    joined = joined.withColumn("raw_integer", apart(raw))
 
     v = F.col("raw_integer")
     number = (v - shift_left(v.bitwiseAND(F.col("sign_bit")), F.lit(1))).cast("double")
@@ -207,7 +216,7 @@ def decode(
         # The subframe started one second before its last word.
         (F.col("t_end") - 1.0 + F.col("t_part")).alias("t"),
         bits.alias("raw_bits"), "raw_integer", "decoded", "eng_value", label.alias("eng_label"), "unit",
-        status.alias("status"), message.alias("message"), *keep,
+        apart(status).alias("status"), message.alias("message"), *keep,
     ]
     if trace:
         used = F.col("decoded").isNotNull() & F.col("ptype").isin(*LINEAR_TYPES)

@@ -25,8 +25,10 @@ SERIES = ("recording_id", "param_id")
 
 def series(samples: DataFrame) -> DataFrame:
     """The points a time series stores: samples with a finite number, in append order."""
+    # a filter would move down into the join with the mapping and decode each sample several times
+    found = F.filter(F.array(F.coalesce("eng_value", "decoded")), lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")))
     return (
-        samples.withColumn("value", numeric_value()).filter("value IS NOT NULL")
+        samples.withColumn("value", F.explode(found))
         .select(*SERIES, "param_name", "unit", "seq", "occ", "t", "value")
     )
 

@@ -13,6 +13,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.decode import apart
 from ..schemas import DOCUMENTS, INVALID, MISSING, PARAMETERS, RECEIVED, SEGMENTS, SYNC_WORDS
 
 WPS = 64
@@ -169,7 +170,7 @@ def subframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subframes_of(orders: DataFrame) -> DataFrame:
     h = headers_of(orders)
-    return h.withColumn("words", F.array(*word_values(F.col("c"), F.col("subframe")))).drop("c")
+    return h.withColumn("words", apart(F.array(*word_values(F.col("c"), F.col("subframe"))))).drop("c")
 
 
 def part_mapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

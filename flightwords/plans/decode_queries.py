@@ -38,9 +38,9 @@ def samples(spark: SparkSession, sf_dir: str, mode: str = mapping.MODE_SUBFRAME,
     return dec.decode(dec.decodable(bridge.subframes(spark, sf_dir)), rows, profile=profile, **kw)
 
 
-def points(spark: SparkSession, sf_dir: str, scans: int = 1) -> DataFrame:
-    """Stored points; written once where several steps scan them."""
-    p = series.series(samples(spark, sf_dir))
+def points(spark: SparkSession, sf_dir: str, scans: int = 1, only: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Stored points; written once, with the columns ``only`` names, where several steps scan them."""
+    p = series.series(samples(spark, sf_dir)).select(*only)
     return materialize(p) if scans > 1 else p
 
 
@@ -217,7 +217,7 @@ def series_stats_all(spark, sf_dir):
 )
 def ring_last_n(spark, sf_dir):
     """The 100 latest points of every series (WIN-01)."""
-    return series.ring(points(spark, sf_dir, scans=3), 100).select("recording_id", "param_id", "seq", long("occ"), "value")
+    return series.ring(points(spark, sf_dir, scans=3, only=(*series.SERIES, "seq", "occ", "value")), 100).select("recording_id", "param_id", "seq", long("occ"), "value")
 
 
 @query(
@@ -227,7 +227,7 @@ def ring_last_n(spark, sf_dir):
 )
 def ring_duration(spark, sf_dir):
     """Points not older than 300 s before the newest (WIN-02)."""
-    return series.duration_bound(points(spark, sf_dir, scans=3), 300.0).select(
+    return series.duration_bound(points(spark, sf_dir, scans=3, only=(*series.SERIES, "seq", "occ", "t", "value")), 300.0).select(
         "recording_id", "param_id", "seq", long("occ"), "value"
     )
 

@@ -83,3 +83,20 @@ def test_plan_has_no_shuffle_after_the_scan(spark):
     subs = bridge.subframes_of(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"))
     text = dec.decode(dec.decodable(subs), rows, profile=profile)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text.split("InMemoryTableScan")[0]
+
+
+def test_no_loop_of_a_decode_is_too_long_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8000 bytes, however often they run."""
+    from flightwords.operators import series
+    from flightwords.plans import QUERIES, decode_queries
+
+    folder = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("decode_samples", "decode_frames", "word_inspector"):
+            QUERIES[name](spark, folder).explain("codegen")
+        series.series(decode_queries.samples(spark, folder)).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(line.split("maxMethodCodeSize:")[1].split(";")[0]) for line in capsys.readouterr().out.splitlines() if "maxMethodCodeSize:" in line]
+    assert len(sizes) > 8 and max(sizes) < 8000
