@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightwords.llm import simhash
-from flightwords.llm.common import partitions, pick, unpack
+from flightwords.llm.common import in_small_batches, partitions, pick, unpack
 from flightwords.llm.components import components
 from flightwords.llm.simhash import LOWER
 from flightwords.session import broadcast_if_small, materialize
@@ -157,7 +157,7 @@ def suspects(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     plan = Plan(total, partitions(spark))
-    shared = spark.sparkContext.broadcast(_shared(d, plan))
+    shared = spark.sparkContext.broadcast(in_small_batches(spark, lambda: _shared(d, plan)))
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, shingles = shared.value, Shingler()
@@ -178,7 +178,7 @@ def suspects(docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    out = materialize(d.mapInArrow(left, "doc_id long, tie long, node long, fp long, grams array<long>"))
+    out = in_small_batches(spark, lambda: materialize(d.mapInArrow(left, "doc_id long, tie long, node long, fp long, grams array<long>")))
     shared.destroy()  # workers would keep it
     return out
 

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightwords.llm.common import pick, unpack
+from flightwords.llm.common import in_small_batches, pick, unpack
+from flightwords.session import broadcast_if_small, materialize
 
 SAMPLE = 2_000
 SAMPLE_BYTES = 32_768
@@ -230,9 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
     return train(sample(docs, labels, **bounds))
 
 
-def score(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
-    """doc_id, score, sentences array<struct<start, length, score>> (and ``row``) of every document."""
-    d = pick(docs, "doc_id", "text", row=row)
+def _scored(d: DataFrame, model: Model) -> DataFrame:
+    """``d`` with score and sentences for its text; written to the shared folder, so that texts reach Python in small batches."""
     shared = d.sparkSession.sparkContext.broadcast(model)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())]))
 
@@ -253,9 +253,22 @@ def score(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
 
     place = StructType([StructField("start", LongType()), StructField("length", LongType()), StructField("score", DoubleType())])
     fields = [f for f in d.schema.fields if f.name != "text"]
-    return d.mapInArrow(scored, StructType([*fields, StructField("score", DoubleType()), StructField("sentences", ArrayType(place))]))
+    schema = StructType([*fields, StructField("score", DoubleType()), StructField("sentences", ArrayType(place))])
+    out = in_small_batches(d.sparkSession, lambda: materialize(d.mapInArrow(scored, schema)))
+    shared.destroy()  # workers would keep it
+    return out
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, sentences array<struct<start, length, score>> of every document."""
+    return _scored(pick(docs, "doc_id", "text"), model)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; columns as they are."""
-    return unpack(score(docs, model, row=True).filter(F.col("score") < threshold).select("row"), docs.columns)
+    """``docs`` without those that score ``threshold`` or more; columns as they are, which Python never sees."""
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))  # tells texts of one doc_id apart
+    marks = _scored(pick(docs, "doc_id", "text").withColumn("tie", tie), model)
+    gone = marks.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).distinct()
+    gone = broadcast_if_small(gone)
+    rows = pick(docs, "doc_id", "text", row=True).withColumn("tie", tie).drop("text")
+    return unpack(rows.join(gone, rows["doc_id"].eqNullSafe(gone["gone_id"]) & (rows["tie"] == gone["gone_tie"]), "left_anti"), docs.columns)

@@ -2,12 +2,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flightwords.llm import mixing, packing, toxicity
+from flightwords.llm.common import SMALL_BATCHES, in_small_batches
 from flightwords.session import materialize
 
-from .data import SF, records
+from .data import SF, documents, records
 from .test_dedup import _components
 from .test_near_copies import _grams, _jaccard
 
@@ -51,3 +54,29 @@ def test_every_stage_against_a_plain_model(spark):
 
 def docs_schema(spark):
     return spark.read.parquet(f"{SF}/documents.parquet").schema
+
+
+def test_texts_reach_python_in_small_batches_and_rows_never(spark, capsys):
+    """Large batches are held outside the executor's heap, several times over, and by the worker beside it."""
+    texts = [(1, "so bad."), (1, "all good"), (None, "bad"), (None, "fine"), (2, None), (3, "bad"), (3, "bad"), (4, "good"), (4, "good")]
+    docs = documents(spark, texts)
+    model = toxicity.Model(-4.0, {"bad": 50.0})
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in records(kept)) == Counter(t for t in texts if "bad" not in (t[1] or ""))
+    pieces = packing.pack(documents(spark, [(1, "a b " * 5_000), (None, None), (2, "")]))
+    assert Counter(r["doc_tokens"] for r in records(pieces) if r["start"] == 0) == {10_001: 1, 1: 2}
+    capsys.readouterr()
+    for df in (kept, pieces, packing.pack(docs, ids=False)):
+        df.explain()
+    assert "InArrow" not in capsys.readouterr().out
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    before = [spark.conf.get(k) for k in SMALL_BATCHES]
+    long = spark.range(0, 4_000, 1, 1).select(F.when(F.col("id") < 2_000, "x").otherwise(F.repeat(F.lit("x"), F.lit(20_000))).alias("text"))
+    met = in_small_batches(spark, lambda: materialize(long.mapInArrow(sizes, "n long, size long"))).collect()
+    assert sum(r["n"] for r in met) == 4_000 and max(r["n"] for r in met) == 1_000 and max(r["size"] for r in met) < 5 << 20
+    assert [spark.conf.get(k) for k in SMALL_BATCHES] == before
