@@ -252,19 +252,16 @@ def diagnostics(a: DataFrame) -> DataFrame:
     )
 
 
-def stream_diagnostics(
-    a: DataFrame, chunks: DataFrame, parsed: DataFrame, locked: DataFrame, starts: DataFrame, rates: DataFrame
-) -> DataFrame:
+def stream_diagnostics(a: DataFrame, parsed: DataFrame, locked: DataFrame, starts: DataFrame, rates: DataFrame) -> DataFrame:
     """All counters of a byte-stream recording: bytes, words, losses and assembly (AGG-05)."""
-    d = chunks.groupBy("recording_id").agg(F.sum(F.length("data")).alias("bytes_received"))
-    w = parsed.groupBy("recording_id").agg(
-        F.sum("n_words").alias("words_received"), F.sum("invalid_words").alias("invalid_words"),
+    out = parsed.groupBy("recording_id").agg(
+        F.sum("n_bytes").alias("bytes_received"), F.sum("n_words").alias("words_received"), F.sum("invalid_words").alias("invalid_words"),
         F.sum("invalid_words").alias("discarded_bytes"),
     )
     losses = starts.groupBy("recording_id").agg(F.count_if(~F.col("valid")).alias("sync_losses"))
     final = starts.groupBy("recording_id").agg(F.max_by("valid", "pos").alias("ends_locked"))
     rate = rates.groupBy("recording_id").agg(F.max_by("detected_wps", "since").alias("detected_wps"))
-    out = d.join(w, "recording_id", "left").join(diagnostics(a), "recording_id", "left").join(losses, "recording_id", "left")
+    out = out.join(diagnostics(a), "recording_id", "left").join(losses, "recording_id", "left")
     out = out.join(final, "recording_id", "left").join(rate, "recording_id", "left")
     zero = [c for c in out.columns if c not in ("recording_id", "ends_locked", "detected_wps")]
     return out.fillna(0, zero).withColumn(

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,40 +26,85 @@ CHUNK_BLOCK = 4096
 
 # -- continuous word stream (SRC-07) ---------------------------------------
 
-def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per chunk: length, last byte, and the bytes after its last byte whose high
-    nibble is set (that byte always becomes a pending low byte)."""
-    for pdf in batches:
-        n, last, tail = [], [], []
-        for raw in pdf["data"]:
-            b = np.frombuffer(raw, dtype=np.uint8)
-            marked = np.flatnonzero(b & 0xF0)
-            n.append(len(b))
-            last.append(int(b[-1]) if len(b) else None)
-            tail.append(int(len(b) - 1 - marked[-1]) if len(marked) else None)
-        yield pd.DataFrame({
-            "recording_id": pdf["recording_id"], "chunk_no": pdf["chunk_no"], "n": n,
-            "last": pd.array(last, dtype="Int64"), "tail": pd.array(tail, dtype="Int64"),
-        })
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column end to end, and where its rows begin; the last place is the end."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[offsets[0]: offsets[-1]] if held else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def _scan(data: np.ndarray, at: np.ndarray, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes that complete a word, marked bytes that drop the byte before) of chunks laid end to end.
+
+    The rule of ``parse_containers`` for all of them at once: ``waiting`` says which
+    begin behind a low byte, their first byte is an odd number of bytes behind it.
+    """
+    place = np.arange(len(data))
+    marked = (data & 0xF0) != 0
+    filled = at[1:] > at[:-1]
+    first, behind = at[:-1][filled], waiting[filled].astype(np.int64)
+    low = np.where(marked, place, -1)
+    low[first] = np.where(marked[first], first, first - behind)
+    low = np.maximum.accumulate(low) if len(data) else low
+    before = np.concatenate((low[:1], low[:-1]))
+    before[first] = first - behind
+    return (place - low) % 2 == 1, marked & ((place - before) % 2 == 1)
+
+
+def _by_chunk(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the flags lie in each chunk."""
+    return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[at])
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk: length, last byte, the bytes after its last byte whose high nibble is set (that byte always
+    becomes a pending low byte), its words if it begins with a container, and how many more if it does not."""
+    for batch in batches:
+        data, at = _flat(batch.column("data"))
+        n = np.diff(at)
+        done, _ = _scan(data, at, np.zeros(len(n), bool))
+        marks = np.concatenate((np.flatnonzero(data & 0xF0), [-1]))
+        held = _by_chunk((data & 0xF0) != 0, at)
+        upto = np.concatenate(([0], np.cumsum(held)))
+        plain = np.where(held > 0, marks[np.minimum(upto[:-1], len(marks) - 1)] - at[:-1], n)
+        tail = at[1:] - 1 - marks[upto[1:] - 1]
+        yield pa.RecordBatch.from_arrays([
+            batch.column("recording_id"), batch.column("chunk_no"), pa.array(n),
+            pa.array(data[np.maximum(at[1:] - 1, 0)].astype(np.int64) if len(data) else np.zeros(len(n), np.int64), mask=n == 0),
+            pa.array(tail, mask=held == 0), pa.array(_by_chunk(done, at)), pa.array(plain % 2),
+        ], names=["recording_id", "chunk_no", "n", "last", "tail", "words", "more"])
 
 
 def chunk_states(chunks: DataFrame) -> DataFrame:
     """Entry state of every chunk: ``pending`` is the low byte awaiting its high
-    byte, NULL when a container starts with the chunk."""
-    s = materialize(chunks.select("recording_id", "chunk_no", "data").mapInPandas(
-        _summaries, "recording_id string, chunk_no bigint, n bigint, last bigint, tail bigint"
-    ))
-    order, block = [F.col("chunk_no")], blocks.block_of(F.col("chunk_no"), CHUNK_BLOCK)
-    s = blocks.running_sum(s, KEY, block, order, F.col("n"), "before", inclusive=False)
-    # Without a marked byte a chunk only flips the state once per byte, so the
-    # state follows from the last marked byte and the bytes since.
-    mark = F.when(F.col("tail").isNotNull(), F.col("before") + F.col("n") - F.col("tail"))
-    s = blocks.carry_last(s, KEY, block, order, mark, "since", inclusive=False)
-    s = blocks.carry_last(s, KEY, block, order, F.col("last"), "previous", inclusive=False)
-    waiting = F.when(F.col("since").isNull(), F.col("before") % 2 == 1).otherwise((F.col("before") - F.col("since")) % 2 == 0)
-    return materialize(s.select(
-        "recording_id", "chunk_no", F.col("before").alias("byte_offset"), F.when(waiting, F.col("previous")).alias("pending")
+    byte, NULL when a container starts with the chunk; ``start`` is the place of its first word."""
+    s = chunks.select("recording_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "data").mapInArrow(
+        _summaries, "recording_id string, chunk_no bigint, n bigint, last bigint, tail bigint, words bigint, more bigint"
+    )
+    s = materialize(s.withColumn("_block", blocks.block_of(F.col("chunk_no"), CHUNK_BLOCK)))
+    # Without a marked byte a chunk only flips the state once per byte, so the state follows from the last
+    # marked byte and the bytes since. Places are counted from the block's beginning first.
+    earlier = Window.partitionBy(*KEY, "_block").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    d = s.withColumn("_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    d = d.withColumn("_mark", F.col("_before") + F.col("n") - F.col("tail"))
+    held = d.groupBy(*KEY, "_block").agg(
+        F.sum("n").alias("_n"), F.max("_mark").alias("_m"), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("chunk_no"))).alias("_l"))
+    above = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_at", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+    held = held.withColumn("_since", F.max(F.col("_at") + F.col("_m")).over(above)).withColumn(
+        "_previous", F.last("_l", ignorenulls=True).over(above)).drop("_n", "_m", "_l")
+    local = d.withColumn("_local", F.max("_mark").over(earlier)).withColumn("_last", F.last("last", ignorenulls=True).over(earlier))
+    d = local.join(held.hint("merge"), [*KEY, "_block"])
+    before, since = F.col("_at") + F.col("_before"), F.coalesce(F.col("_at") + F.col("_local"), "_since")
+    waiting = F.when(since.isNull(), before % 2 == 1).otherwise((before - since) % 2 == 0)
+    d = materialize(d.select(
+        "recording_id", "chunk_no", before.alias("byte_offset"), F.when(waiting, F.coalesce("_last", "_previous")).alias("pending"),
+        (F.col("words") + F.when(waiting, F.col("more")).otherwise(0)).alias("n_words"),
     ))
+    block, order = blocks.block_of(F.col("chunk_no"), CHUNK_BLOCK), [F.col("chunk_no")]
+    return blocks.running_sum(d, KEY, block, order, F.col("n_words"), "start", inclusive=False).drop("n_words")
 
 
 def parse_containers(data: np.ndarray) -> tuple[np.ndarray, int]:
@@ -88,39 +134,36 @@ def pending_byte(data: np.ndarray) -> int | None:
     return int(data[-1]) if since % 2 == 0 else None
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        words, dropped = [], []
-        for raw, pending in zip(pdf["data"], pdf["pending"]):
-            b = np.frombuffer(raw, dtype=np.uint8)
-            if not pd.isna(pending):
-                b = np.concatenate((np.array([int(pending)], dtype=np.uint8), b))
-            w, d = parse_containers(b)
-            words.append(w)
-            dropped.append(d)
-        yield pd.DataFrame({
-            "recording_id": pdf["recording_id"], "chunk_no": pdf["chunk_no"], "t": pdf["t"],
-            "words": words, "invalid_words": dropped,
-        })
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = _flat(batch.column("data"))
+        pending = batch.column("pending")
+        waiting = ~pending.is_null().to_numpy(zero_copy_only=False)
+        done, drops = _scan(data, at, waiting)
+        low = np.concatenate((data[:1], data[:-1])).astype(np.int32)
+        begun = waiting & (at[1:] > at[:-1])
+        low[at[:-1][begun]] = pending.fill_null(0).to_numpy(zero_copy_only=False)[begun]
+        n = _by_chunk(done, at)
+        ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(data[done].astype(np.int32) * 256 + low[done]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c) for c in ("recording_id", "chunk_no", "t")]
+            + [words, pa.array(_by_chunk(drops, at)), pa.array(n), batch.column("start"), pa.array(np.diff(at))],
+            names=["recording_id", "chunk_no", "t", "words", "invalid_words", "n_words", "start", "n_bytes"])
 
 
 def words_of(chunks: DataFrame) -> DataFrame:
     """Words of each chunk with the position of its first word.
 
-    Columns: recording_id, chunk_no, t, words, invalid_words, n_words, start.
-    ``invalid_words`` equals the discarded bytes.
+    Columns: recording_id, chunk_no, t, words, invalid_words, n_words, start, n_bytes.
+    ``invalid_words`` equals the discarded bytes.  Where words begin follows from the
+    summaries, so the bytes travel and are parsed once.
     """
-    states = chunk_states(chunks).select("recording_id", "chunk_no", "pending")
-    known = chunks.join(states, ["recording_id", "chunk_no"]).select("recording_id", "chunk_no", "t", "data", "pending")
-    parsed = known.mapInPandas(
-        _parse, "recording_id string, chunk_no bigint, t double, words array<int>, invalid_words bigint"
-    ).withColumn("n_words", F.size("words").cast("bigint"))
-    counts = materialize(parsed.select("recording_id", "chunk_no", "n_words"))
-    offsets = blocks.running_sum(
-        counts, KEY, blocks.block_of(F.col("chunk_no"), CHUNK_BLOCK), [F.col("chunk_no")], F.col("n_words"), "start",
-        inclusive=False,
-    ).drop("n_words")
-    return parsed.join(offsets, ["recording_id", "chunk_no"])
+    known = chunks.select("recording_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("t").cast("double").alias("t"), "data")
+    states = chunk_states(chunks).select("recording_id", "chunk_no", "pending", "start")
+    return known.join(states.hint("merge"), ["recording_id", "chunk_no"]).mapInArrow(
+        _parse, "recording_id string, chunk_no bigint, t double, words array<int>, invalid_words bigint, n_words bigint, start bigint, n_bytes bigint"
+    )
 
 
 # -- framed packets (SRC-08) -----------------------------------------------

@@ -10,9 +10,10 @@ would be broadcast; such joins are told to sort and merge.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import heapq
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +30,9 @@ def sync_candidates(words: DataFrame, sync_words: Iterable[int] = SYNC_WORDS) ->
     """Positions that hold a sync word, with its subframe number."""
     sync = list(sync_words)
     number = F.create_map(*[x for i, s in enumerate(sync, 1) for x in (F.lit(s), F.lit(i))])
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.when(w.isin(*sync), F.struct((F.col("start") + i).alias("pos"), w.alias("w")))),
-        lambda h: h.isNotNull(),
-    )
-    return materialize(words.select("recording_id", F.inline(hits)).select(
-        "recording_id", "pos", F.try_element_at(number, F.col("w")).alias("idx")
+    hits = words.select("recording_id", "start", F.posexplode("words").alias("_i", "_w")).filter(F.col("_w").isin(*sync))
+    return materialize(hits.select(
+        "recording_id", (F.col("start") + F.col("_i")).alias("pos"), F.try_element_at(number, F.col("_w")).alias("idx")
     ))
 
 
@@ -70,24 +68,31 @@ def chains(cand: DataFrame, wps: int) -> DataFrame:
 
 
 def _decide(wps: int):
-    """Left-to-right lock decisions inside one group of overlapping chains."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cursor, n = list(pdf[["first", "idx", "last"]].itertuples(index=False)), 0, int(pdf["n_words"].iloc[0])
-        rec, out = pdf["recording_id"].iloc[0], []
-        while True:
-            best = None
-            for first, idx, last in rows:
-                skip = max(0, -(-(cursor - first) // wps))
-                at = first + skip * wps
-                if at < last and (best is None or at < best[0]):
-                    best = (at, (idx - 1 + skip) % 4 + 1, last)
-            if best is None:
-                break
-            out.append((rec, *best, n))
-            cursor = best[2] + wps + 1
-            if best[2] + 2 * wps > n:
-                break
-        return pd.DataFrame(out, columns=["recording_id", "first", "idx", "last", "n_words"])
+    """Left-to-right lock decisions inside groups of overlapping chains, a group a row."""
+    def held(chains: list, n: int) -> list:
+        """A chain waits at its first place at or behind the cursor; the earliest of all is taken."""
+        waiting, cursor, out = [(c["first"], i) for i, c in enumerate(chains)], 0, []
+        heapq.heapify(waiting)
+        while waiting:
+            at, i = heapq.heappop(waiting)
+            first, idx, last = chains[i]["first"], chains[i]["idx"], chains[i]["last"]
+            if at < cursor:
+                at = first - (first - cursor) // wps * wps
+                if at < last:
+                    heapq.heappush(waiting, (at, i))
+            elif at < last:
+                out.append({"first": at, "idx": (idx - 1 + (at - first) // wps) % 4 + 1, "last": last})
+                cursor = last + wps + 1
+                if last + 2 * wps > n:
+                    break
+        return out
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pylist(
+                [{"recording_id": r["recording_id"], **lock, "n_words": r["n_words"]} for r in rows for lock in held(r["chains"], r["n_words"])],
+                schema=pa.schema([("recording_id", pa.string()), ("first", pa.int64()), ("idx", pa.int32()), ("last", pa.int64()), ("n_words", pa.int64())]))
 
     return fold
 
@@ -98,11 +103,12 @@ def locks(words: DataFrame, cand: DataFrame, wps: int) -> DataFrame:
     total = words.groupBy("recording_id").agg(F.max(F.col("start") + F.size("words")).alias("n_words"))
     c = materialize(chains(cand, wps).join(total, "recording_id"))
     reach = F.col("last") + wps + 1
-    grouped = materialize(blocks.interval_clusters(c, KEY, "first", reach, "_group", POS_BLOCK))
-    grouped = grouped.withColumn("_n", F.count("*").over(Window.partitionBy("recording_id", "_group")))
-    cols = ["recording_id", "first", "idx", "last", "n_words"]
-    single = grouped.filter("_n = 1").select(*cols)
-    contested = grouped.filter("_n > 1").groupBy("recording_id", "_group").applyInPandas(
+    grouped = blocks.interval_clusters(c, KEY, "first", reach, "_group", POS_BLOCK)
+    chain = F.struct("first", F.col("idx").cast("int").alias("idx"), "last")
+    grouped = materialize(grouped.groupBy("recording_id", "_group").agg(F.collect_list(chain).alias("chains"), F.max("n_words").alias("n_words")))
+    one = F.size("chains") == 1
+    single = grouped.filter(one).select("recording_id", F.inline("chains"), "n_words")
+    contested = grouped.filter(~one).select("recording_id", "chains", "n_words").mapInArrow(
         _decide(wps), "recording_id string, first bigint, idx int, last bigint, n_words bigint"
     )
     return materialize(single.unionByName(contested))
@@ -127,31 +133,35 @@ def subframe_starts(locked: DataFrame, wps: int) -> DataFrame:
     )
 
 
-def aligned_blocks(words: DataFrame, size: int = WORD_BLOCK) -> DataFrame:
-    """Word blocks re-cut to aligned blocks of ``size`` words."""
+def aligned_blocks(words: DataFrame, size: int = WORD_BLOCK, more: int = 0) -> DataFrame:
+    """Word blocks re-cut to aligned blocks of ``size`` words, each followed by the next ``more`` words."""
     d = words.select("recording_id", F.col("start").cast("bigint").alias("start"), "words").filter(F.size("words") > 0)
     end = F.col("start") + F.size("words") - 1
-    pieces = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(end / size))))
+    first = F.greatest(F.floor((F.col("start") - more) / size), F.lit(0))
+    pieces = d.withColumn("block", F.explode(F.sequence(first, F.floor(end / size))))
     lo = F.greatest(F.col("start"), F.col("block") * size)
-    hi = F.least(F.col("start") + F.size("words"), (F.col("block") + 1) * size)
-    piece = F.struct(lo.alias("lo"), F.slice("words", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("w"))
-    return pieces.select("recording_id", "block", piece.alias("p")).groupBy("recording_id", "block").agg(
+    hi = F.least(F.col("start") + F.size("words"), (F.col("block") + 1) * size + more)
+    cut = F.slice("words", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
+    whole = F.when(hi - lo == F.size("words"), F.col("words")).otherwise(cut)
+    pieces = pieces.filter(hi > lo).select("recording_id", "block", F.struct(lo.alias("lo"), whole.alias("w")).alias("p"))
+    return pieces.groupBy("recording_id", "block").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["w"])).alias("block_words")
     )
 
 
 def with_words(starts: DataFrame, words: DataFrame, wps: int, size: int = WORD_BLOCK) -> DataFrame:
-    """Attaches the ``wps`` words of every subframe; one or two blocks hold them."""
-    first = F.floor(F.col("pos") / size)
-    last = F.floor((F.col("pos") + wps - 1) / size)
-    parts = starts.withColumn("block", F.explode(F.sequence(first, last)))
-    joined = parts.join(aligned_blocks(words, size), ["recording_id", "block"])
-    lo = F.greatest(F.col("pos"), F.col("block") * size)
-    hi = F.least(F.col("pos") + wps, (F.col("block") + 1) * size)
-    cut = F.slice("block_words", (lo - F.col("block") * size + 1).cast("int"), (hi - lo).cast("int"))
-    return joined.groupBy(*starts.columns).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", cut.alias("w")))), lambda p: p["w"])).alias("words")
-    )
+    """Attaches the ``wps`` words of every subframe.
+
+    A block meets all subframes that begin in it as one row and holds their last
+    words too, so no subframe carries a block and none is put together afterwards.
+    """
+    rest = [c for c in starts.columns if c != "recording_id"]
+    asked = starts.groupBy("recording_id", F.floor(F.col("pos") / size).alias("block")).agg(
+        F.collect_list(F.struct(*rest)).alias("_asked"))
+    joined = aligned_blocks(words, size, wps - 1).join(asked.hint("merge"), ["recording_id", "block"])
+    cut = F.transform("_asked", lambda s: F.struct(
+        *[s[c].alias(c) for c in rest], F.slice("block_words", (s["pos"] - F.col("block") * size + 1).cast("int"), wps).alias("words")))
+    return joined.select("recording_id", F.inline(cut))
 
 
 def synchronize(words: DataFrame, wps: int, sync_words: Iterable[int] = SYNC_WORDS) -> DataFrame:
