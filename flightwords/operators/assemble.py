@@ -9,7 +9,11 @@ the same state between batches.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,95 +87,140 @@ def step(state: tuple[int, int, int], subframe: int, gap: int | None):
     return (subframe + 1, missing | skipped, ahead), closes, 0, skipped, 0, ahead
 
 
-# Every transition once: TABLE[state][subframe, gap class].
+# Every transition once: a move is a subframe and the class of its gap.
 _GAPS = (None, 0, 1, 2)
-TABLE = [
-    {(sf, gap): (INDEX[r[0]], *r[1:]) for sf in range(1, 5) for gap in _GAPS for r in [step(s, sf, gap)]} for s in STATES
-]
+MOVES = [(sf, gap) for sf in range(1, SUBFRAME_COUNT + 1) for gap in _GAPS]
+_TABLE = [[step(s, *move) for move in MOVES] for s in STATES]
+NEXT = np.array([[INDEX[out[0]] for out in row] for row in _TABLE], np.int32)
+TOLD = {name: np.array([[out[i] for out in row] for row in _TABLE], np.int32).ravel()
+        for i, name in enumerate(("closes", "late", "skipped", "completes", "ahead"), 1)}
+TOLD["missing"] = np.array([STATES[s][1] for s in NEXT.ravel()], np.int32)
 
 
-def _moves(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values("seq")
-    gaps = [None if pd.isna(g) else (int(g) if g in (0, 1) else 2) for g in pdf["gap"]]
-    return list(zip(pdf["subframe"].astype(int), gaps))
+def move(gap: Column) -> Column:
+    """A row's place in ``MOVES``."""
+    kind = F.when(gap.isNull(), 0).when(gap == 0, 1).when(gap == 1, 2).otherwise(3)
+    return ((F.col("subframe") - 1) * len(_GAPS) + kind).cast("int")
 
 
-def _outcome(pdf: pd.DataFrame) -> pd.DataFrame:
-    """State after a run for each possible state before it."""
-    after = list(range(len(STATES)))
-    one = None
-    for move in _moves(pdf):
-        if one is not None:  # every start has led to the same state
-            one = TABLE[one][move][0]
-            continue
-        after = [TABLE[a][move][0] for a in after]
-        if len(set(after)) == 1:
-            one = after[0]
-    if one is not None:
-        after = [one] * len(STATES)
-    return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "run": [int(pdf["run"].iloc[0])], "after": [after]})
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """(recording, run) and the rows of each stretch of a sorted batch."""
+    rec, run = batch.column("recording_id"), batch.column("run").to_numpy()
+    apart = (run[1:] != run[:-1]) | pc.not_equal(rec[1:], rec[:-1]).to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(apart) + 1).tolist(), len(run)]
+    for lo, hi in zip(at[:-1], at[1:]):
+        yield (rec[lo].as_py(), int(run[lo])), lo, hi
+
 
+_AFTER = "recording_id string, run bigint, after array<int>"
+_ENTRY = "recording_id string, run bigint, entry int"
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A group of runs as one."""
-    after = list(range(len(STATES)))
-    for step_after in pdf.sort_values("run")["after"]:
-        after = [int(step_after[a]) for a in after]
-    return pd.DataFrame({"recording_id": [pdf["recording_id"].iloc[0]], "run": [int(pdf["grp"].iloc[0])], "after": [after]})
 
+def _outcome(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """State after each run for each possible state before it; rows come sorted, a run may go over batches."""
+    def told(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k, _ in out], pa.string()), pa.array([k[1] for k, _ in out], pa.int64()),
+             pa.array([a.tolist() for _, a in out], pa.list_(pa.int32()))], names=["recording_id", "run", "after"])
 
-def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    key = after = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        moves, out = batch.column("move").to_numpy(), []
+        for run, lo, hi in _parts(batch):
+            if run != key:
+                if key is not None:
+                    out.append((key, after))
+                key, after = run, np.arange(len(STATES), dtype=np.int32)
+            here = moves[lo:hi]
+            full = np.flatnonzero(here >= (SUBFRAME_COUNT - 1) * len(_GAPS))  # every state is the same behind the last subframe
+            for m in here[full[-1] if len(full) else 0:].tolist():
+                after = NEXT[after, m]
+        yield told(out)
+    if key is not None:
+        yield told([(key, after)])
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of runs as one."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            after = np.arange(len(STATES))
+            for r in row["runs"]:
+                after = np.array(r["after"])[after]
+            out.append({"recording_id": row["recording_id"], "run": row["grp"], "after": after.tolist()})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("run", pa.int64()), ("after", pa.list_(pa.int32()))]))
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """State before every member, from the state before the first."""
-    pdf = pdf.sort_values("run")
-    state, out = int(pdf["entry"].iloc[0]), []
-    for after in pdf["after"]:
-        out.append(state)
-        state = int(after[state])
-    return pd.DataFrame({"recording_id": pdf["recording_id"].to_numpy(), "run": pdf["run"].to_numpy(), "entry": out})
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            state = row["entry"]
+            for r in row["runs"]:
+                out.append({"recording_id": row["recording_id"], "run": r["run"], "entry": state})
+                state = r["after"][state]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("run", pa.int64()), ("entry", pa.int32())]))
 
 
 def run_entries(outcomes: DataFrame, group: int = GROUP) -> DataFrame:
     """State before every run: runs are chained in groups of ``group``, the groups
     of a recording once more, so no task sees more than a sliver of a recording."""
-    grouped = outcomes.withColumn("grp", blocks.block_of(F.col("run"), group))
-    tops = grouped.groupBy("recording_id", "grp").applyInPandas(_chain, "recording_id string, run bigint, after array<int>")
-    first = tops.withColumn("entry", F.lit(START)).groupBy("recording_id").applyInPandas(
-        _entries, "recording_id string, run bigint, entry int"
-    ).withColumnRenamed("run", "grp")
-    return grouped.join(first, ["recording_id", "grp"]).groupBy("recording_id", "grp").applyInPandas(
-        _entries, "recording_id string, run bigint, entry int"
-    )
+    runs = F.array_sort(F.collect_list(F.struct("run", "after"))).alias("runs")
+    grouped = outcomes.groupBy("recording_id", blocks.block_of(F.col("run"), group).alias("grp")).agg(runs)
+    tops = grouped.mapInArrow(_chain, _AFTER).groupBy("recording_id").agg(runs).withColumn("entry", F.lit(START))
+    first = tops.mapInArrow(_entries, _ENTRY).withColumnRenamed("run", "grp")
+    return grouped.join(first, ["recording_id", "grp"]).select("recording_id", "runs", "entry").mapInArrow(_entries, _ENTRY)
 
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    state, rows = int(pdf["entry"].iloc[0]), []
-    for move in _moves(pdf):
-        state, *out = TABLE[state][move]
-        rows.append((*out, STATES[state][1]))
-    pdf = pdf.sort_values("seq")
-    out = pd.DataFrame(rows, columns=["closes", "late", "skipped", "completes", "ahead", "missing"])
-    for c in ("recording_id", "seq", "subframe", "valid", "frame_id", "t"):
-        out[c] = pdf[c].to_numpy()
-    return out
+_HEADER = ("recording_id", "seq", "subframe", "valid", "frame_id", "t")
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the state machine did at each row; rows come sorted, a run may go over batches."""
+    width = len(MOVES)
+    after = (NEXT * width).ravel().tolist()
+    key, state = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        moves, entry, at = batch.column("move").to_pylist(), batch.column("entry"), []
+        for run, lo, hi in _parts(batch):
+            if run != key:
+                key, state = run, entry[lo].as_py() * width
+            for m in moves[lo:hi]:
+                at.append(state + m)
+                state = after[state + m]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(told[at]) for told in TOLD.values()] + [batch.column(c) for c in _HEADER], names=[*TOLD, *_HEADER])
 
 
 _REPLAYED = (
-    "recording_id string, seq bigint, subframe int, valid boolean, frame_id bigint, t double, closes int, late int, "
-    "skipped int, completes int, ahead int, missing int"
+    "closes int, late int, skipped int, completes int, ahead int, missing int, "
+    "recording_id string, seq bigint, subframe int, valid boolean, frame_id bigint, t double"
 )
 
 
 def replay(rows: DataFrame, run: int = RUN, group: int = GROUP) -> DataFrame:
-    """Header rows with what the state machine did at each of them."""
+    """Header rows with what the state machine did at each of them.
+
+    Python reads sorted partitions, which hold whole runs, batch by batch; a group of its own for every
+    run would cost more than its rows, and few of them would share a task.
+    """
     block = blocks.block_of(F.col("seq"), run)
     d = blocks.carry_last(rows, ["recording_id"], block, [F.col("seq")], F.col("frame_id"), "_prev", inclusive=False)
-    d = d.withColumn("gap", F.col("frame_id") - F.coalesce("_prev", F.col("frame_id"))).withColumn("run", block).drop("_prev")
+    d = d.select(
+        "recording_id", F.col("seq").cast("bigint").alias("seq"), F.col("subframe").cast("int").alias("subframe"), "valid", "frame_id",
+        F.col("t").cast("double").alias("t"), move(F.col("frame_id") - F.coalesce("_prev", F.col("frame_id"))).alias("move"), block.alias("run"))
     d = materialize(d)
-    outcomes = d.select("recording_id", "run", "seq", "subframe", "gap").groupBy("recording_id", "run").applyInPandas(
-        _outcome, "recording_id string, run bigint, after array<int>"
-    )
-    entries = run_entries(materialize(outcomes), group)
-    return materialize(d.join(entries, ["recording_id", "run"]).groupBy("recording_id", "run").applyInPandas(_replay, _REPLAYED))
+    keys = ["recording_id", "run"]
+    outcomes = materialize(d.select(*keys, "seq", "move").repartition(*keys).sortWithinPartitions(*keys, "seq").select(*keys, "move").mapInArrow(_outcome, _AFTER))
+    entries = run_entries(outcomes, group)
+    known = d.join(entries.hint("merge"), keys).sortWithinPartitions(*keys, "seq")
+    return materialize(known.select(*_HEADER, "run", "move", "entry").mapInArrow(_replay, _REPLAYED))
 
 
 def _popcount(c: Column) -> Column:

@@ -8,7 +8,7 @@ are scanned, and every chunk is then parsed on its own from a known state.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,22 +35,22 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _scan(data: np.ndarray, at: np.ndarray, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes that complete a word, marked bytes that drop the byte before) of chunks laid end to end.
+def _scan(data: np.ndarray, at: np.ndarray, waiting: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marked bytes, bytes that complete a word, bytes whose byte before waits) of chunks laid end to end.
 
     The rule of ``parse_containers`` for all of them at once: ``waiting`` says which
     begin behind a low byte, their first byte is an odd number of bytes behind it.
     """
-    place = np.arange(len(data))
-    marked = (data & 0xF0) != 0
+    place = np.arange(len(data), dtype=np.int32)
+    marked = data > 15
     filled = at[1:] > at[:-1]
-    first, behind = at[:-1][filled], waiting[filled].astype(np.int64)
-    low = np.where(marked, place, -1)
+    first, behind = at[:-1][filled], waiting[filled].astype(np.int32)
+    low = np.where(marked, place, np.int32(-1))
     low[first] = np.where(marked[first], first, first - behind)
     low = np.maximum.accumulate(low) if len(data) else low
     before = np.concatenate((low[:1], low[:-1]))
     before[first] = first - behind
-    return (place - low) % 2 == 1, marked & ((place - before) % 2 == 1)
+    return marked, ((place - low) & 1).astype(bool), ((place - before) & 1).astype(bool)
 
 
 def _by_chunk(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -64,9 +64,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = _flat(batch.column("data"))
         n = np.diff(at)
-        done, _ = _scan(data, at, np.zeros(len(n), bool))
-        marks = np.concatenate((np.flatnonzero(data & 0xF0), [-1]))
-        held = _by_chunk((data & 0xF0) != 0, at)
+        marked, done, _ = _scan(data, at, np.zeros(len(n), bool))
+        marks = np.concatenate((np.flatnonzero(marked), [-1]))
+        held = _by_chunk(marked, at)
         upto = np.concatenate(([0], np.cumsum(held)))
         plain = np.where(held > 0, marks[np.minimum(upto[:-1], len(marks) - 1)] - at[:-1], n)
         tail = at[1:] - 1 - marks[upto[1:] - 1]
@@ -134,35 +134,54 @@ def pending_byte(data: np.ndarray) -> int | None:
     return int(data[-1]) if since % 2 == 0 else None
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, at = _flat(batch.column("data"))
-        pending = batch.column("pending")
-        waiting = ~pending.is_null().to_numpy(zero_copy_only=False)
-        done, drops = _scan(data, at, waiting)
-        low = np.concatenate((data[:1], data[:-1])).astype(np.int32)
-        begun = waiting & (at[1:] > at[:-1])
-        low[at[:-1][begun]] = pending.fill_null(0).to_numpy(zero_copy_only=False)[begun]
-        n = _by_chunk(done, at)
-        ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(data[done].astype(np.int32) * 256 + low[done]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("recording_id", "chunk_no", "t")]
-            + [words, pa.array(_by_chunk(drops, at)), pa.array(n), batch.column("start"), pa.array(np.diff(at))],
-            names=["recording_id", "chunk_no", "t", "words", "invalid_words", "n_words", "start", "n_bytes"])
-
-
-def words_of(chunks: DataFrame) -> DataFrame:
+def _parse(values: tuple[int, ...] | None):
+    """Words of each chunk, or the places of those that are one of ``values``."""
+    wanted = np.zeros(4096, bool)
+    wanted[list(values or ())] = True
+
+    def lists(n: np.ndarray, items: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), items)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = _flat(batch.column("data"))
+            pending = batch.column("pending")
+            waiting = ~pending.is_null().to_numpy(zero_copy_only=False)
+            marked, done, held = _scan(data, at, waiting)
+            low = np.concatenate((data[:1], data[:-1])).astype(np.int32)
+            begun = waiting & (at[1:] > at[:-1])
+            low[at[:-1][begun]] = pending.fill_null(0).to_numpy(zero_copy_only=False)[begun]
+            words, n, start = data[done].astype(np.int32) * 256 + low[done], _by_chunk(done, at), batch.column("start").to_numpy()
+            if values is None:
+                found = lists(n, pa.array(words))
+            else:
+                ends = np.concatenate(([0], np.cumsum(n)))
+                where = np.flatnonzero(wanted[words])
+                chunk = np.searchsorted(ends, where, "right") - 1
+                places = pa.StructArray.from_arrays([pa.array(start[chunk] + where - ends[chunk]), pa.array(words[where])], names=["pos", "w"])
+                found = lists(np.bincount(chunk, minlength=len(n)), places)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("recording_id", "chunk_no", "t")]
+                + [found, pa.array(_by_chunk(marked & held, at)), pa.array(n), batch.column("start"), pa.array(np.diff(at))],
+                names=["recording_id", "chunk_no", "t", "words" if values is None else "hits", "invalid_words", "n_words", "start", "n_bytes"])
+
+    return parse
+
+
+def words_of(chunks: DataFrame, values: Iterable[int] | None = None) -> DataFrame:
     """Words of each chunk with the position of its first word.
 
     Columns: recording_id, chunk_no, t, words, invalid_words, n_words, start, n_bytes.
     ``invalid_words`` equals the discarded bytes.  Where words begin follows from the
-    summaries, so the bytes travel and are parsed once.
+    summaries, so the bytes travel and are parsed once.  With ``values`` the column
+    ``hits`` (pos, w) of the words that are one of them stands for ``words``.
     """
     known = chunks.select("recording_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("t").cast("double").alias("t"), "data")
     states = chunk_states(chunks).select("recording_id", "chunk_no", "pending", "start")
+    column = "words array<int>" if values is None else "hits array<struct<pos: bigint, w: int>>"
     return known.join(states.hint("merge"), ["recording_id", "chunk_no"]).mapInArrow(
-        _parse, "recording_id string, chunk_no bigint, t double, words array<int>, invalid_words bigint, n_words bigint, start bigint, n_bytes bigint"
+        _parse(None if values is None else tuple(values)),
+        f"recording_id string, chunk_no bigint, t double, {column}, invalid_words bigint, n_words bigint, start bigint, n_bytes bigint"
     )
 
 

@@ -27,13 +27,14 @@ POS_BLOCK = 1 << 22
 
 
 def sync_candidates(words: DataFrame, sync_words: Iterable[int] = SYNC_WORDS) -> DataFrame:
-    """Positions that hold a sync word, with its subframe number."""
+    """Positions that hold a sync word, with its subframe number; from ``hits``, where only these were kept."""
     sync = list(sync_words)
     number = F.create_map(*[x for i, s in enumerate(sync, 1) for x in (F.lit(s), F.lit(i))])
-    hits = words.select("recording_id", "start", F.posexplode("words").alias("_i", "_w")).filter(F.col("_w").isin(*sync))
-    return materialize(hits.select(
-        "recording_id", (F.col("start") + F.col("_i")).alias("pos"), F.try_element_at(number, F.col("_w")).alias("idx")
-    ))
+    if "hits" in words.columns:
+        found = words.select("recording_id", F.inline("hits"))
+    else:
+        found = words.select("recording_id", "start", F.posexplode("words").alias("_i", "w")).withColumn("pos", F.col("start") + F.col("_i"))
+    return materialize(found.filter(F.col("w").isin(*sync)).select("recording_id", "pos", F.try_element_at(number, F.col("w")).alias("idx")))
 
 
 def _pairs(cand: DataFrame, distance: int) -> DataFrame:
@@ -100,7 +101,8 @@ def _decide(wps: int):
 def locks(words: DataFrame, cand: DataFrame, wps: int) -> DataFrame:
     """Locked stretches: (recording_id, first, idx, last, n_words), ``last`` being
     the last position whose sync word was right."""
-    total = words.groupBy("recording_id").agg(F.max(F.col("start") + F.size("words")).alias("n_words"))
+    size = F.col("n_words") if "n_words" in words.columns else F.size("words")
+    total = words.groupBy("recording_id").agg(F.max(F.col("start") + size).alias("n_words"))
     c = materialize(chains(cand, wps).join(total, "recording_id"))
     reach = F.col("last") + wps + 1
     grouped = blocks.interval_clusters(c, KEY, "first", reach, "_group", POS_BLOCK)
