@@ -10,6 +10,7 @@ would be broadcast; such joins are told to sort and merge.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -24,17 +25,21 @@ from . import blocks
 KEY = ["recording_id"]
 WORD_BLOCK = 8192
 POS_BLOCK = 1 << 22
+#: Sync words of one rate follow each other within it.
+PAIR_SECONDS = 2.0
 
 
 def sync_candidates(words: DataFrame, sync_words: Iterable[int] = SYNC_WORDS) -> DataFrame:
-    """Positions that hold a sync word, with its subframe number; from ``hits``, where only these were kept."""
+    """Positions that hold a sync word, with its subframe number; from ``hits``, where only these were kept, and
+    then with the time ``t`` of its chunk."""
     sync = list(sync_words)
     number = F.create_map(*[x for i, s in enumerate(sync, 1) for x in (F.lit(s), F.lit(i))])
     if "hits" in words.columns:
-        found = words.select("recording_id", F.inline("hits"))
+        found = words.select("recording_id", "t", F.inline("hits"))
     else:
         found = words.select("recording_id", "start", F.posexplode("words").alias("_i", "w")).withColumn("pos", F.col("start") + F.col("_i"))
-    return materialize(found.filter(F.col("w").isin(*sync)).select("recording_id", "pos", F.try_element_at(number, F.col("w")).alias("idx")))
+    rest = ["t"] if "hits" in words.columns else []
+    return materialize(found.filter(F.col("w").isin(*sync)).select("recording_id", "pos", F.try_element_at(number, F.col("w")).alias("idx"), *rest))
 
 
 def _pairs(cand: DataFrame, distance: int) -> DataFrame:
@@ -175,25 +180,34 @@ def synchronize(words: DataFrame, wps: int, sync_words: Iterable[int] = SYNC_WOR
 def wrong_rate(cand: DataFrame, locked: DataFrame, wps: int) -> DataFrame:
     """Other standard rate at which sync words pair up while unlocked (STR-03).
 
-    One row per unlocked stretch: the first rate in list order with a pair.
+    One row per unlocked stretch: the first rate in list order with a pair.  Where
+    candidates have a time ``t``, a pair is less than ``PAIR_SECONDS`` apart: words of a
+    rate come once a second, while lost subframes bring true sync words to another
+    distance over four seconds or more.
     """
-    order = F.col("pos")
-    starts = locked.select("recording_id", F.col("first").alias("pos"), F.lit(None).cast("int").alias("idx"),
+    order, heard = F.col("pos"), "t" in cand.columns
+    t = F.lit(None).cast("double")
+    starts = locked.select("recording_id", F.col("first").alias("pos"), F.lit(None).cast("int").alias("idx"), t.alias("t"),
                            F.struct("first", (F.col("last") + wps).alias("lost")).alias("lock"))
-    rows = cand.withColumn("lock", F.lit(None).cast("struct<first:bigint,lost:bigint>")).unionByName(starts)
+    rows = cand.select("recording_id", "pos", "idx", "t" if heard else t.alias("t")).withColumn(
+        "lock", F.lit(None).cast("struct<first:bigint,lost:bigint>")).unionByName(starts)
     placed = blocks.carry_last(rows, KEY, blocks.block_of(order, POS_BLOCK), [order, F.col("idx").isNotNull()],
                                F.col("lock"), "held")
     open_ = materialize(placed.filter("idx IS NOT NULL").filter(F.coalesce(order >= F.col("held.lost"), F.lit(True))).select(
-        "recording_id", "pos", "idx", F.coalesce("held.lost", F.lit(0).cast("bigint")).alias("since")
+        "recording_id", "pos", "idx", "t", F.coalesce("held.lost", F.lit(0).cast("bigint")).alias("since")
     ))
-    nxt = open_.select("recording_id", "since", F.col("pos").alias("pos2"), F.col("idx").alias("idx2"))
+    nxt = open_.select("recording_id", "since", F.col("pos").alias("pos2"), F.col("idx").alias("idx2"), F.col("t").alias("t2"))
+    keys = ["recording_id", "since", "pos2", "idx2"]
     found = None
     for rank, rate in enumerate(STANDARD_WPS):
         if rate == wps:
             continue
-        hit = open_.withColumn("pos2", F.col("pos") + rate).withColumn("idx2", F.col("idx") % 4 + 1).join(
-            nxt.hint("merge"), ["recording_id", "since", "pos2", "idx2"], "left_semi"
-        ).select("recording_id", "since", F.struct(F.lit(rank).alias("r"), F.lit(rate).alias("wps")).alias("d"))
+        one = open_.withColumn("pos2", F.col("pos") + rate).withColumn("idx2", F.col("idx") % 4 + 1).alias("one")
+        meet = functools.reduce(Column.__and__, [F.col(f"one.{k}") == F.col(f"two.{k}") for k in keys])
+        if heard:
+            meet = meet & (F.col("two.t2") - F.col("one.t") < PAIR_SECONDS)
+        hit = one.join(nxt.alias("two").hint("merge"), meet, "left_semi").select(
+            "recording_id", "since", F.struct(F.lit(rank).alias("r"), F.lit(rate).alias("wps")).alias("d"))
         found = hit if found is None else found.unionByName(hit)
     return found.groupBy("recording_id", "since").agg(F.min("d").alias("d")).select(
         "recording_id", "since", F.col("d.wps").alias("detected_wps")
