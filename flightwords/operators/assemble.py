@@ -146,11 +146,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of runs as one."""
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
+        for rec, grp, runs in zip(*(batch.column(c) for c in ("recording_id", "grp", "runs"))):
             after = np.arange(len(STATES))
-            for r in row["runs"]:
+            for r in runs.as_py():
                 after = np.array(r["after"])[after]
-            out.append({"recording_id": row["recording_id"], "run": row["grp"], "after": after.tolist()})
+            out.append({"recording_id": rec.as_py(), "run": grp.as_py(), "after": after.tolist()})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("run", pa.int64()), ("after", pa.list_(pa.int32()))]))
 
 
@@ -158,10 +158,10 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """State before every member, from the state before the first."""
     for batch in batches:
         out = []
-        for row in batch.to_pylist():
-            state = row["entry"]
-            for r in row["runs"]:
-                out.append({"recording_id": row["recording_id"], "run": r["run"], "entry": state})
+        for rec, entry, runs in zip(*(batch.column(c) for c in ("recording_id", "entry", "runs"))):
+            rec, state = rec.as_py(), entry.as_py()
+            for r in runs.as_py():
+                out.append({"recording_id": rec, "run": r["run"], "entry": state})
                 state = r["after"][state]
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("recording_id", pa.string()), ("run", pa.int64()), ("entry", pa.int32())]))
 

@@ -87,7 +87,7 @@ def _decide(wps: int):
                 if at < last:
                     heapq.heappush(waiting, (at, i))
             elif at < last:
-                out.append({"first": at, "idx": (idx - 1 + (at - first) // wps) % 4 + 1, "last": last})
+                out.append((at, (idx - 1 + (at - first) // wps) % 4 + 1, last))
                 cursor = last + wps + 1
                 if last + 2 * wps > n:
                     break
@@ -95,10 +95,14 @@ def _decide(wps: int):
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            yield pa.RecordBatch.from_pylist(
-                [{"recording_id": r["recording_id"], **lock, "n_words": r["n_words"]} for r in rows for lock in held(r["chains"], r["n_words"])],
-                schema=pa.schema([("recording_id", pa.string()), ("first", pa.int64()), ("idx", pa.int32()), ("last", pa.int64()), ("n_words", pa.int64())]))
+            out = []
+            for rec, chains, n in zip(*(batch.column(c) for c in ("recording_id", "chains", "n_words"))):
+                rec, n = rec.as_py(), n.as_py()
+                out += [(rec, *lock, n) for lock in held(chains.as_py(), n)]
+            columns = zip(*out) if out else [()] * 5
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["recording_id", "first", "idx", "last", "n_words"])
 
     return fold
 
